@@ -13,7 +13,21 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvid.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvid.llm import media
+
+    return media.digests(media.stored(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op1_curve_packing": op1_curve_packing,
+    "op10_iso_media": op10_iso_media,
     "op3_exact_dedup": op3_exact_dedup,
 }
 

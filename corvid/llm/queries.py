@@ -19,6 +19,25 @@ def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvid.llm import mixing
+
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op6_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvid.llm import quality
+
+    return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvid.llm import archive
+
+    index = archive.write(table(spark, sf_dir, "pages"))
+    return archive.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvid.llm import media
 
@@ -27,11 +46,24 @@ def op10_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_curve_packing": op1_curve_packing,
+    "op5_raked_mix": op5_raked_mix,
+    "op6_bradley_terry": op6_bradley_terry,
+    "op7_warc_index": op7_warc_index,
     "op10_iso_media": op10_iso_media,
     "op3_exact_dedup": op3_exact_dedup,
 }
 
 ORACLE = {
+    "op7_warc_index": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        q AS (SELECT page_id, strlen(h) AS payload_bytes, payload_digest,
+                     max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+        FROM q
+    """,
     "op3_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,

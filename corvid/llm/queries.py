@@ -19,6 +19,12 @@ def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_crf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvid.llm import html_extract
+
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvid.llm import mixing
 
@@ -46,6 +52,7 @@ def op10_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_curve_packing": op1_curve_packing,
+    "op2_crf_text": op2_crf_text,
     "op5_raked_mix": op5_raked_mix,
     "op6_bradley_terry": op6_bradley_terry,
     "op7_warc_index": op7_warc_index,

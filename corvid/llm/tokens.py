@@ -7,7 +7,9 @@ import os
 import numpy as np
 
 #: Distinct words whose ids one Python worker remembers.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 700_000
+#: Punctuation after a word's letters that is encoded by itself.
+TAIL = b".,;:!?*#$%&|"
 
 
 def default_path() -> str:
@@ -19,8 +21,10 @@ def default_path() -> str:
 class WordTokenizer:
     """Ids of whole texts, looked up word by word.
 
-    It needs a tokenizer that drops white space and never lets a token cross it, as ``word_bpe_49k.json`` does: then a
-    text's ids are its words' ids one after another, and each distinct word is encoded once.
+    It needs a tokenizer that lower-cases, drops white space, never lets a token cross it and marks word ends, as
+    ``word_bpe_49k.json`` does: then a text's ids are its words' ids one after another, and each distinct word is encoded once.
+    A new word of letters and punctuation after them is its letters' ids and its punctuation's; many such words are encoded as
+    one text, and the ends of words in the result tell them apart.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
@@ -28,21 +32,65 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        size = max(vocabulary.values()) + 1
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ends = np.zeros(size, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cached = cached
         self.ids: dict[bytes, bytes] = {}
 
+    def _alone(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), 10_000):
+            part = words[i : i + 10_000]
+            for word, got in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
+                self.ids[word] = np.array(got.ids, self.dtype).tobytes()
+
+    def _together(self, words: list[bytes]) -> None:
+        """Encode words of letters only, a few thousand as one text."""
+        for i in range(0, len(words), 4000):
+            part = words[i : i + 4000]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, self.dtype)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                self._alone(part)
+                continue
+            raw, wide = ids.tobytes(), self.dtype.itemsize
+            bounds = (ends * wide).tolist()
+            self.ids.update(zip(part, (raw[a:b] for a, b in zip([0, *bounds], bounds, strict=False)), strict=True))
+
+    def _learn(self, new: set[bytes]) -> None:
+        known = self.ids
+        cores: set[bytes] = set()
+        split: list[tuple[bytes, bytes, bytes]] = []
+        alone: set[bytes] = set()
+        for word in new:
+            core = word.rstrip(TAIL)
+            if not core.isalpha() and not core.decode("utf-8", "replace").isalpha():
+                alone.add(word)
+                continue
+            if len(core) < len(word):
+                tail = word[len(core) :]
+                split.append((word, core, tail))
+                if tail not in known:
+                    alone.add(tail)
+            if core not in known:
+                cores.add(core)
+        self._together(list(cores))
+        self._alone(list(alone))
+        for word, core, tail in split:
+            known[word] = known[core] + known[tail]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids, as the bytes of little-endian integers of ``dtype``."""
-        words = [t.split() for t in texts]
+        # Lower case comes first so that fewer words are distinct; not where a special token's name might come of it.
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self.ids) > self.cached:
             self.ids.clear()
+        new = set().union(*words).difference(self.ids)
+        if new:
+            self._learn(new)
         known = self.ids
-        new = list({w for ws in words for w in ws if w not in known})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, self.dtype).tobytes()
         return [b"".join([known[w] for w in ws]) for ws in words]
 
 

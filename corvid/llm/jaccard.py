@@ -5,8 +5,12 @@ many elements, so small sets enumerate them all: sharing one is a link. A large
 of its rarest elements, in an order that puts what is frequent in the whole corpus last, and what it meets there is verified.
 The boundary between small and large is where the estimated cost is least.
 
-Links between sets that are already connected add nothing to the components. So each list first links all its sets to one of
-them, and only pairs of sets that are then still apart are compared in full: no pair that could link is left out.
+Links between sets that are already connected add nothing to the components. So each list first tries to link all its sets to
+one of them, and only sets that are then still apart are compared with each other: no pair that could link is left out.
+
+Before two sets are compared in full their parity sketches are. An element flips one bit of its set's sketch, so sketches differ
+in no more bits than the sets do in elements: a pair whose sketches differ in too many bits can't link, and a join on a list
+never gives it out.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm.common import input_bytes, mix, saved, slices, starts_of, utf8, word_arrays
@@ -30,6 +34,9 @@ SHINGLES_A_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 128, 1 << 16, 1 << 24
 #: Ids that are broadcast to pick the texts to verify (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 RANGES = 16
+#: 64-bit words of a parity sketch.
+SKETCH_WORDS = 8
+BITS = [f"b{i}" for i in range(SKETCH_WORDS)]
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
@@ -66,6 +73,19 @@ def partners(n: int, percent: int = PERCENT) -> range:
     return range(n, 100 * n // percent + 1)
 
 
+def parity(elements: np.ndarray) -> np.ndarray:
+    """The set's parity sketch, as words."""
+    bits = np.bincount((mix(elements, 3) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def may_link(x: str, y: str, percent: int = PERCENT) -> Column:
+    """Whether two rows, with sizes n and sketches, can link: sizes first, then the bits in which the sketches differ."""
+    sizes = F.col(f"{x}.n") + F.col(f"{y}.n")
+    apart = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in BITS), F.lit(0))
+    return (100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")) & ((100 + percent) * apart <= (100 - percent) * sizes)
+
+
 def subset_count(n: int, percent: int = PERCENT) -> int:
     """Subsets that a set of n elements enumerates, as the smaller and as the larger one of a pair."""
     from math import comb
@@ -76,9 +96,15 @@ def subset_count(n: int, percent: int = PERCENT) -> int:
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
+    """Elements in order of which a linked set of any size must hold one."""
     return n - -(-percent * n // 100) + 1
 
 
+def index_length(n: int, percent: int = PERCENT) -> int:
+    """Elements in order of which a linked set that isn't smaller must hold one among its own ``prefix_length``."""
+    return n - needed(n, n, percent) + 1
+
+
 def boundary(histogram: dict[int, int], percent: int = PERCENT, most: int = MOST_SMALL, scan: int = SCAN_COST) -> int:
     """The size up to which sets enumerate subsets: the total of subsets below and of lists scanned above is least."""
     sizes = range(1, most + 1)
@@ -118,7 +144,7 @@ def _sketch_size(shingles: int) -> int:
 
 
 def _described(docs: DataFrame, counters: int, words: int) -> DataFrame:
-    """A row per document (doc_id, n, print1, print2), and rows (part, sketch) with the task's counts of shingles."""
+    """A row per document (doc_id, n, print1, print2, its parity sketch), and rows (part, sketch) with the task's counts of shingles."""
     step = counters // RANGES
 
     def run(batches):
@@ -129,13 +155,15 @@ def _described(docs: DataFrame, counters: int, words: int) -> DataFrame:
                 flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
                 np.add.at(counts, (flat % np.uint64(counters)).astype(np.int64), 1)
                 prints = [[int(mix(s, k).sum(dtype=np.uint64).astype(np.int64)) for s in sets] for k in (1, 2)]
+                bits = np.array([parity(s) for s in sets]).reshape(-1, SKETCH_WORDS)
                 n = len(sets)
-                yield pa.record_batch([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[0], pa.int64()), pa.array(prints[1], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "n", "print1", "print2", "part", "sketch"])
+                yield pa.record_batch([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[0], pa.int64()), pa.array(prints[1], pa.int64()), *(pa.array(bits[:, i], pa.int64()) for i in range(SKETCH_WORDS)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         none = pa.nulls(RANGES, pa.int64())
         packed = [zlib.compress(counts[i * step : (i + 1) * step].astype("<u4").tobytes(), 1) for i in range(RANGES)]
-        yield pa.record_batch([none, none, none, none, pa.array(range(RANGES), pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "n", "print1", "print2", "part", "sketch"])
+        yield pa.record_batch([none] * (4 + SKETCH_WORDS) + [pa.array(range(RANGES), pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n bigint, print1 bigint, print2 bigint, part int, sketch binary")
+    names = ["doc_id", "n", "print1", "print2", *BITS, "part", "sketch"]
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{c} bigint" for c in names[:-2]) + ", part int, sketch binary")
 
 
 def _summed(parts: DataFrame, counters: int) -> np.ndarray:
@@ -162,7 +190,7 @@ def ranks(sketch: np.ndarray) -> np.ndarray:
 
 
 def _posted(docs: DataFrame, order, small: int, words: int, percent: int) -> DataFrame:
-    """(key, doc_id, n, role): subset keys of small sets, and for the others their rarest elements (role 0).
+    """(key, doc_id, n, role): subset keys of small sets, and for the others their rarest elements (role 0, or 3 beyond ``index_length``).
 
     Of sets that are equal within a task only the first is posted.
     """
@@ -193,10 +221,11 @@ def _posted(docs: DataFrame, order, small: int, words: int, percent: int) -> Dat
                         p = prefix_length(n, percent)
                         rank = frequency[(s % np.uint64(len(frequency))).astype(np.int64)]
                         by = rank << np.uint64(58) | mix(s, 9) >> np.uint64(6)
-                        keys.append(np.partition(by, p - 1)[:p].view(np.int64))
+                        q = index_length(n, percent)
+                        keys.append(np.partition(by, sorted({q - 1, p - 1}))[:p].view(np.int64))
                         ids.append(np.full(p, doc))
                         sizes.append(np.full(p, n))
-                        roles.append(np.zeros(p, np.int64))
+                        roles.append(np.where(np.arange(p) < q, 0, 3))
                 if keys:
                     yield pa.record_batch([pa.array(np.concatenate(x).astype(t)) for x, t in ((keys, np.int64), (ids, np.int64), (sizes, np.int32), (roles, np.int32))], names=["key", "doc_id", "n", "role"])
 
@@ -256,23 +285,27 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most_sma
     centres = saved(posted.groupBy("key").agg(F.min(F.when(F.col("role") < 2, F.col("doc_id"))).alias("centre"), F.count(F.lit(1)).alias("length")).filter("length > 1 AND centre IS NOT NULL").drop("length"), "centres")
     lists = saved(posted.join(centres, "key"), "lists")
     spokes = saved(lists.filter("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct(), "spokes")
+    sketches = described.filter("part IS NULL").select("doc_id", "n", *BITS).dropDuplicates(["doc_id"])
+    x, y = sketches.alias("x"), sketches.alias("y")
+    likely = spokes.join(x, F.col("a") == F.col("x.doc_id")).join(y, (F.col("b") == F.col("y.doc_id")) & may_link("x", "y", percent)).select("a", "b")
 
     def representative(links: DataFrame) -> DataFrame:
         for side in ("a", "b"):
             links = links.join(aliases.withColumnsRenamed({"doc_id": side, "rep": f"{side}_rep"}), side, "left").withColumn(side, F.coalesce(f"{side}_rep", side)).drop(f"{side}_rep")
         return links.select("a", "b")
 
-    links = saved(representative(verified(docs, spokes, words, percent)), "rep-links")
+    links = saved(representative(verified(docs, saved(likely, "likely-spokes"), words, percent)), "rep-links")
     near = saved(components(links), "components")
     # Lists in which sets of several components meet: compare every two of them that are apart.
-    with_rep = lists.filter("role = 0").select("key", "doc_id", "n").join(aliases, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    placed = saved(with_rep.join(near.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.col("rep").alias("doc_id"), "n", F.coalesce("component", "rep").alias("component")).distinct(), "placed")
+    with_rep = lists.filter("role IN (0, 3)").select("key", "doc_id", "role").join(aliases, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    placed = saved(with_rep.join(near.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.col("rep").alias("doc_id"), "role", F.coalesce("component", "rep").alias("component")).distinct(), "placed")
     apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    mixed = saved(placed.join(apart, "key", "left_semi"), "mixed-lists")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    fits = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (F.col("x.component") < F.col("y.component"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & fits).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-    pairs = saved(pairs.join(saved(representative(spokes), "rep-spokes").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    several = saved(placed.join(saved(apart, "apart"), "key", "left_semi").join(sketches, "doc_id"), "several")
+    x, y = several.filter("role = 0").alias("x"), several.alias("y")
+    order_ = F.struct("x.n", "x.doc_id") < F.struct("y.n", "y.doc_id")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & order_ & may_link("x", "y", percent)).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    tried = saved(representative(spokes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
+    pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     more = verified(docs, pairs, words, percent)
     near = saved(components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
     out = named.join(near.withColumnRenamed("node", "rep"), "rep", "left")

@@ -44,6 +44,12 @@ def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvid.llm import scoring
+
+    return scoring.scored(table(spark, sf_dir, "documents"))
+
+
 def op9_size_aware_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvid.llm import jaccard
 
@@ -62,6 +68,7 @@ QUERIES = {
     "op5_raked_mix": op5_raked_mix,
     "op6_bradley_terry": op6_bradley_terry,
     "op7_warc_index": op7_warc_index,
+    "op8_bloom_lm": op8_bloom_lm,
     "op9_size_aware_join": op9_size_aware_join,
     "op10_iso_media": op10_iso_media,
     "op3_exact_dedup": op3_exact_dedup,

@@ -232,35 +232,65 @@ def _posted(docs: DataFrame, order, small: int, words: int, percent: int) -> Dat
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).filter("doc_id IS NOT NULL").mapInArrow(run, "key bigint, doc_id bigint, n int, role int")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Of pairs (a, b) those whose sets link, by their full sets. Only texts that occur in a pair are read further."""
+def _picked(docs: DataFrame, pairs: DataFrame, words: int, column: str, form) -> DataFrame:
+    """(doc_id, ``column``): ``form`` of the set of every document that occurs in a pair. Other texts aren't moved."""
     ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
-    def sets(batches):
+    def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 found = shingle_sets(utf8(part.column("text")), words)
-                yield pa.record_batch([part.column("doc_id"), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "elements"])
+                yield pa.record_batch([part.column("doc_id"), pa.array([form(s) for s in found], pa.binary())], names=["doc_id", column])
 
-    elements = saved(texts.mapInArrow(sets, "doc_id bigint, elements binary").dropDuplicates(["doc_id"]), "sets")
+    return saved(texts.mapInArrow(run, f"doc_id bigint, {column} binary").dropDuplicates(["doc_id"]), column)
 
-    def compare(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
-                    keep.append(False)
-                    continue
-                common = len(s) + len(t) - len(np.unique(np.concatenate([s, t])))
-                keep.append(100 * common >= percent * (len(s) + len(t) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    one = saved(pairs.join(elements.withColumnsRenamed({"doc_id": "b", "elements": "y"}), "b"), "half-pairs")
-    both = one.join(elements.withColumnsRenamed({"doc_id": "a", "elements": "x"}), "a")
-    return saved(both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint"), "links")
+
+def fine_sketch(elements: np.ndarray) -> bytes:
+    """The set's size and a parity sketch of two bits or more for each element."""
+    bits = 1 << max(9, (2 * len(elements) - 1).bit_length())
+    odd = np.bincount((mix(elements, 4) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return len(elements).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fine_may_link(x: bytes, y: bytes, percent: int) -> bool:
+    """The same test on fine sketches; the longer one is folded, half upon half, to the other's length."""
+    s, t = int.from_bytes(x[:8], "little"), int.from_bytes(y[:8], "little")
+    p, q = np.frombuffer(x, np.uint64, offset=8), np.frombuffer(y, np.uint64, offset=8)
+    while len(p) > len(q):
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    while len(q) > len(p):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return (100 + percent) * int(np.bitwise_count(p ^ q).sum()) <= (100 - percent) * (s + t)
+
+
+def linked(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two sets, as sorted elements, link."""
+    s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+        return False
+    common = len(s) + len(t) - len(np.unique(np.concatenate([s, t])))
+    return 100 * common >= percent * (len(s) + len(t) - common)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Of pairs (a, b) those whose sets link: by their fine sketches first, what is left by the sets themselves."""
+
+    def step(pairs: DataFrame, column: str, form, test, name: str) -> DataFrame:
+        forms = _picked(docs, pairs, words, column, form)
+
+        def run(batches):
+            for batch in batches:
+                keep = [test(x, y, percent) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        half = pairs.join(forms.withColumnsRenamed({"doc_id": "b", column: "y"}), "b")
+        both = half.join(forms.withColumnsRenamed({"doc_id": "a", column: "x"}), "a")
+        return saved(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), name)
+
+    likely = step(pairs, "fine", fine_sketch, fine_may_link, "likely")
+    return step(likely, "elements", np.ndarray.tobytes, linked, "links")
 
 
 def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most_small: int = MOST_SMALL) -> DataFrame:

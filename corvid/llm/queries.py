@@ -25,6 +25,12 @@ def op2_crf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvid.llm import repeats
+
+    return repeats.removed(table(spark, sf_dir, "documents"))
+
+
 def op5_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvid.llm import mixing
 
@@ -65,6 +71,7 @@ def op10_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_curve_packing": op1_curve_packing,
     "op2_crf_text": op2_crf_text,
+    "op4_recompression": op4_recompression,
     "op5_raked_mix": op5_raked_mix,
     "op6_bradley_terry": op6_bradley_terry,
     "op7_warc_index": op7_warc_index,

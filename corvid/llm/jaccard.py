@@ -312,6 +312,7 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most_sma
     small = boundary(sizes, percent, most_small)
 
     posted = saved(_posted(docs, order, small, words, percent), "posted")
+    order.destroy()
     centres = saved(posted.groupBy("key").agg(F.min(F.when(F.col("role") < 2, F.col("doc_id"))).alias("centre"), F.count(F.lit(1)).alias("length")).filter("length > 1 AND centre IS NOT NULL").drop("length"), "centres")
     lists = saved(posted.join(centres, "key"), "lists")
     spokes = saved(lists.filter("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct(), "spokes")

@@ -252,6 +252,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
 
     names = ["bucket", "anchor", "key", "start", "mask", "twice", "hashes"]
     records = saved(docs.select("key", F.col("text").cast("string")).mapInArrow(run, "bucket int, anchor bigint, key bigint, start int, mask int, twice boolean, hashes binary"), "records", "lz4")
+    known.destroy()
     settled = records.filter("bucket IS NULL").select("key", "start", "mask")
     asked = records.filter("bucket IS NOT NULL").select("bucket", "anchor", "key", "start", "twice", "hashes").groupBy("bucket").applyInArrow(compare, "key bigint, start int, mask int")
     return settled.union(asked)

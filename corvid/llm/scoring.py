@@ -27,7 +27,7 @@ LEAST_PAIR, BASE, PAIR_WEIGHT = 2, 1.5, 0.25
 #: Bits for one entry, probes of one entry, most bytes of the filter, and parts it is built in.
 ENTRY_BITS, PROBES, MOST_BYTES, SEGMENTS = 12, 5, 64 << 20, 64
 #: Most words in the broadcast table of exact counts (16 bytes each); tokens that a task counts before it gives them out.
-HEAD_WORDS, FLUSH_TOKENS = 1 << 20, 4_000_000
+HEAD_WORDS, FLUSH_TOKENS = 1 << 18, 4_000_000
 #: Fixed keys of the start of a text and of its end.
 START, END = np.uint64(0x5354415254000001), np.uint64(0x454E440000000001)
 
@@ -245,8 +245,9 @@ def scored(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
         if room < 0:
             least = p + 1
             break
-    head = words.filter(F.col("count") >= 1 << least).toPandas().sort_values("key")
-    table = spark.sparkContext.broadcast((head["key"].to_numpy(np.int64), head["count"].to_numpy(np.int64)))
+    head = words.filter(F.col("count") >= 1 << least).toArrow().sort_by("key")
+    table = spark.sparkContext.broadcast((head.column("key").to_numpy(), head.column("count").to_numpy()))
+    del head
     space = total + 0.5 * (distinct + 1)
 
     def run(batches):
@@ -280,6 +281,8 @@ def scored(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     names = ["row", "doc_id", "word", "n", "known", "base", "score"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     both = saved(docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"row bigint, doc_id {kind}, word bigint, n bigint, known bigint, base double, score double"), "scores")
+    model.destroy()
+    table.destroy()
     tail = words.filter(F.col("count") < 1 << least).withColumnRenamed("key", "word")
     rest = both.filter("word IS NOT NULL").select("row", "word", "n").join(tail, "word", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     rest = rest.groupBy("row").agg(F.sum(F.col("n") * F.log10((F.col("count") + 0.5) / F.lit(float(space)))).alias("more"), F.sum(F.when(F.col("count") > 0, F.col("n")).otherwise(0)).alias("also"))

@@ -25,8 +25,6 @@ REACH = WINDOW - CONTEXT + 1
 PIECE_BYTES = 10 << 20
 #: The filter of repeated symbols: bits for one, probes, most bytes (fixed bound; beyond it more windows are compared), segments.
 ENTRY_BITS, PROBES, MOST_BYTES, SEGMENTS = 12, 5, 64 << 20, 64
-#: Most bytes of found places that are broadcast; more are joined by a shuffle.
-BROADCAST_BYTES = 48 << 20
 _NONE = np.uint64((1 << 64) - 1)
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -262,7 +260,7 @@ def _plain(f: Filter) -> tuple[np.ndarray, int]:
     return f.bits, f.segment
 
 
-def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, broadcast_bytes: int = BROADCAST_BYTES, with_text: bool = False) -> DataFrame:
+def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row of ``docs`` (and the kept text).
 
     A word goes if a window that covers it has the same words as one that starts elsewhere. Null and empty texts have no words;
@@ -271,8 +269,7 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, broadca
     """
     keyed = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("key"))
     places = saved(repeated_windows(keyed.select("key", "text"), window, rounds).distinct().groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks")), "places")
-    size = places.agg(F.coalesce(F.sum(16 + 8 * F.size("starts")), F.lit(0))).first()[0]
-    both = keyed.join(F.broadcast(places) if size <= broadcast_bytes else places, "key", "left").select("doc_id", "text", "starts", "masks")
+    both = keyed.join(places, "key", "left").select("doc_id", "text", "starts", "masks")
 
     def run(batches):
         for batch in batches:

@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from corvid.plans import lexical, vectors
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+for _module in (lexical, vectors):
+    QUERIES |= _module.QUERIES
+    ORACLE |= _module.ORACLE

@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one Arrow slice holds when Python code expands it.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch while a table is written.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,11 +31,19 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corvid-{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there, and a lost executor costs nothing."""
+def saved(df: DataFrame, name: str, codec: str = "zstd", batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the lineage ends there, and a lost executor costs nothing.
+
+    While it is written, Arrow batches have at most ``batch_rows`` rows, which bounds what Python workers hold.
+    """
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

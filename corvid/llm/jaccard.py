@@ -287,7 +287,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int
 
         half = pairs.join(forms.withColumnsRenamed({"doc_id": "b", column: "y"}), "b")
         both = half.join(forms.withColumnsRenamed({"doc_id": "a", column: "x"}), "a")
-        return saved(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), name)
+        return saved(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), name, batch_rows=400)
 
     likely = step(pairs, "fine", fine_sketch, fine_may_link, "likely")
     return step(likely, "elements", np.ndarray.tobytes, linked, "links")

@@ -22,7 +22,7 @@ from corvid.llm.common import input_bytes, mix, saved, slices, starts_of, utf8,
 WINDOW, ROUNDS, CONTEXT = 35, 5, 20
 REACH = WINDOW - CONTEXT + 1
 #: Text that is worked on at a time.
-PIECE_BYTES = 10 << 20
+PIECE_BYTES = 6 << 20
 #: The filter of repeated symbols: bits for one, probes, most bytes (fixed bound; beyond it more windows are compared), segments.
 ENTRY_BITS, PROBES, MOST_BYTES, SEGMENTS = 12, 5, 64 << 20, 64
 _NONE = np.uint64((1 << 64) - 1)

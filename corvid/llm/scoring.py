@@ -27,7 +27,7 @@ LEAST_PAIR, BASE, PAIR_WEIGHT = 2, 1.5, 0.25
 #: Bits for one entry, probes of one entry, most bytes of the filter, and parts it is built in.
 ENTRY_BITS, PROBES, MOST_BYTES, SEGMENTS = 12, 5, 64 << 20, 64
 #: Most words in the broadcast table of exact counts (16 bytes each); tokens that a task counts before it gives them out.
-HEAD_WORDS, FLUSH_TOKENS = 1 << 18, 4_000_000
+HEAD_WORDS, FLUSH_TOKENS = 1 << 18, 1_500_000
 #: Fixed keys of the start of a text and of its end.
 START, END = np.uint64(0x5354415254000001), np.uint64(0x454E440000000001)
 

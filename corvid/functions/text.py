@@ -122,6 +122,16 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def ngram_rows(text: Column | str, n: int) -> Column:
+    """A text's distinct n-grams of folded words. The words are shifted against each other once, not sliced for each place."""
+    return F.transform(F.array(tokens(text)), lambda w: F.array_distinct(_shifted(w, n)))[0]
+
+
+def _shifted(words: Column, n: int) -> Column:
+    parts = F.arrays_zip(*(F.slice(words, k + 1, F.greatest(F.lit(0), F.size(words) - n + 1)).alias(f"w{k}") for k in range(n)))
+    return F.transform(parts, lambda p: F.concat_ws(" ", *(p[f"w{k}"] for k in range(n))))
+
+
 def heading_path(value: Column) -> Column:
     """A JSON array of strings; anything else gives an empty array."""
     return F.coalesce(F.from_json(value, "array<string>"), F.array().cast("array<string>"))

@@ -42,7 +42,7 @@ def run_view(events: DataFrame, key: str, at: str, kind: str, started: str, fini
 
 def quota(events: DataFrame, key: str, at: str, hours: int = 24) -> DataFrame:
     """Each event with how many its key had in the last hours, itself included."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(at)).rangeBetween(-hours * 3_600_000_000, 0)
+    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-hours * 3_600_000_000, 0)
     return events.withColumn("used", F.count(F.lit(1)).over(w))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corvid.plans import lexical, vectors
+from corvid.plans import lexical, runs, texts, vectors
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (lexical, vectors):
+for _module in (lexical, vectors, texts, runs):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE

@@ -148,6 +148,6 @@ ORACLE = {
     "identifier_candidates": """
         SELECT item_id, doc_id, CAST(1 AS BIGINT) AS hits FROM benchmark b JOIN documents d ON b.item_id % 100 = d.doc_id % 100""",
     "title_boost": """
-        SELECT item_id, n_nationkey, 100.0 + CASE WHEN n_nationkey % 2 = 0 THEN 40.0 ELSE 0.0 END + 48.0 AS boost
+        SELECT item_id, n_nationkey, CAST(148 + CASE WHEN n_nationkey % 2 = 0 THEN 40 ELSE 0 END AS DOUBLE) AS boost
         FROM benchmark JOIN nation ON item_id % 10 = n_nationkey % 10""",
 }

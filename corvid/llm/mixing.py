@@ -155,6 +155,6 @@ def mixed(docs: DataFrame, targets: Targets | None = None, topics: int = TOPICS,
 
 def sampled(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
     """The rows of ``docs`` that are sampled, once for each copy, with all their columns."""
-    chosen = saved(mixed(docs, targets).filter("copies > 0").select("doc_id", "copies").distinct(), "sampled")
-    rows = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"])).drop(chosen["doc_id"])
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    chosen = saved(mixed(docs, targets).filter("copies > 0").select(F.col("doc_id").alias("_sampled_id"), F.col("copies").alias("_sampled_copies")).distinct(), "sampled")
+    rows = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_sampled_id"]))
+    return rows.withColumn("_sampled_copy", F.explode(F.sequence(F.lit(1), "_sampled_copies"))).select(*docs.columns)

@@ -105,6 +105,8 @@ def repeated_symbols(docs: DataFrame, buckets: int, window: int, rounds: int) ->
             for part in slices(batch, "text", PIECE_BYTES):
                 names, _ = symbols(*_laid(utf8(part.column("text"))), rounds, context)
                 found, counts = np.unique(names, return_counts=True)
+                if not len(found):
+                    continue
                 where = (found >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(where, prepend=-1))
                 ends = [*cuts[1:], len(found)]

@@ -113,7 +113,7 @@ def sections(text: str, marks: str) -> list[tuple[str, str]]:
     """(heading, content) for each heading of that level; what stands before the first is not part of any."""
     found = list(re.finditer(rf"^{marks} (.+)$", text, re.M))
     ends = [m.start() for m in found[1:]] + [len(text)]
-    return [(m[1], text[min(m.end() + 1, len(text)) : end]) for m, end in zip(found, ends, strict=True)]
+    return [(m[1], text[min(m.end() + 1, len(text)) : end]) for m, end in zip(found, ends, strict=False)]
 
 
 def _whole_or(text: str, path: list[str], image: bool, count: Counter, split: Callable[[], list[str]]) -> list[Piece]:
@@ -314,9 +314,9 @@ SPANS = "array<struct<start:int,end:int,lit:string>>"
 def with_recipes(chunks: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Chunks with their recipes instead of their texts; a recipe that does not give the text back becomes one literal."""
 
-    def solve(text, source):
-        import pandas as pd
+    import pandas as pd
 
+    def solve(text, source):
         rows = []
         for c, s in zip(text, source, strict=True):
             s = inlined(s)
@@ -325,8 +325,8 @@ def with_recipes(chunks: DataFrame, docs: DataFrame, id_col: str = "doc_id") ->
             rows.append(got if back == c else [{"start": None, "end": None, "lit": c}])
         return pd.Series(rows)
 
-    solve.__annotations__ = {}
-    udf = F.pandas_udf(solve, SPANS, F.PandasUDFType.SCALAR) if hasattr(F, "PandasUDFType") else F.pandas_udf(solve, SPANS)
+    solve.__annotations__ = {"text": pd.Series, "source": pd.Series, "return": pd.Series}
+    udf = F.pandas_udf(solve, SPANS)
     both = chunks.join(docs.select(id_col, F.col("text").alias("source_text")), id_col)
     return both.withColumn("spans", udf("text", "source_text")).drop("text", "source_text")
 

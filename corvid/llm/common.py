@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one Arrow slice holds when Python code expands it.
 SLICE_BYTES = 2 << 20
+#: Ids that are broadcast to pick documents by (16 bytes each, with what comes with them).
+BROADCAST_IDS = 2_000_000
 #: Rows of an Arrow batch while a table is written.
 BATCH_ROWS = 2000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -44,7 +46,23 @@ def saved(df: DataFrame, name: str, codec: str = "zstd", batch_rows: int = BATCH
         df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(_BATCH, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``saved`` wrote, once all that read them is written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, condition, how: str) -> DataFrame:
+    """Join documents with a written table of ids. Up to BROADCAST_IDS of them, counted first, are broadcast, so that no text
+    moves; more are joined by a shuffle."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, condition, how)
 
 
 def input_bytes(df: DataFrame, column: str) -> int:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid.llm.common import saved
+from corvid.llm.common import by_ids, saved
 
 #: Deleted before texts are compared: the class [\x20\x09-\x0D].
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -77,5 +77,5 @@ def exact_groups(docs: DataFrame, **options) -> DataFrame:
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    dropped = saved(exact_groups(docs, **options).filter(~F.col("kept")).select("doc_id"), "dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    dropped = saved(exact_groups(docs, **options).filter(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    return by_ids(docs, dropped, "doc_id", "left_anti").select(docs.columns)

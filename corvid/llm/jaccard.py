@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import input_bytes, mix, saved, slices, starts_of, utf8, word_arrays
+from corvid.llm.common import by_ids, input_bytes, mix, release, saved, slices, starts_of, utf8, word_arrays
 from corvid.llm.components import components
 
 #: Words in a shingle; a link needs 100 * intersection >= PERCENT * union.
@@ -31,8 +31,6 @@ WORDS, PERCENT = 4, 85
 MOST_SMALL, SCAN_COST = 20, 12
 #: Counters of the frequency sketch: shingles for each, and least and most counters (4 bytes each, so at most 64 MB).
 SHINGLES_A_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 128, 1 << 16, 1 << 24
-#: Ids that are broadcast to pick the texts to verify (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 RANGES = 16
 #: 64-bit words of a parity sketch.
 SKETCH_WORDS = 8
@@ -235,8 +233,7 @@ def _posted(docs: DataFrame, order, small: int, words: int, percent: int) -> Dat
 def _picked(docs: DataFrame, pairs: DataFrame, words: int, column: str, form) -> DataFrame:
     """(doc_id, ``column``): ``form`` of the set of every document that occurs in a pair. Other texts aren't moved."""
     ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    texts = by_ids(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), ids, "doc_id", "left_semi")
 
     def run(batches):
         for batch in batches:
@@ -244,7 +241,9 @@ def _picked(docs: DataFrame, pairs: DataFrame, words: int, column: str, form) ->
                 found = shingle_sets(utf8(part.column("text")), words)
                 yield pa.record_batch([part.column("doc_id"), pa.array([form(s) for s in found], pa.binary())], names=["doc_id", column])
 
-    return saved(texts.mapInArrow(run, f"doc_id bigint, {column} binary").dropDuplicates(["doc_id"]), column)
+    found = saved(texts.mapInArrow(run, f"doc_id bigint, {column} binary").dropDuplicates(["doc_id"]), column)
+    release(ids)
+    return found
 
 
 def fine_sketch(elements: np.ndarray) -> bytes:
@@ -287,10 +286,14 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int
 
         half = pairs.join(forms.withColumnsRenamed({"doc_id": "b", column: "y"}), "b")
         both = half.join(forms.withColumnsRenamed({"doc_id": "a", column: "x"}), "a")
-        return saved(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), name, batch_rows=400)
+        out = saved(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), name, batch_rows=400)
+        release(forms)
+        return out
 
     likely = step(pairs, "fine", fine_sketch, fine_may_link, "likely")
-    return step(likely, "elements", np.ndarray.tobytes, linked, "links")
+    out = step(likely, "elements", np.ndarray.tobytes, linked, "links")
+    release(likely)
+    return out
 
 
 def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most_small: int = MOST_SMALL) -> DataFrame:
@@ -315,6 +318,7 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most_sma
     order.destroy()
     centres = saved(posted.groupBy("key").agg(F.min(F.when(F.col("role") < 2, F.col("doc_id"))).alias("centre"), F.count(F.lit(1)).alias("length")).filter("length > 1 AND centre IS NOT NULL").drop("length"), "centres")
     lists = saved(posted.join(centres, "key"), "lists")
+    release(posted, centres)
     spokes = saved(lists.filter("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct(), "spokes")
     sketches = described.filter("part IS NULL").select("doc_id", "n", *BITS).dropDuplicates(["doc_id"])
     x, y = sketches.alias("x"), sketches.alias("y")
@@ -327,9 +331,11 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most_sma
 
     links = saved(representative(verified(docs, saved(likely, "likely-spokes"), words, percent)), "rep-links")
     near = saved(components(links), "components")
+    release(links)
     # Lists in which sets of several components meet: compare every two of them that are apart.
     with_rep = lists.filter("role IN (0, 3)").select("key", "doc_id", "role").join(aliases, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     placed = saved(with_rep.join(near.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.col("rep").alias("doc_id"), "role", F.coalesce("component", "rep").alias("component")).distinct(), "placed")
+    release(lists)
     apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     several = saved(placed.join(saved(apart, "apart"), "key", "left_semi").join(sketches, "doc_id"), "several")
     x, y = several.filter("role = 0").alias("x"), several.alias("y")
@@ -337,13 +343,15 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most_sma
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & order_ & may_link("x", "y", percent)).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     tried = saved(representative(spokes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
     pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    release(placed, several, spokes, tried)
     more = verified(docs, pairs, words, percent)
     near = saved(components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
+    release(described, first, pairs, more, aliases)
     out = named.join(near.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows whose doc_id is their component's, with all columns: one document of each group stays."""
-    dropped = saved(joined(docs).filter("doc_id <> component_id").select("doc_id"), "near-copies")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    dropped = saved(joined(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    return by_ids(docs, dropped, "doc_id", "left_anti").select(docs.columns)

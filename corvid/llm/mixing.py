@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import hash_words, saved, slices, utf8
+from corvid.llm.common import by_ids, hash_words, saved, slices, utf8
 
 TOPICS = 8
 #: The table of cells is raked on the driver up to this many cells, by DataFrame steps beyond.
@@ -156,5 +156,5 @@ def mixed(docs: DataFrame, targets: Targets | None = None, topics: int = TOPICS,
 def sampled(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
     """The rows of ``docs`` that are sampled, once for each copy, with all their columns."""
     chosen = saved(mixed(docs, targets).filter("copies > 0").select(F.col("doc_id").alias("_sampled_id"), F.col("copies").alias("_sampled_copies")).distinct(), "sampled")
-    rows = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_sampled_id"]))
+    rows = by_ids(docs, chosen, docs["doc_id"].eqNullSafe(chosen["_sampled_id"]), "inner")
     return rows.withColumn("_sampled_copy", F.explode(F.sequence(F.lit(1), "_sampled_copies"))).select(*docs.columns)

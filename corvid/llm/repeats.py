@@ -16,15 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import input_bytes, mix, saved, slices, starts_of, utf8, word_arrays
+from corvid.llm import bloom
+from corvid.llm.common import input_bytes, mix, release, saved, slices, starts_of, utf8, word_arrays
 
 #: Words in a window; pair rounds; words in the context of a symbol that is used (an anchor serves WINDOW - CONTEXT + 1 = 16 windows).
 WINDOW, ROUNDS, CONTEXT = 35, 5, 20
 REACH = WINDOW - CONTEXT + 1
 #: Text that is worked on at a time.
 PIECE_BYTES = 6 << 20
-#: The filter of repeated symbols: bits for one, probes, most bytes (fixed bound; beyond it more windows are compared), segments.
-ENTRY_BITS, PROBES, MOST_BYTES, SEGMENTS = 12, 5, 64 << 20, 64
 _NONE = np.uint64((1 << 64) - 1)
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -73,28 +72,12 @@ def _laid(texts: list[bytes]):
     return words, np.repeat(np.arange(len(counts)), counts), first, first + counts
 
 
-class Filter:
-    """A Bloom filter in segments; a key's segment is its remainder."""
-
-    def __init__(self, bits: np.ndarray, segment: int):
-        self.bits, self.segment = bits, segment
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), bool)
-        alive = np.arange(len(keys))
-        for i in range(PROBES):
-            at = keys[alive] % np.uint64(SEGMENTS) * np.uint64(self.segment) + mix(keys[alive], 200 + i) % np.uint64(self.segment)
-            alive = alive[self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1]
-        out[alive] = True
-        return out
-
-
 def _buckets(docs: DataFrame) -> int:
     return 1 << max(3, (input_bytes(docs, "text") // 6 >> 20).bit_length() + 1)
 
 
 def repeated_symbols(docs: DataFrame, buckets: int, window: int, rounds: int) -> DataFrame:
-    """(name) of every symbol that occurs twice or more, over all documents.
+    """(key, level) of every symbol that occurs twice or more, over all documents.
 
     Tasks pass each name on once for each piece of text, with whether it was there twice, packed by hash range.
     """
@@ -119,34 +102,11 @@ def repeated_symbols(docs: DataFrame, buckets: int, window: int, rounds: int) ->
         order = np.argsort(names, kind="stable")
         names, weight = names[order], weight[order]
         starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-        return pa.table({"name": pa.array(names[starts][np.add.reduceat(weight, starts) > 1].view(np.int64))})
+        twice = names[starts][np.add.reduceat(weight, starts) > 1].view(np.int64)
+        return pa.table({"key": pa.array(twice), "level": pa.array(np.ones(len(twice), np.int32))})
 
     packed = docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket int, names binary, twice binary")
-    return packed.groupBy("bucket").applyInArrow(count, "name bigint")
-
-
-def build(names: DataFrame) -> Filter:
-    entries = names.count()
-    segment = int(min(MOST_BYTES * 8, max(64 * SEGMENTS, entries * ENTRY_BITS)) // SEGMENTS // 64 * 64 + 64)
-
-    def run(batches):
-        made: dict[int, np.ndarray] = {}
-        for batch in batches:
-            keys = batch.column("name").to_numpy().view(np.uint64)
-            where = (keys % np.uint64(SEGMENTS)).astype(np.int64)
-            for s in np.unique(where):
-                bits = made.setdefault(int(s), np.zeros(segment, np.uint8))
-                for i in range(PROBES):
-                    bits[(mix(keys[where == s], 200 + i) % np.uint64(segment)).astype(np.int64)] = 1
-        yield pa.record_batch([pa.array(list(made), pa.int32()), pa.array([np.packbits(b, bitorder="little").tobytes() for b in made.values()], pa.binary())], names=["segment", "bits"])
-
-    bits = np.zeros(segment * SEGMENTS // 8, np.uint8)
-    # SEGMENTS is a power of two, so the remainder of the unsigned name is its low bits.
-    dealt = names.withColumn("segment", F.col("name").bitwiseAND(F.lit(SEGMENTS - 1)).cast("int")).repartition(SEGMENTS, "segment")
-    for row in dealt.mapInArrow(run, "segment int, bits binary").toLocalIterator():
-        at = row["segment"] * segment // 8
-        bits[at : at + segment // 8] = np.frombuffer(bytes(row["bits"]), np.uint8)
-    return Filter(bits, segment)
+    return packed.groupBy("bucket").applyInArrow(count, "key bigint, level int")
 
 
 def _slide(a: np.ndarray, reach: int) -> np.ndarray:
@@ -160,7 +120,7 @@ def _slide(a: np.ndarray, reach: int) -> np.ndarray:
     return out
 
 
-def candidates(texts: list[bytes], known: Filter, window: int, rounds: int):
+def candidates(texts: list[bytes], known: bloom.Filter, window: int, rounds: int):
     """Records of windows that may repeat: (anchor, document, first window in it, hashes of the windows, windows in each record).
 
     A record's windows follow one another and have one anchor, the symbol of least hash in reach; a window without a symbol in
@@ -204,10 +164,12 @@ def candidates(texts: list[bytes], known: Filter, window: int, rounds: int):
 def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """(key, start, mask): windows that start elsewhere too; bit b of the mask is the window at ``start + b``. ``docs`` has key and text."""
     buckets = _buckets(docs)
-    known = docs.sparkSession.sparkContext.broadcast(_plain(build(saved(repeated_symbols(docs, buckets, window, rounds), "repeated-symbols"))))
+    found_twice = saved(repeated_symbols(docs, buckets, window, rounds), "repeated-symbols")
+    known = docs.sparkSession.sparkContext.broadcast(bloom.build(found_twice))
+    release(found_twice)
 
     def run(batches):
-        found = Filter(*known.value)
+        found = known.value
         for batch in batches:
             for part in slices(batch, "text", PIECE_BYTES):
                 anchor, doc, start, hashes, sizes = candidates(utf8(part.column("text")), found, window, rounds)
@@ -255,11 +217,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
     known.destroy()
     settled = records.filter("bucket IS NULL").select("key", "start", "mask")
     asked = records.filter("bucket IS NOT NULL").select("bucket", "anchor", "key", "start", "twice", "hashes").groupBy("bucket").applyInArrow(compare, "key bigint, start int, mask int")
-    return settled.union(asked)
-
-
-def _plain(f: Filter) -> tuple[np.ndarray, int]:
-    return f.bits, f.segment
+    places = saved(settled.union(asked).distinct(), "repeated-windows")
+    release(records)
+    return places
 
 
 def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, with_text: bool = False) -> DataFrame:
@@ -270,7 +230,7 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, with_te
     same result. Columns other than doc_id and text are ignored; an empty table gives no rows.
     """
     keyed = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("key"))
-    places = saved(repeated_windows(keyed.select("key", "text"), window, rounds).distinct().groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks")), "places")
+    places = saved(repeated_windows(keyed.select("key", "text"), window, rounds).groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks")), "places")
     both = keyed.join(places, "key", "left").select("doc_id", "text", "starts", "masks")
 
     def run(batches):

@@ -19,13 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import input_bytes, mix, saved, slices, starts_of, utf8, word_arrays
+from corvid.llm import bloom
+from corvid.llm.common import input_bytes, mix, release, saved, slices, starts_of, utf8, word_arrays
 
 FOLDS, HELD_OUT = 5, 1
 #: Least count of a bigram in the filter; base of the quantisation; weight of the bigram.
 LEAST_PAIR, BASE, PAIR_WEIGHT = 2, 1.5, 0.25
-#: Bits for one entry, probes of one entry, most bytes of the filter, and parts it is built in.
-ENTRY_BITS, PROBES, MOST_BYTES, SEGMENTS = 12, 5, 64 << 20, 64
 #: Most words in the broadcast table of exact counts (16 bytes each); tokens that a task counts before it gives them out.
 HEAD_WORDS, FLUSH_TOKENS = 1 << 18, 1_500_000
 #: Fixed keys of the start of a text and of its end.
@@ -133,94 +132,44 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class Filter:
-    """The bits, by segment, and what the filter was built for."""
+class Model:
+    """The filter, and of the training documents: tokens, distinct tokens, texts."""
 
-    bits: np.ndarray
-    segment_bits: int
+    filter: bloom.Filter
     total: int
     distinct: int
     texts: int
 
-    def _has(self, key: np.ndarray, q: int) -> np.ndarray:
-        """Which keys have an entry of level q, as positions."""
-        alive = np.arange(len(key))
-        base = (key % np.uint64(SEGMENTS)) * np.uint64(self.segment_bits)
-        first, second = mix(key, 100 + q), mix(key, 5000 + q) | np.uint64(1)
-        with np.errstate(over="ignore"):
-            for i in range(PROBES):
-                at = base[alive] + (first[alive] + np.uint64(i) * second[alive]) % np.uint64(self.segment_bits)
-                alive = alive[(self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                if not len(alive):
-                    break
-        return alive
-
-    def levels(self, key: np.ndarray) -> np.ndarray:
-        """Each key's level: probed upwards from 1 until an entry is missing."""
-        out = np.zeros(len(key), np.int64)
-        alive = np.arange(len(key))
-        q = 1
-        while len(alive) and q < 200:
-            alive = alive[self._has(key[alive], q)]
-            out[alive] = q
-            q += 1
-        return out
-
     def log10(self, keys: np.ndarray, before: np.ndarray) -> np.ndarray:
         """log10 of each token's probability after the one before it."""
         codes, words = pd.factorize(keys)
-        single = middle(self.levels(mix(words, 21)), 1)
+        single = middle(self.filter.levels(mix(words, 21)), 1)
         single[words == END] = self.texts
         space = self.total + 0.5 * (self.distinct + 1)
         unigram = ((single + 0.5) / space)[codes]
         history = np.empty(len(keys))
         history[1:] = single[codes][:-1]
         history[before == START] = self.texts
-        pair = middle(self.levels(mix(_pair(before, keys), 22)), LEAST_PAIR)
+        pair = middle(self.filter.levels(mix(_pair(before, keys), 22)), LEAST_PAIR)
         seen = np.minimum(1.0, pair / np.maximum(np.maximum(history, pair), 1))
         return np.log10(PAIR_WEIGHT * seen + (1 - PAIR_WEIGHT) * unigram)
 
 
-def build(counts: DataFrame, total: int, distinct: int, texts: int) -> Filter:
-    """The filter over a written table of counts. Its bits for an entry fall below ENTRY_BITS only at its largest size."""
-    rows = counts.select(F.col("kind"), F.col("key"), F.col("count"))
-    step = F.lit(float(np.log(BASE)))
-    lv = 1 + F.floor(F.log(F.when(F.col("kind") == 1, F.col("count")).otherwise(F.col("count") / LEAST_PAIR)) / step + 1e-9)
-    entries = rows.agg(F.sum(lv)).first()[0] or 0
-    segment = int(min(MOST_BYTES * 8, max(64 * SEGMENTS, entries * ENTRY_BITS)) // SEGMENTS // 64 * 64 + 64)
+def build(counts: DataFrame) -> bloom.Filter:
+    """The filter over a written table of counts: every n-gram with its level."""
 
-    def run(batches):
-        made: dict[int, np.ndarray] = {}
-        for batch in batches:
-            kind, key, count = (batch.column(c).to_numpy() for c in ("kind", "key", "count"))
-            for k, least in ((1, 1), (2, LEAST_PAIR)):
-                own = mix(key[kind == k].view(np.uint64), 20 + k)
-                q = level(count[kind == k], least)
-                where = (own % np.uint64(SEGMENTS)).astype(np.int64)
-                for s in np.unique(where):
-                    bits = made.setdefault(int(s), np.zeros(segment, np.uint8))
-                    keys, top = own[where == s], q[where == s]
-                    for j in range(1, int(top.max()) + 1):
-                        keys, top = keys[top >= j], top[top >= j]
-                        first, second = mix(keys, 100 + j), mix(keys, 5000 + j) | np.uint64(1)
-                        with np.errstate(over="ignore"):
-                            for i in range(PROBES):
-                                bits[((first + np.uint64(i) * second) % np.uint64(segment)).astype(np.int64)] = 1
-        if made:
-            yield pa.record_batch([pa.array(list(made), pa.int32()), pa.array([np.packbits(b, bitorder="little").tobytes() for b in made.values()], pa.binary())], names=["segment", "bits"])
-
-    # Rows are dealt by segment, so each segment is built whole in one task; the driver lays them side by side.
-    bits = np.zeros(segment * SEGMENTS // 8, np.uint8)
-    own = F.pandas_udf(lambda kind, key: pd.Series((_salted(kind.to_numpy(), key.to_numpy()) % np.uint64(SEGMENTS)).astype(np.int32)), "int")
-    for row in rows.withColumn("segment", own("kind", "key")).repartition(SEGMENTS, "segment").mapInArrow(run, "segment int, bits binary").toLocalIterator():
-        at = row["segment"] * segment // 8
-        bits[at : at + segment // 8] |= np.frombuffer(bytes(row["bits"]), np.uint8)
-    return Filter(bits, segment, total, distinct, texts)
-
-
-def _salted(kind: np.ndarray, key: np.ndarray) -> np.ndarray:
-    key = np.ascontiguousarray(key, np.int64).view(np.uint64)
-    return np.where(kind == 1, mix(key, 21), mix(key, 22))
+    def run(kind: pd.Series, key: pd.Series, count: pd.Series) -> pd.DataFrame:
+        k, n = kind.to_numpy(), count.to_numpy()
+        own = np.ascontiguousarray(key.to_numpy(), np.int64).view(np.uint64)
+        salted = np.where(k == 1, mix(own, 21), mix(own, 22))
+        return pd.DataFrame({"key": salted.view(np.int64), "level": np.where(k == 1, level(n, 1), level(n, LEAST_PAIR)).astype(np.int32)})
+
+    run.__annotations__ = {"kind": pd.Series, "key": pd.Series, "count": pd.Series, "return": pd.DataFrame}
+    got = F.pandas_udf(run, "key bigint, level int")("kind", "key", "count").alias("e")
+    entries = saved(counts.select(got).select("e.key", "e.level"), "entries")
+    out = bloom.build(entries)
+    release(entries)
+    return out
 
 
 def scored(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
@@ -236,7 +185,7 @@ def scored(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     words = counts.filter("kind = 1").select("key", "count")
     total, distinct = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
     end = words.filter(F.col("key") == int(END.astype(np.int64))).first()
-    model = spark.sparkContext.broadcast(build(counts, total, distinct, end["count"] if end else 0))
+    model = spark.sparkContext.broadcast(Model(build(counts), total, distinct, end["count"] if end else 0))
     # The least power of two from which on the words' number is within the bound.
     powers = words.groupBy(F.floor(F.log2("count")).alias("p")).count().collect()
     least, room = 0, head_words

@@ -214,7 +214,7 @@ def test_scores_empty(none):
 def test_filter_levels(spark):
     """Each n-gram's level comes back, but for few false positives; what was never put in is mostly at level 0."""
     counts = [(1, k * 7919, 1 + k % 50) for k in range(1, 4000)] + [(2, k * 104729, 2 + k % 90) for k in range(1, 4000)]
-    f = scoring.build(spark.createDataFrame(counts, "kind int, key long, count long"), 10, 5, 2)
+    f = scoring.build(spark.createDataFrame(counts, "kind int, key long, count long"))
     for kind, least in ((1, 1), (2, 2)):
         keys = np.array([k for t, k, _ in counts if t == kind], np.uint64)
         level = scoring.level(np.array([c for t, _, c in counts if t == kind]), least)

@@ -320,7 +320,8 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most_sma
     lists = saved(posted.join(centres, "key"), "lists")
     release(posted, centres)
     spokes = saved(lists.filter("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct(), "spokes")
-    sketches = described.filter("part IS NULL").select("doc_id", "n", *BITS).dropDuplicates(["doc_id"])
+    # Written, so that a join with a hot centre has nothing but exchanges below it and can be split.
+    sketches = saved(described.filter("part IS NULL").select("doc_id", "n", *BITS).dropDuplicates(["doc_id"]), "sketches")
     x, y = sketches.alias("x"), sketches.alias("y")
     likely = spokes.join(x, F.col("a") == F.col("x.doc_id")).join(y, (F.col("b") == F.col("y.doc_id")) & may_link("x", "y", percent)).select("a", "b")
 
@@ -346,7 +347,7 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most_sma
     release(placed, several, spokes, tried)
     more = verified(docs, pairs, words, percent)
     near = saved(components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
-    release(described, first, pairs, more, aliases)
+    release(described, first, pairs, more, aliases, sketches)
     out = named.join(near.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 

@@ -222,7 +222,7 @@ def coverage_requirements(spark, d):
         return texts.map(agent.requirements)
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    question = F.concat(F.element_at(F.array(*map(F.lit, phrases)), (F.col("item_id") % 5 + 1).cast("int")), F.lit(" "), F.substring("text", 1, 40))
+    question = F.concat(F.element_at(F.array(*map(F.lit, phrases)), (F.col("item_id") % 5 + 1).cast("int")), F.lit(" "), F.col("text"))
     return table(spark, d, "benchmark").select("item_id", F.pandas_udf(run, "array<string>")(question).alias("requirements"))
 
 

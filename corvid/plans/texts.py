@@ -17,7 +17,7 @@ def _docs(spark, d):
 
 def _lines(spark, d):
     rows = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    return rows.withColumn("line", F.when(F.col("i") % 5 == 0, F.concat(F.repeat(F.lit("#"), (F.col("i") % 3 + 1).cast("int")), F.lit(" "), F.substring("line", 1, 20))).otherwise(F.col("line")))
+    return rows.withColumn("line", F.when(F.col("i") % 5 == 0, F.concat(F.repeat(F.lit("#"), (F.col("i") % 3 + 1).cast("int")), F.lit(" "), F.col("line"))).otherwise(F.col("line")))
 
 
 def classify_documents(spark, d):
@@ -40,13 +40,13 @@ def clean_text(spark, d):
 
 
 def boilerplate_removed(spark, d):
-    text = F.concat(F.lit("## Al margen un sello\n### ATENTAMENTE\n"), F.substring("text", 1, 40))
+    text = F.concat(F.lit("## Al margen un sello\n### ATENTAMENTE\n"), F.col("text"))
     return _docs(spark, d).select("doc_id", T.without_boilerplate(text).alias("text"))
 
 
 def image_refs(spark, d):
     """Inlined image descriptions and the images' names."""
-    text = F.concat(F.lit("<!-- IMAGE_DESCRIPTION: img"), F.col("doc_id").cast("string"), F.lit(".png\nA chart.\n-->\n"), F.substring("text", 1, 30))
+    text = F.concat(F.lit("<!-- IMAGE_DESCRIPTION: img"), F.col("doc_id").cast("string"), F.lit(".png\nA chart.\n-->\n"), F.col("text"))
     return _docs(spark, d).select("doc_id", T.inlined_images(text).alias("text"), F.regexp_extract(text, r"IMAGE_DESCRIPTION:\s*(\S+)", 1).alias("ref"))
 
 
@@ -68,7 +68,7 @@ def open_headings(spark, d):
 
 def page_split(spark, d):
     """Text before a page mark belongs to that page, the rest to the last page seen, or to page 1."""
-    text = F.concat(F.substring("text", 1, 30), F.lit("{1}-----"), F.substring("text", 31, 30), F.when(F.col("doc_id") % 2 == 0, F.lit("{2}-----tail")).otherwise(F.lit("")))
+    text = F.concat(F.substring("text", 1, 30), F.lit("{1}-----"), F.substr(F.col("text"), F.lit(31)), F.when(F.col("doc_id") % 2 == 0, F.lit("{2}-----tail")).otherwise(F.lit("")))
     rows = _docs(spark, d).select("doc_id", F.split(text, r"\{\d+\}-+").alias("parts"), F.regexp_extract_all(text, F.lit(r"\{(\d+)\}-+"), F.lit(1)).alias("pages"))
     rows = rows.select("doc_id", "pages", F.posexplode("parts").alias("i", "part"))
     page = F.coalesce(F.try_element_at("pages", F.col("i") + 1), F.try_element_at("pages", F.lit(-1)), F.lit("1"))
@@ -76,7 +76,7 @@ def page_split(spark, d):
 
 
 def fragment_titles(spark, d):
-    title = F.concat(F.element_at(F.array(*map(F.lit, ["II. ", "Sección ", "", "B. "])), (F.col("doc_id") % 4 + 1).cast("int")), F.substring("text", 1, 25))
+    title = F.concat(F.element_at(F.array(*map(F.lit, ["II. ", "Sección ", "", "B. "])), (F.col("doc_id") % 4 + 1).cast("int")), F.regexp_extract("text", r"^[^\n]*", 0))
     return _docs(spark, d).select("doc_id", T.is_fragment_title(title).alias("fragment"))
 
 
@@ -267,7 +267,7 @@ _PATTERN = rf"""
         WHEN len(regexp_extract_all(t, '(?m)^\*\*[A-ZÁÉÍÓÚÑ][^*]{{5,80}}\*\*[ \t]*$')) >= 2 THEN 'bold_headers' ELSE 'plain' END AS pattern FROM s)"""
 _LINES = """
     raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS i FROM documents),
-    lines AS (SELECT doc_id, i, CASE WHEN i % 5 = 0 THEN repeat('#', i % 3 + 1) || ' ' || substring(line, 1, 20) ELSE line END AS line FROM raw),
+    lines AS (SELECT doc_id, i, CASE WHEN i % 5 = 0 THEN repeat('#', i % 3 + 1) || ' ' || line ELSE line END AS line FROM raw),
     lev AS (SELECT *, CAST(length(regexp_extract(line, '^(#{1,6})[ \\t]+\\S', 1)) AS INTEGER) AS level FROM lines)"""
 
 ORACLE = {
@@ -279,8 +279,8 @@ ORACLE = {
         y AS (SELECT doc_id, array_to_string(list_transform(string_split(t, chr(10)), lambda z: CASE WHEN regexp_matches(z, '^[ \t|+\-:=]{10,}$')
             THEN '|' || repeat('---|', CAST(greatest(1, CASE WHEN contains(z, '+') THEN length(z) - length(replace(z, '+', '')) - 1 WHEN contains(z, '|') THEN length(z) - length(replace(z, '|', '')) - 1 ELSE 1 END) AS INTEGER)) ELSE z END), chr(10)) AS t FROM x)
         SELECT doc_id, md5(regexp_replace(regexp_replace(t, ' {3,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS digest FROM y""",
-    "boilerplate_removed": r"""SELECT doc_id, ' un sello' || chr(10) || chr(10) || substring(text, 1, 40) AS text FROM documents""",
-    "image_refs": "SELECT doc_id, '[Imagen: img' || doc_id || '.png] A chart.' || chr(10) || chr(10) || substring(text, 1, 30) AS text, 'img' || doc_id || '.png' AS ref FROM documents",
+    "boilerplate_removed": r"""SELECT doc_id, ' un sello' || chr(10) || chr(10) || text AS text FROM documents""",
+    "image_refs": "SELECT doc_id, '[Imagen: img' || doc_id || '.png] A chart.' || chr(10) || chr(10) || text AS text, 'img' || doc_id || '.png' AS ref FROM documents",
     "heading_levels": f"WITH {_LINES} SELECT doc_id, i, level FROM lev WHERE level > 0",
     "open_headings": f"""WITH {_LINES},
         a AS (SELECT *, max(CASE WHEN level = 1 THEN i END) OVER w AS a1, max(CASE WHEN level = 2 THEN i END) OVER w AS a2, max(CASE WHEN level = 3 THEN i END) OVER w AS a3 FROM lev
@@ -290,11 +290,11 @@ ORACLE = {
         LEFT JOIN lines x ON x.doc_id = b.doc_id AND x.i = a1 LEFT JOIN lines y ON y.doc_id = b.doc_id AND y.i = a2 LEFT JOIN lines z ON z.doc_id = b.doc_id AND z.i = a3""",
     "page_split": """
         WITH p AS (SELECT doc_id, 0 AS i, '1' AS page, substring(text, 1, 30) AS part FROM documents
-             UNION ALL SELECT doc_id, 1, CASE WHEN doc_id % 2 = 0 THEN '2' ELSE '1' END, substring(text, 31, 30) FROM documents
+             UNION ALL SELECT doc_id, 1, CASE WHEN doc_id % 2 = 0 THEN '2' ELSE '1' END, substring(text, 31) FROM documents
              UNION ALL SELECT doc_id, 2, '2', 'tail' FROM documents WHERE doc_id % 2 = 0)
         SELECT doc_id, CAST(i AS INTEGER) AS i, page, part FROM p WHERE part <> ''""",
     "fragment_titles": r"""
-        WITH t AS (SELECT doc_id, trim(CASE doc_id % 4 WHEN 0 THEN 'II. ' WHEN 1 THEN 'Sección ' WHEN 2 THEN '' ELSE 'B. ' END || substring(text, 1, 25)) AS t FROM documents)
+        WITH t AS (SELECT doc_id, trim(CASE doc_id % 4 WHEN 0 THEN 'II. ' WHEN 1 THEN 'Sección ' WHEN 2 THEN '' ELSE 'B. ' END || regexp_extract(text, '^[^\n]*')) AS t FROM documents)
         SELECT doc_id, length(t) < 20 OR doc_id % 4 <> 2 OR regexp_matches(t, '(?i)^(?:[IVXLCDM]{1,6}\.|[A-Z]\.|secci[oó]n\b|cap[ií]tulo\b|apartado\b|numeral\b|transitorio)') AS fragment FROM t""",
     "slug_titles": "SELECT doc_id, doc_id % 3 < 2 AS slug FROM documents",
     "html_links": """

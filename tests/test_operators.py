@@ -116,3 +116,54 @@ def test_streamed_windows(spark, data, tmp_path):
         events.drain(query, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
     got = spark.read.parquet(f"{tmp_path}/out").orderBy("window_start").collect()
     assert [(r["window_start"].hour, r["n"]) for r in got] == [(0, 1), (5, 1)]
+
+
+def test_embedding_retries_and_gives_up(spark):
+    from corvid.operators import embedding
+
+    class Flaky:
+        def __init__(self):
+            self.calls = 0
+
+        def embed(self, texts):
+            self.calls += 1
+            if any("bad" in t for t in texts) or self.calls % 2:
+                raise RuntimeError("no")
+            return [[1.0, 0.0] for _ in texts]
+
+    df = spark.createDataFrame([(1, "ok"), (2, "bad"), (3, None)], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in embedding.embedded(df, Flaky, "doc_id", "text", batch=1, wait=lambda s: None).collect()}
+    assert got[1]["embedding"] == [1.0, 0.0] and got[3]["error"] is None
+    assert got[2]["embedding"] is None and got[2]["error"] == "RuntimeError: no"
+
+
+def test_late_chunks(spark):
+    tokens = spark.createDataFrame([(1, 0, 4, [1.0, 0.0]), (1, 4, 9, [0.0, 1.0]), (1, 9, 12, [4.0, 4.0])], "doc_id long, start int, end int, embedding array<double>")
+    chunks = spark.createDataFrame([(1, 0, 0, 8), (1, 1, 9, 12)], "doc_id long, chunk_index int, start int, end int")
+    got = {r["chunk_index"]: r["embedding"] for r in vector.late_chunks(tokens, chunks).collect()}
+    assert got == {0: [0.5, 0.5], 1: [4.0, 4.0]}
+
+
+def test_guarded_delete(spark):
+    from corvid.operators import validation
+
+    rows = spark.createDataFrame([("seed:a",), ("ana",), (None,)], "user string")
+    assert validation.guarded_delete(rows, "user", "seed:").count() == 2
+    with pytest.raises(ValueError):
+        validation.guarded_delete(rows, "user", "a")
+
+
+def test_store_guards_and_migration(spark):
+    with pytest.raises(ValueError):
+        store.guard({"dims": "64"}, {"dims": "128"})
+    store.guard({"dims": "64"}, {"dims": "64", "model": "x"})
+    old = spark.createDataFrame([(1, "x")], "id int, as_of_date string")
+    new = store.migrated(old, {"as_of_date": "as_of"}, {"published_at": "timestamp"})
+    assert new.columns == ["id", "as_of", "published_at"] and new.first()["published_at"] is None
+
+
+def test_replace_partitions_keeps_the_others(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    store.replace_partitions(spark.createDataFrame([(1, 2020), (2, 2021)], "v int, year int"), path, ["year"])
+    store.replace_partitions(spark.createDataFrame([(9, 2021)], "v int, year int"), path, ["year"])
+    assert {(r["v"], r["year"]) for r in spark.read.parquet(path).collect()} == {(1, 2020), (9, 2021)}

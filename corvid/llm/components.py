@@ -11,10 +11,10 @@ from corvid.llm.common import saved
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One star step. Large: a node's larger neighbours move to the smallest in its neighbourhood; small: its smaller ones and itself.
 
-    The smallest neighbour comes from a partial aggregate and goes back by a join of two written tables, so the neighbourhood of
-    a hub is never gathered and its rows can be split.
+    The smallest neighbour comes from a partial aggregate, is written, and goes back by a join with nothing but exchanges below
+    it, so the neighbourhood of a hub is never gathered and its rows can be split.
     """
-    both = saved(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     joined = both.join(least, "a")
     if large:
@@ -26,7 +26,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component) of every node in ``edges`` (a, b); the component is its smallest node. Loops and repeats do no harm."""
     now = saved(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    before = None
+    before = (0, None)
     for _ in range(most):
         now = saved(_stars(saved(_stars(now, True), "stars"), False), "stars")
         # Both steps keep the components; nothing more moves once the sum over all edges stands still and every edge is a star's.

@@ -57,3 +57,12 @@ def nearest_rank(values: Column, percent: int) -> Column:
     """The value at place ``min(n * percent / 100, n - 1)`` from 0 of the sorted values."""
     ordered = F.sort_array(F.collect_list(values))
     return F.element_at(ordered, (F.least(F.floor(F.size(ordered) * percent / 100), F.size(ordered) - 1) + 1).cast("int"))
+
+
+def report(rows: DataFrame, title: str) -> str:
+    """A small result, such as a table of metrics by category, as Markdown."""
+    names = rows.columns
+    lines = [f"## {title}", "", "| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
+    for r in rows.collect():
+        lines.append("| " + " | ".join("total" if r[n] is None else f"{r[n]:.4f}" if isinstance(r[n], float) else str(r[n]) for n in names) + " |")
+    return "\n".join(lines) + "\n"

@@ -75,3 +75,20 @@ def drain(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") ->
 def first_requests(requests: DataFrame, late: str = "1 day") -> DataFrame:
     """The first request of each user and client id, within the time that late ones may take."""
     return requests.withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id", "client_id"])
+
+
+def tail(rows: DataFrame, deliver, key: str, sequence: str, cursors: dict, checkpoint: str):
+    """Deliver each run's events after its cursor, in order, batch by batch: ``deliver(run, events)``. Events at or before the
+    cursor are not given out again; the cursor moves with what is. ``cursors`` belongs to one client, so its runs are few."""
+
+    def batch(df: DataFrame, _: int) -> None:
+        wanted = df.filter(F.col(key).isin(list(cursors))).orderBy(key, sequence)
+        held: dict = {}
+        for row in wanted.toLocalIterator():
+            if row[sequence] > cursors[row[key]]:
+                cursors[row[key]] = row[sequence]
+                held.setdefault(row[key], []).append(row.asDict())
+        for run, events in held.items():
+            deliver(run, events)
+
+    return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

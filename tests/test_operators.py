@@ -167,3 +167,33 @@ def test_replace_partitions_keeps_the_others(spark, tmp_path):
     store.replace_partitions(spark.createDataFrame([(1, 2020), (2, 2021)], "v int, year int"), path, ["year"])
     store.replace_partitions(spark.createDataFrame([(9, 2021)], "v int, year int"), path, ["year"])
     assert {(r["v"], r["year"]) for r in spark.read.parquet(path).collect()} == {(1, 2020), (9, 2021)}
+
+
+def test_cache_is_reused_only_for_the_same_settings(spark, tmp_path):
+    from corvid.sources import provenance
+
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    for meta in ({"m": "a"}, {"m": "a"}, {"m": "b"}):
+        assert provenance.cached(spark, f"file://{tmp_path}/c", meta, make).count() == 3
+    assert len(made) == 2
+    assert provenance.fingerprint(spark.range(5)) == provenance.fingerprint(spark.range(5).repartition(3)) != provenance.fingerprint(spark.range(6))
+
+
+def test_report(spark):
+    from corvid.operators import evaluate
+
+    text = evaluate.report(spark.createDataFrame([("a", 0.5), (None, 0.25)], "category string, mrr double"), "Metrics")
+    assert "| a | 0.5000 |" in text and "| total | 0.2500 |" in text
+
+
+def test_tail_delivers_after_the_cursor(spark, tmp_path):
+    spark.createDataFrame([("r1", i) for i in range(1, 6)] + [("r2", 1)], "run string, sequence int").write.parquet(f"{tmp_path}/in")
+    got = []
+    rows = spark.readStream.schema("run string, sequence int").parquet(f"{tmp_path}/in")
+    events.tail(rows, lambda run, e: got.append((run, [x["sequence"] for x in e])), "run", "sequence", {"r1": 3}, f"{tmp_path}/checkpoint").awaitTermination()
+    assert got == [("r1", [4, 5])]

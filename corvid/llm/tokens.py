@@ -7,7 +7,7 @@ import os
 import numpy as np
 
 #: Distinct words whose ids one Python worker remembers.
-CACHED_WORDS = 700_000
+CACHED_WORDS = 1_000_000
 #: Punctuation after a word's letters that is encoded by itself.
 TAIL = b".,;:!?*#$%&|"
 
@@ -90,8 +90,8 @@ class WordTokenizer:
         new = set().union(*words).difference(self.ids)
         if new:
             self._learn(new)
-        known = self.ids
-        return [b"".join([known[w] for w in ws]) for ws in words]
+        find = self.ids.__getitem__
+        return [b"".join(map(find, ws)) for ws in words]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

@@ -77,6 +77,8 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
                     counts = np.log1p(np.bincount(bucket[np.frombuffer(x, encoder.dtype) & 0xFFFF], minlength=BUCKETS))
                     out[i] = counts @ matrix / np.sqrt(counts @ counts)
                 yield pa.record_batch([part.column("doc_id"), pa.array([len(x) // encoder.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary()), *(pa.array(out[:, i]) for i in range(DIMENSIONS))], names=["doc_id", "n_tokens", "ids", *(f"p{i}" for i in range(DIMENSIONS))])
+        # The worker lives on and may do other things next.
+        encoder.shrink()
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, TOKENISED)
 

@@ -7,7 +7,7 @@ import os
 import numpy as np
 
 #: Distinct words whose ids one Python worker remembers.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 600_000
 #: Punctuation after a word's letters that is encoded by itself.
 TAIL = b".,;:!?*#$%&|"
 
@@ -39,6 +39,7 @@ class WordTokenizer:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cached = cached
         self.ids: dict[bytes, bytes] = {}
+        self.recent: set[bytes] = set()
 
     def _alone(self, words: list[bytes]) -> None:
         for i in range(0, len(words), 10_000):
@@ -85,13 +86,18 @@ class WordTokenizer:
         """Each text's ids, as the bytes of little-endian integers of ``dtype``."""
         # Lower case comes first so that fewer words are distinct; not where a special token's name might come of it.
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if len(self.ids) > self.cached:
-            self.ids.clear()
-        new = set().union(*words).difference(self.ids)
-        if new:
+        self.recent = set().union(*words)
+        if new := self.recent.difference(self.ids):
             self._learn(new)
         find = self.ids.__getitem__
-        return [b"".join(map(find, ws)) for ws in words]
+        out = [b"".join(map(find, ws)) for ws in words]
+        if len(self.ids) > self.cached:
+            self.shrink()
+        return out
+
+    def shrink(self) -> None:
+        """Forget all but the words of the last texts, among which the frequent ones are."""
+        self.ids = {w: self.ids[w] for w in self.recent}
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

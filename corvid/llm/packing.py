@@ -72,11 +72,11 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = [x + end for x in encoder.encode(utf8(part.column("text")))]
-                out = np.zeros((len(ids), DIMENSIONS))
-                for i, x in enumerate(ids):
-                    counts = np.log1p(np.bincount(bucket[np.frombuffer(x, encoder.dtype) & 0xFFFF], minlength=BUCKETS))
-                    out[i] = counts @ matrix / np.sqrt(counts @ counts)
-                yield pa.record_batch([part.column("doc_id"), pa.array([len(x) // encoder.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary()), *(pa.array(out[:, i]) for i in range(DIMENSIONS))], names=["doc_id", "n_tokens", "ids", *(f"p{i}" for i in range(DIMENSIONS))])
+                sizes = np.array([len(x) for x in ids]) // encoder.dtype.itemsize
+                flat = bucket[np.frombuffer(b"".join(ids), encoder.dtype) & 0xFFFF] + np.repeat(np.arange(len(ids)) * BUCKETS, sizes)
+                counts = np.log1p(np.bincount(flat, minlength=len(ids) * BUCKETS)).reshape(len(ids), BUCKETS)
+                out = counts @ matrix / np.sqrt(np.einsum("ij,ij->i", counts, counts))[:, None]
+                yield pa.record_batch([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), *(pa.array(out[:, i]) for i in range(DIMENSIONS))], names=["doc_id", "n_tokens", "ids", *(f"p{i}" for i in range(DIMENSIONS))])
         # The worker lives on and may do other things next.
         encoder.shrink()
 
@@ -94,7 +94,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, range_t
     other than doc_id and text are ignored. Texts longer than a sequence run on over several.
     """
     path = path or tokens.default_path()
-    rows = saved(tokenised(docs, path), "tokenised")
+    rows = saved(tokenised(docs, path), "tokenised", "lz4")
     axes = [f"p{i}" for i in range(DIMENSIONS)]
     stats = rows.agg(F.sum("n_tokens"), *(F.avg(a) for a in axes), *(F.stddev_pop(a) for a in axes)).first()
     centre = np.array([m or 0.0 for m in stats[1 : DIMENSIONS + 1]])

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+from collections import deque
 
 import numpy as np
 
 #: Distinct words whose ids one Python worker remembers.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 700_000
+#: Calls whose words stay when the others are forgotten.
+RECENT_CALLS = 6
 #: Punctuation after a word's letters that is encoded by itself.
 TAIL = b".,;:!?*#$%&|"
 
@@ -39,7 +42,7 @@ class WordTokenizer:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cached = cached
         self.ids: dict[bytes, bytes] = {}
-        self.recent: set[bytes] = set()
+        self.recent: deque[set[bytes]] = deque(maxlen=RECENT_CALLS)
 
     def _alone(self, words: list[bytes]) -> None:
         for i in range(0, len(words), 10_000):
@@ -86,8 +89,8 @@ class WordTokenizer:
         """Each text's ids, as the bytes of little-endian integers of ``dtype``."""
         # Lower case comes first so that fewer words are distinct; not where a special token's name might come of it.
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        self.recent = set().union(*words)
-        if new := self.recent.difference(self.ids):
+        self.recent.append(set().union(*words))
+        if new := self.recent[-1].difference(self.ids):
             self._learn(new)
         find = self.ids.__getitem__
         out = [b"".join(map(find, ws)) for ws in words]
@@ -96,8 +99,9 @@ class WordTokenizer:
         return out
 
     def shrink(self) -> None:
-        """Forget all but the words of the last texts, among which the frequent ones are."""
-        self.ids = {w: self.ids[w] for w in self.recent}
+        """Forget all but the words of the last few calls, among which the frequent ones are."""
+        known = self.ids
+        self.ids = {w: known[w] for w in set().union(*self.recent) if w in known}
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

@@ -65,6 +65,16 @@ def by_ids(docs: DataFrame, ids: DataFrame, condition, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, condition, how)
 
 
+#: What a Python worker can do to hold less, added by modules that remember things from task to task.
+worker_caches: list = []
+
+
+def trim_worker() -> None:
+    """Ask the worker's caches to shrink: called by tasks that need much memory themselves."""
+    for shrink in worker_caches:
+        shrink()
+
+
 def input_bytes(df: DataFrame, column: str) -> int:
     """Bytes of UTF-8 in one text column, over all rows."""
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]

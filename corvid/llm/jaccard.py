@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import by_ids, input_bytes, mix, release, saved, slices, starts_of, utf8, word_arrays
+from corvid.llm.common import by_ids, input_bytes, mix, release, saved, slices, starts_of, trim_worker, utf8, word_arrays
 from corvid.llm.components import components
 
 #: Words in a shingle; a link needs 100 * intersection >= PERCENT * union.
@@ -146,6 +146,7 @@ def _described(docs: DataFrame, counters: int, words: int) -> DataFrame:
     step = counters // RANGES
 
     def run(batches):
+        trim_worker()
         counts = np.zeros(counters, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
@@ -195,6 +196,7 @@ def _posted(docs: DataFrame, order, small: int, words: int, percent: int) -> Dat
     lowest = -(-percent * (small + 1) // 100)
 
     def run(batches):
+        trim_worker()
         frequency = order.value
         seen: set[tuple[int, int]] = set()
         for batch in batches:

@@ -77,8 +77,6 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
                 counts = np.log1p(np.bincount(flat, minlength=len(ids) * BUCKETS)).reshape(len(ids), BUCKETS)
                 out = counts @ matrix / np.sqrt(np.einsum("ij,ij->i", counts, counts))[:, None]
                 yield pa.record_batch([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), *(pa.array(out[:, i]) for i in range(DIMENSIONS))], names=["doc_id", "n_tokens", "ids", *(f"p{i}" for i in range(DIMENSIONS))])
-        # The worker lives on and may do other things next.
-        encoder.shrink()
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, TOKENISED)
 

@@ -7,6 +7,8 @@ from collections import deque
 
 import numpy as np
 
+from corvid.llm.common import worker_caches
+
 #: Distinct words whose ids one Python worker remembers.
 CACHED_WORDS = 700_000
 #: Calls whose words stay when the others are forgotten.
@@ -111,4 +113,5 @@ def word_tokenizer(path: str) -> WordTokenizer:
     """One tokenizer for each Python worker."""
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
+        worker_caches.append(_tokenizers[path].shrink)
     return _tokenizers[path]

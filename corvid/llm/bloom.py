@@ -58,6 +58,20 @@ def _hashes(keys: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(keys, 100 + q), mix(keys, 5000 + q) | np.uint64(1)
 
 
+def of(keys: np.ndarray, levels: np.ndarray) -> Filter:
+    """The filter of keys and levels in memory, ENTRY_BITS bits an entry however many there are."""
+    segment = int(max(2048, -(-int(levels.sum()) * ENTRY_BITS // SEGMENTS // 64) * 64))
+    bits = np.zeros(SEGMENTS * segment, bool)
+    for q in range(1, int(levels.max(initial=0)) + 1):
+        keys, levels = keys[levels >= q], levels[levels >= q]
+        base = keys % np.uint64(SEGMENTS) * np.uint64(segment)
+        first, second = _hashes(keys, q)
+        with np.errstate(over="ignore"):
+            for i in range(PROBES):
+                bits[(base + (first + np.uint64(i) * second) % np.uint64(segment)).astype(np.int64)] = True
+    return Filter(np.packbits(bits, bitorder="little"), segment)
+
+
 def build(rows: DataFrame) -> Filter:
     """The filter of (key, level) rows. Entries get fewer than ENTRY_BITS bits only once the filter has its largest size.
 

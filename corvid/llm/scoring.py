@@ -1,8 +1,9 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 N-gram counts of the training documents are quantised on a logarithmic scale; an n-gram of level q is put into the filter q
-times, as (n-gram, 1) to (n-gram, q). Asking for level 1, 2, ... until one is missing gives the level back. The filter's size
-has a fixed bound, so it can be broadcast; a word's probability mixes its bigram with its unigram, both from the filter.
+times, as (n-gram, 1) to (n-gram, q). Asking for level 1, 2, ... until one is missing gives the level back. The filter grows
+with its entries, so it isn't broadcast: it is made by hash range, and the n-grams of the texts are sent there and asked. A
+word's probability mixes its bigram with its unigram, both from the filter.
 
 Beside it every text gets its exact smoothed unigram score. The counts that needs come from a bounded table of the most
 frequent words, and for all other words from a join with the table of counts.
@@ -25,8 +26,8 @@ from corvid.llm.common import input_bytes, mix, release, saved, slices, starts_o
 FOLDS, HELD_OUT = 5, 1
 #: Least count of a bigram in the filter; base of the quantisation; weight of the bigram.
 LEAST_PAIR, BASE, PAIR_WEIGHT = 2, 1.5, 0.25
-#: Most words in the broadcast table of exact counts (16 bytes each); tokens that a task counts before it gives them out.
-HEAD_WORDS, FLUSH_TOKENS = 1 << 18, 1_500_000
+#: Most words in the broadcast table of exact counts (16 bytes each); tokens of a unit, which are asked for together.
+HEAD_WORDS, UNIT_TOKENS = 1 << 18, 1_500_000
 #: Fixed keys of the start of a text and of its end.
 START, END = np.uint64(0x5354415254000001), np.uint64(0x454E440000000001)
 
@@ -74,95 +75,119 @@ def _unsix(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def ngram_counts(docs: DataFrame) -> DataFrame:
-    """(kind, key, count) of the documents: kind 1 has every word and the end, kind 2 the bigrams of count LEAST_PAIR and more.
+def asked(docs: DataFrame, buckets: int) -> DataFrame:
+    """What documents (doc_id, text, learn) ask of the filter, by units of about UNIT_TOKENS tokens.
 
-    Tasks count what they read and pass on packed keys by hash range; no range has more than its share, and a frequent n-gram
-    comes once from each flush.
+    A row of kind 0 is a unit itself: its words as keys, its tokens as places among them, its texts' sizes and doc_ids. Rows of
+    kind 1 and 2 are its distinct words and bigrams by hash range, sorted, with how often each occurs in texts that are learned.
     """
-    buckets = 1 << max(2, (input_bytes(docs, "text") // 6 >> 20).bit_length())
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        row = TaskContext.get().partitionId() << 40
+        held: list[tuple] = []
         n = 0
 
         def flush():
-            keys, before = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            nonlocal row
+            keys, before, sizes, learn = (np.concatenate([h[i] for h in held]) for i in range(4))
+            ids = pa.concat_arrays([h[4] for h in held])
             held.clear()
-            for kind, all_keys in ((1, keys), (2, _pair(before, keys))):
-                found, counts = np.unique(all_keys, return_counts=True)
+            unit, row = row, row + len(sizes)
+            words, codes = np.unique(keys, return_inverse=True)
+            none = pa.nulls(1, pa.binary())
+            whole = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            yield pa.record_batch([pa.array([unit]), pa.array([0], pa.int32()), pa.nulls(1, pa.int32()), pa.array([words.astype("<u8").tobytes()], pa.binary()), pa.array([codes.astype("<u4").tobytes()], pa.binary()), pa.array([sizes.astype("<u4").tobytes()], pa.binary()), whole], names=names)
+            learned = np.repeat(learn, sizes)
+            for kind in (1, 2):
+                found, places = (words, codes) if kind == 1 else np.unique(_pair(before, keys), return_inverse=True)
+                counts = np.bincount(places[learned], minlength=len(found))
                 shift = np.uint64((64 if kind == 1 else 48) - (buckets.bit_length() - 1))
                 where = (found >> shift).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(where, prepend=-1))
-                ends = [*cuts[1:], len(found)]
-                parts = list(zip(cuts, ends, strict=True))
+                parts = list(zip(cuts, [*cuts[1:], len(found)], strict=True))
                 packed = [(_six(found[a:b]) if kind == 2 else found[a:b].astype("<u8").tobytes(), np.minimum(counts[a:b], 255).astype("u1").tobytes(), counts[a:b][counts[a:b] >= 255].astype("<u4").tobytes()) for a, b in parts]
-                yield pa.record_batch([pa.array([kind] * len(parts), pa.int32()), pa.array(where[cuts], pa.int32()), *(pa.array([p[i] for p in packed], pa.binary()) for i in range(3))], names=["kind", "bucket", "keys", "counts", "large"])
+                m = len(parts)
+                yield pa.record_batch([pa.array(np.full(m, unit)), pa.array([kind] * m, pa.int32()), pa.array(where[cuts], pa.int32()), *(pa.array([p[i] for p in packed], pa.binary()) for i in range(3)), pa.nulls(m, whole.type)], names=names)
 
         for batch in batches:
             for part in slices(batch, "text"):
-                keys, before, _ = tokens_of(utf8(part.column("text")))
-                held.append((keys, before))
+                keys, before, sizes = tokens_of(utf8(part.column("text")))
+                held.append((keys, before, sizes, part.column("learn").to_numpy(zero_copy_only=False).astype(bool), part.column("doc_id")))
                 n += len(keys)
-                if n >= FLUSH_TOKENS:
+                if n >= UNIT_TOKENS:
                     yield from flush()
                     n = 0
         if held:
             yield from flush()
 
-    def add(group: pa.Table) -> pa.Table:
-        kind = group.column("kind")[0].as_py()
+    names = ["unit", "kind", "bucket", "keys", "counts", "large", "ids"]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"unit bigint, kind int, bucket int, keys binary, counts binary, large binary, ids array<{kind}>")
+
+
+def answered(rows: DataFrame) -> DataFrame:
+    """(unit, kind, bucket, levels): for each row of kind 1 and 2 its keys' levels, a byte each. Also (key, count) of the learned words.
+
+    A hash range's counts are added up, put into a filter of their own and asked there, so that the filter as a whole may be of
+    any size and has the same bits for an entry at each.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        kind, bucket = group.column("kind")[0].as_py(), group.column("bucket")[0].as_py()
         keys, counts = [], []
         for k, c, large in zip(*(group.column(x).to_pylist() for x in ("keys", "counts", "large")), strict=True):
             keys.append(_unsix(k) if kind == 2 else np.frombuffer(k, "<u8"))
             n = np.frombuffer(c, "u1").astype(np.int64)
             n[n == 255] = np.frombuffer(large, "<u4")
             counts.append(n)
-        keys, counts = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        starts = np.flatnonzero(np.diff(keys, prepend=keys[:1] + np.uint64(1)))
-        keys, counts = keys[starts], np.add.reduceat(counts, starts)
+        ends = np.cumsum([len(k) for k in keys])
+        found, places = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(places, np.concatenate(counts), len(found)).astype(np.int64)
+        least = 1 if kind == 1 else LEAST_PAIR
+        in_ = total >= least
+        salted = mix(found, 20 + kind)
+        levels = bloom.of(salted[in_], level(total[in_], least)).levels(salted).astype("u1")[places]
+        m = len(keys)
+        out = pa.table({"unit": group.column("unit"), "kind": pa.array([kind] * m, pa.int32()), "bucket": pa.array([bucket] * m, pa.int32()), "levels": pa.array([x.tobytes() for x in np.split(levels, ends[:-1])], pa.binary()), "key": pa.nulls(m, pa.int64()), "count": pa.nulls(m, pa.int64())})
         if kind == 2:
-            keys, counts = keys[counts >= LEAST_PAIR], counts[counts >= LEAST_PAIR]
-        return pa.table({"kind": pa.array(np.full(len(keys), kind), pa.int32()), "key": pa.array(keys.astype("<u8").view(np.int64)), "count": pa.array(counts, pa.int64())})
+            return out
+        w = int(in_.sum())
+        words = pa.table({"unit": pa.nulls(w, pa.int64()), "kind": pa.nulls(w, pa.int32()), "bucket": pa.nulls(w, pa.int32()), "levels": pa.nulls(w, pa.binary()), "key": pa.array(found[in_].astype("<u8").view(np.int64)), "count": pa.array(total[in_])})
+        return pa.concat_tables([out, words])
 
-    packed = docs.select(F.col("text").cast("string")).mapInArrow(run, "kind int, bucket int, keys binary, counts binary, large binary")
-    return packed.groupBy("kind", "bucket").applyInArrow(add, "kind int, key bigint, count bigint")
+    return rows.filter("kind > 0").select("unit", "kind", "bucket", "keys", "counts", "large").groupBy("kind", "bucket").applyInArrow(run, "unit bigint, kind int, bucket int, levels binary, key bigint, count bigint")
 
 
 @dataclass(frozen=True)
 class Model:
-    """The filter, and of the training documents: tokens, distinct tokens, texts."""
+    """Of the training documents: tokens, distinct tokens, texts."""
 
-    filter: bloom.Filter
     total: int
     distinct: int
     texts: int
 
-    def log10(self, keys: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability after the one before it."""
-        codes, words = pd.factorize(keys)
-        single = middle(self.filter.levels(mix(words, 21)), 1)
+    def log10(self, words: np.ndarray, codes: np.ndarray, before: np.ndarray, word_levels: np.ndarray, pair_levels: np.ndarray) -> np.ndarray:
+        """log10 of each token's probability after the one before it; levels are those of distinct words and of each bigram."""
+        single = middle(word_levels, 1)
         single[words == END] = self.texts
         space = self.total + 0.5 * (self.distinct + 1)
         unigram = ((single + 0.5) / space)[codes]
-        history = np.empty(len(keys))
+        history = np.empty(len(codes))
         history[1:] = single[codes][:-1]
         history[before == START] = self.texts
-        pair = middle(self.filter.levels(mix(_pair(before, keys), 22)), LEAST_PAIR)
+        pair = middle(pair_levels, LEAST_PAIR)
         seen = np.minimum(1.0, pair / np.maximum(np.maximum(history, pair), 1))
         return np.log10(PAIR_WEIGHT * seen + (1 - PAIR_WEIGHT) * unigram)
 
 
-def build(counts: DataFrame) -> bloom.Filter:
-    """The filter over a written table of counts: every n-gram with its level."""
+def build(counts: DataFrame, least_pair: int = 2) -> bloom.Filter:
+    """One filter over a written table of counts, every n-gram with its level; ``scored`` has one for each hash range instead."""
 
     def run(kind: pd.Series, key: pd.Series, count: pd.Series) -> pd.DataFrame:
         k, n = kind.to_numpy(), count.to_numpy()
         own = np.ascontiguousarray(key.to_numpy(), np.int64).view(np.uint64)
         salted = np.where(k == 1, mix(own, 21), mix(own, 22))
-        return pd.DataFrame({"key": salted.view(np.int64), "level": np.where(k == 1, level(n, 1), level(n, LEAST_PAIR)).astype(np.int32)})
+        return pd.DataFrame({"key": salted.view(np.int64), "level": np.where(k == 1, level(n, 1), level(n, least_pair)).astype(np.int32)})
 
     run.__annotations__ = {"kind": pd.Series, "key": pd.Series, "count": pd.Series, "return": pd.DataFrame}
     got = F.pandas_udf(run, "key bigint, level int")("kind", "key", "count").alias("e")
@@ -181,11 +206,13 @@ def scored(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     spark = docs.sparkSession
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     held = F.coalesce(fold == HELD_OUT, F.lit(False))
-    counts = saved(ngram_counts(docs.filter(~held).select("text")), "ngrams")
-    words = counts.filter("kind = 1").select("key", "count")
+    buckets = 1 << max(2, (input_bytes(docs, "text") // 6 >> 20).bit_length())
+    rows = saved(asked(docs.select("doc_id", F.col("text").cast("string"), (~held).alias("learn")), buckets), "asked")
+    answers = saved(answered(rows), "answers")
+    words = answers.filter("key IS NOT NULL").select("key", "count")
     total, distinct = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
     end = words.filter(F.col("key") == int(END.astype(np.int64))).first()
-    model = spark.sparkContext.broadcast(Model(build(counts), total, distinct, end["count"] if end else 0))
+    model = Model(total, distinct, end["count"] if end else 0)
     # The least power of two from which on the words' number is within the bound.
     powers = words.groupBy(F.floor(F.log2("count")).alias("p")).count().collect()
     least, room = 0, head_words
@@ -199,38 +226,41 @@ def scored(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     del head
     space = total + 0.5 * (distinct + 1)
 
-    def run(batches):
-        row = TaskContext.get().partitionId() << 40
+    def run(units: pa.Table, answers: pa.Table) -> pa.Table:
         known_keys, known_counts = table.value
-        filter_ = model.value
-        for batch in batches:
-            for part in slices(batch, "text"):
-                keys, before, sizes = tokens_of(utf8(part.column("text")))
-                n = len(sizes)
-                owner = np.repeat(np.arange(n), sizes)
-                codes, distinct_keys = pd.factorize(keys)
-                signed = distinct_keys.view(np.int64)
-                at = np.searchsorted(known_keys, signed)
-                at[at == len(known_keys)] = 0
-                hit = known_keys[at] == signed if len(known_keys) else np.zeros(len(signed), bool)
-                value = np.where(hit, np.log10((known_counts[at] + 0.5) / space) if len(known_keys) else 0.0, 0.0)
-                hits = hit[codes]
-                base = np.bincount(owner, value[codes], n)
-                known = np.bincount(owner, hits, n).astype(np.int64)
-                score = np.bincount(owner, filter_.log10(keys, before), n)
-                none = pa.nulls(n, pa.int64())
-                rows = np.arange(row, row + n)
-                yield pa.record_batch([pa.array(rows), part.column("doc_id"), none, pa.array(sizes, pa.int64()), pa.array(known), pa.array(base), pa.array(score)], names=names)
-                # Every other word with its number in each text.
-                rest = pd.DataFrame({"row": owner[~hits] + row, "word": keys[~hits].view(np.int64)}).value_counts(sort=False).reset_index()
-                m = len(rest)
-                yield pa.record_batch([pa.array(rest["row"].to_numpy(np.int64)), pa.nulls(m, part.schema.field("doc_id").type), pa.array(rest["word"].to_numpy(np.int64)), pa.array(rest["count"].to_numpy(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names=names)
-                row += n
+        keys, codes, sizes = (np.frombuffer(units.column(c)[0].as_py(), t) for c, t in (("keys", "<u8"), ("counts", "<u4"), ("large", "<u4")))
+        ids, row = units.column("ids").combine_chunks().flatten(), units.column("unit")[0].as_py()
+        sizes, n = sizes.astype(np.int64), len(sizes)
+        answers = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+        levels = [np.frombuffer(b"".join(answers.filter(pa.compute.equal(answers.column("kind"), k)).column("levels").to_pylist()), "u1").astype(np.int64) for k in (1, 2)]
+        tokens = keys[codes]
+        before = np.empty_like(tokens)
+        before[1:] = tokens[:-1]
+        before[starts_of(sizes)] = START
+        places = np.unique(_pair(before, tokens), return_inverse=True)[1]
+        owner = np.repeat(np.arange(n), sizes)
+        signed = keys.view(np.int64)
+        at = np.searchsorted(known_keys, signed)
+        at[at == len(known_keys)] = 0
+        hit = known_keys[at] == signed if len(known_keys) else np.zeros(len(signed), bool)
+        value = np.where(hit, np.log10((known_counts[at] + 0.5) / space) if len(known_keys) else 0.0, 0.0)
+        hits = hit[codes]
+        base = np.bincount(owner, value[codes], n)
+        known = np.bincount(owner, hits, n).astype(np.int64)
+        score = np.bincount(owner, model.log10(keys, codes, before, levels[0], levels[1][places]), n)
+        first = pa.table([pa.array(np.arange(row, row + n)), ids, pa.nulls(n, pa.int64()), pa.array(sizes), pa.array(known), pa.array(base), pa.array(score)], names=names)
+        # Every other word with its number in each text.
+        rest = pd.DataFrame({"row": owner[~hits] + row, "word": tokens[~hits].view(np.int64)}).value_counts(sort=False).reset_index()
+        m = len(rest)
+        second = pa.table([pa.array(rest["row"].to_numpy(np.int64)), pa.nulls(m, ids.type), pa.array(rest["word"].to_numpy(np.int64)), pa.array(rest["count"].to_numpy(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names=names)
+        return pa.concat_tables([first, second])
 
     names = ["row", "doc_id", "word", "n", "known", "base", "score"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    both = saved(docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"row bigint, doc_id {kind}, word bigint, n bigint, known bigint, base double, score double"), "scores")
-    model.destroy()
+    units = rows.filter("kind = 0").select("unit", "keys", "counts", "large", "ids").groupBy("unit")
+    levels = answers.filter("unit IS NOT NULL").select("unit", "kind", "bucket", "levels").groupBy("unit")
+    both = saved(units.cogroup(levels).applyInArrow(run, f"row bigint, doc_id {kind}, word bigint, n bigint, known bigint, base double, score double"), "scores")
+    release(rows)
     table.destroy()
     tail = words.filter(F.col("count") < 1 << least).withColumnRenamed("key", "word")
     rest = both.filter("word IS NOT NULL").select("row", "word", "n").join(tail, "word", "left").withColumn("count", F.coalesce("count", F.lit(0)))

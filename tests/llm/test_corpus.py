@@ -273,3 +273,18 @@ def test_probe(spark):
     got = {r["id"]: r["p"] for r in df.select("id", media.probe("media").alias("p")).collect()}
     assert got[1]["codec"] == "raw " and got[1]["error"] is None and got[1]["keyframes"][0]["length"] == 64
     assert got[2]["error"] and got[3]["error"] and got[5]["error"] and got[4]["codec"] is None
+
+
+def test_scores_without_a_cap(spark, monkeypatch):
+    """A filter that needs more than a fixed size keeps its bits for an entry: unseen words and bigrams stay unseen."""
+    from corvid.llm import bloom
+
+    monkeypatch.setattr(bloom, "MOST_BYTES", 1 << 20)
+    ids = [i for i in range(500) if zlib.crc32(str(i).encode()) % 5 != 1][:300]
+    new = [i for i in range(500) if zlib.crc32(str(i).encode()) % 5 == 1][:5]
+    rows = [(d, " ".join(f"w{d}x{i}" for i in range(8000))) for d in ids] + [(d, " ".join(f"n{d}x{i}" for i in range(2000))) for d in new]
+    got = {r["doc_id"]: r for r in scoring.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    total = 300 * 8001
+    space = total + 0.5 * (300 * 8000 + 2)
+    exact = 2000 * math.log10(0.75 * 0.5 / space) + math.log10(0.75 * 300.5 / space)
+    assert all(abs(got[d]["score"] - exact) / 2001 < 0.03 for d in new)

@@ -354,7 +354,7 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most_sma
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows whose doc_id is their component's, with all columns: one document of each group stays."""
-    dropped = saved(joined(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    dropped = saved(joined(docs, words, percent).filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
     return by_ids(docs, dropped, "doc_id", "left_anti").select(docs.columns)

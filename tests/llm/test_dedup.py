@@ -199,3 +199,32 @@ def test_repeats_empty_and_text(none, docs):
     assert repeats.removed(none).count() == 0
     row = repeats.removed(docs, with_text=True).filter("doc_id = 0").first()
     assert hashlib.sha256(row["kept_text"].encode()).hexdigest() == row["kept_sha256"]
+
+
+def test_the_stage_links_at_five_words_and_four_fifths(spark, rows):
+    """Against brute force, with pairs between 0.80 and 0.85 and sets small and large on both sides of the threshold."""
+    import corpus_pipeline
+
+    made = [(d, t) for d, t in texts_of(rows).items()]
+    for size in (9, 14, 22, 60, 100, 140, 180):
+        for changes in range(4):
+            w = [f"v{size}x{i}" for i in range(size)]
+            for c in range(changes):
+                w[(c + 1) * size // (changes + 1)] = f"new{changes}y{c}"
+            made.append((5000 + len(made), " ".join(w[: size - changes % 2])))
+    sets = {}
+    for d, t in made:
+        w = t.encode().lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    group = {d: d for d in sets}
+    between = 0
+    for a in sorted(sets):
+        for b in sorted(sets):
+            common, union = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if a < b and common and 100 * common >= 80 * union:
+                between += 100 * common < 85 * union
+                lo, hi = sorted((group[a], group[b]))
+                group = {d: lo if g == hi else g for d, g in group.items()}
+    assert between
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == {d for d, g in group.items() if d == g}

@@ -25,7 +25,7 @@ from corvid.llm.common import input_bytes, mix, release, saved, slices, starts_o
 
 FOLDS, HELD_OUT = 5, 1
 #: Least count of a bigram in the filter; base of the quantisation; weight of the bigram.
-LEAST_PAIR, BASE, PAIR_WEIGHT = 2, 1.5, 0.25
+LEAST_PAIR, BASE, PAIR_WEIGHT = 1, 1.5, 0.25
 #: Most words in the broadcast table of exact counts (16 bytes each); tokens of a unit, which are asked for together.
 HEAD_WORDS, UNIT_TOKENS = 1 << 18, 1_500_000
 #: Fixed keys of the start of a text and of its end.
@@ -75,6 +75,15 @@ def _unsix(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _planes(codes: np.ndarray) -> bytes:
+    """Numbers as all their lowest bytes, then all the next, ...: the high ones are mostly 0 and take little room compressed."""
+    return codes.astype("<u4").view("u1").reshape(-1, 4).T.tobytes()
+
+
+def _unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(4, -1).T).view("<u4").ravel()
+
+
 def asked(docs: DataFrame, buckets: int) -> DataFrame:
     """What documents (doc_id, text, learn) ask of the filter, by units of about UNIT_TOKENS tokens.
 
@@ -96,7 +105,7 @@ def asked(docs: DataFrame, buckets: int) -> DataFrame:
             words, codes = np.unique(keys, return_inverse=True)
             none = pa.nulls(1, pa.binary())
             whole = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            yield pa.record_batch([pa.array([unit]), pa.array([0], pa.int32()), pa.nulls(1, pa.int32()), pa.array([words.astype("<u8").tobytes()], pa.binary()), pa.array([codes.astype("<u4").tobytes()], pa.binary()), pa.array([sizes.astype("<u4").tobytes()], pa.binary()), whole], names=names)
+            yield pa.record_batch([pa.array([unit]), pa.array([0], pa.int32()), pa.nulls(1, pa.int32()), pa.array([words.astype("<u8").tobytes()], pa.binary()), pa.array([_planes(codes)], pa.binary()), pa.array([sizes.astype("<u4").tobytes()], pa.binary()), whole], names=names)
             learned = np.repeat(learn, sizes)
             for kind in (1, 2):
                 found, places = (words, codes) if kind == 1 else np.unique(_pair(before, keys), return_inverse=True)
@@ -228,7 +237,8 @@ def scored(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
 
     def run(units: pa.Table, answers: pa.Table) -> pa.Table:
         known_keys, known_counts = table.value
-        keys, codes, sizes = (np.frombuffer(units.column(c)[0].as_py(), t) for c, t in (("keys", "<u8"), ("counts", "<u4"), ("large", "<u4")))
+        keys, sizes = (np.frombuffer(units.column(c)[0].as_py(), t) for c, t in (("keys", "<u8"), ("large", "<u4")))
+        codes = _unplanes(units.column("counts")[0].as_py())
         ids, row = units.column("ids").combine_chunks().flatten(), units.column("unit")[0].as_py()
         sizes, n = sizes.astype(np.int64), len(sizes)
         answers = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")])

@@ -288,3 +288,24 @@ def test_scores_without_a_cap(spark, monkeypatch):
     space = total + 0.5 * (300 * 8000 + 2)
     exact = 2000 * math.log10(0.75 * 0.5 / space) + math.log10(0.75 * 300.5 / space)
     assert all(abs(got[d]["score"] - exact) / 2001 < 0.03 for d in new)
+
+
+def test_scores_know_bigrams_of_count_one(docs, rows):
+    """Against brute force with quantised counts of all words and bigrams, those that occur once among them."""
+    texts = {d: [*t.encode().lower().split(), None] for d, t in texts_of(rows).items()}
+    train = [w for d, w in texts.items() if zlib.crc32(str(d).encode()) % 5 != 1]
+    singles, pairs = Counter(x for w in train for x in w), Counter(p for w in train for p in zip(["start", *w], w, strict=False))
+    assert 1 in pairs.values()
+    space = sum(singles.values()) + 0.5 * (len(singles) + 1)
+
+    def stands(count):
+        return float(scoring.middle(scoring.level(np.array([count]), 1), 1)[0]) if count else 0.0
+
+    def log10(before, word):
+        single = {w: len(train) if w in (None, "start") else stands(singles[w]) for w in (before, word)}
+        pair = stands(pairs[before, word])
+        return math.log10(0.25 * min(1.0, pair / max(single[before], pair, 1)) + 0.75 * (single[word] + 0.5) / space)
+
+    for r in scoring.scored(docs).collect():
+        w = texts[r["doc_id"]]
+        assert r["score"] == pytest.approx(sum(log10(a, b) for a, b in zip(["start", *w], w, strict=False)), rel=1e-4)

@@ -23,12 +23,18 @@ from corvid.llm.pages_made import labelled_pages
 #: Tags that begin and end a block.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul ins button label".split()) - {"ins", "label"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Content that is never text of the page.
-RAW = frozenset("script style template noscript svg math iframe object canvas audio video textarea title head xmp noembed noframes".split())
+#: Elements whose content is characters up to their literal end tag, whatever is in it; only ``xmp`` shows it.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: Without an end tag these run to the end of the page; the others are taken for empty then.
+ENDLESS = frozenset(["script", "style"])
+#: What may stand in a head; any other start tag, and text, ends it.
+HEAD = frozenset("head title meta link base script style noscript template basefont bgsound".split())
 #: A start tag ends these open elements, looking up to the nearest scope.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("table ul ol menu dl select body html td th div article section main aside nav header footer form blockquote".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/][^>]*(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/][^>]*(?:>|\Z)", re.S)
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
+_TEMPLATE_END = re.compile(r"</template[\s/>]", re.I)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -45,12 +51,17 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's leaf blocks in order, without empty ones; character references decoded, white space made single spaces."""
+    """The page's leaf blocks in order, without empty ones; character references decoded, white space made single spaces.
+
+    Scripts, styles and the like end at their literal end tag, so quotes, tags and comment marks inside them mean nothing. A head
+    ends where something comes that can't be in one; what is in a template is not part of the page, unless it is never
+    closed.
+    """
     out: list[Block] = []
     stack: list[tuple[str, frozenset, bool]] = []
     pieces: list[str] = []
     links = [0, 0]  # characters within links, open links
-    raw = ""
+    in_head, templates = False, 0
 
     def flush() -> None:
         if pieces:
@@ -63,27 +74,56 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(text, tag, frozenset(t for t, _, _ in stack), names, near, min(1.0, links[0] / len(text)), any(h for _, _, h in stack)))
         links[0] = 0
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if not raw and m.start() > at:
-            piece = page[at : m.start()]
-            pieces.append(piece)
-            if links[1]:
-                links[0] += len(piece.strip())
+    def add(piece: str) -> None:
+        nonlocal in_head
+        if templates or in_head and not piece.strip():
+            return
+        in_head = False
+        pieces.append(piece)
+        if links[1]:
+            links[0] += len(piece.strip())
+
+    at, end = 0, len(page)
+    while at < end:
+        m = _TOKEN.search(page, at)
+        if m is None:
+            add(page[at:])
+            break
+        if m.start() > at:
+            add(page[at : m.start()])
         at = m.end()
         tag = (m.group(2) or "").lower()
         if not tag:
             continue
-        if raw:
-            if m.group(1) and tag == raw or raw == "head" and tag == "body":
-                raw = ""
-                if tag != "body":
-                    continue
-            else:
-                if raw in ("script", "style", "textarea", "title", "xmp") and not m.group(1):
-                    at = m.start() + 1
+        closing = bool(m.group(1))
+        if tag in RAW and not closing:
+            if tag not in HEAD:
+                in_head = False
+            stop = _RAW_END[tag].search(page, at)
+            if stop is None and tag not in ENDLESS:
                 continue
-        if m.group(1):
+            if tag == "xmp" and not templates:
+                flush()
+                pieces.append(_html.escape(page[at : stop.start()]))
+                flush()
+            at = stop.end() if stop else end
+            continue
+        if tag == "template":
+            if closing:
+                templates = max(0, templates - 1)
+            elif templates or _TEMPLATE_END.search(page, at):
+                templates += 1
+            continue
+        if templates:
+            if not (closing and tag in BLOCK and any(t == tag for t, _, _ in stack)):
+                continue
+            templates = 0
+        if tag == "head":
+            in_head = not closing
+            continue
+        if tag not in HEAD:
+            in_head = False
+        if closing:
             if tag == "a":
                 links[1] = max(0, links[1] - 1)
             if tag in BLOCK:
@@ -94,12 +134,6 @@ def blocks(page: str) -> list[Block]:
                         del stack[i:]
                     break
             continue
-        if tag in RAW:
-            if tag != "head" and tag in BLOCK:
-                flush()
-            if not m.group(3).rstrip().endswith("/"):
-                raw = tag
-            continue
         if tag == "br":
             pieces.append(" ")
             continue
@@ -123,11 +157,9 @@ def blocks(page: str) -> list[Block]:
                 names.update(w.lower() for w in _WORD.findall(value))
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 hidden = True
+        if m.group(3).rstrip().endswith("/") and tag not in BLOCK and tag != "a":
+            continue
         stack.append((tag, frozenset(names), hidden))
-        if tag == "a" and tag in BLOCK:
-            flush()
-    if not raw and at < len(page):
-        pieces.append(page[at:])
     flush()
     return out
 
@@ -239,8 +271,9 @@ def default_field() -> Field:
 def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row: the article's blocks joined by two line feeds, '' where there is none.
 
-    Null html counts as empty. Rows are independent: repeated pages give repeated rows, an empty table none; columns other than
-    page_id, url and html are ignored.
+    Null html counts as empty, and so does a page without an article. Pages of any length are read whole. Rows are independent:
+    repeated pages and page_ids (null ones too) give repeated rows, an empty table none; columns other than page_id, url and html
+    are ignored, whatever their names.
     """
     field = field or default_field()
 

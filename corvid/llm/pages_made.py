@@ -1,13 +1,14 @@
 """Labelled pages for training: made from templates, with random words, so the labels are known block by block.
 
-The vocabularies below are names that web authors give to parts of a page; they are the training data's lexicon, not rules.
+The vocabularies below are names that web authors give to parts of a page; they are the training data's lexicon, a free choice, and not
+rules.
 """
 
 from __future__ import annotations
 
 import random
 
-#: Class and id names of parts that are not the article.
+#: Class and id names of parts that are not the article.
 CHROME = {
     "nav": "nav navbar menu mainmenu navigation breadcrumb breadcrumbs toc topnav submenu pager pagination tabs links sitemap".split(),
     "header": "header masthead top topbar banner logo branding site tagline hero".split(),
@@ -19,7 +20,7 @@ CHROME = {
     "comments": "comment comments commentlist discussion replies reply respond disqus thread reactions responses reviews".split(),
     "social": "share social sharing follow buttons toolbar tools print rating likes meta date byline".split(),
 }
-#: Class and id names of the article and what stands around it.
+#: Class and id names of the article and what stands around it.
 ARTICLE = "article content post entry story text body main maincontent articlebody postbody entrycontent page prose column copy".split()
 _TAGS = {
     "nav": ["nav", "ul", "div", "header", "menu"],
@@ -190,6 +191,10 @@ class Maker:
             self.out.append(self.sentences(2, 6))
             self.labels.append(1)
             return "".join(self.out) + "</body></html>", self.labels
+        if r.random() < 0.12:
+            self.out.append(f"<noscript>{self.sentences(1, 2)}</noscript>")
+            self.labels.append(0)
+            self.out.append("<div>")
         for kind, chance in (("notice", 0.3), ("header", 0.5), ("nav", 0.8), ("ad", 0.5), ("form", 0.2), ("side", 0.25)):
             if r.random() < chance:
                 self.chrome(kind)

@@ -309,3 +309,43 @@ def test_scores_know_bigrams_of_count_one(docs, rows):
     for r in scoring.scored(docs).collect():
         w = texts[r["doc_id"]]
         assert r["score"] == pytest.approx(sum(log10(a, b) for a, b in zip(["start", *w], w, strict=False)), rel=1e-4)
+
+
+def test_extraction_on_independent_layouts():
+    """Pages that no template made: block F1 of what is kept, and of no page is the article lost."""
+    from .layouts import LAYOUTS, page_and_blocks
+
+    field = html_extract.default_field()
+    hits = kept = wanted = 0
+    for name, layout in LAYOUTS.items():
+        page, blocks = page_and_blocks(layout)
+        found = html_extract.blocks(page)
+        got = Counter(b.text for b, y in zip(found, field.decode(found), strict=True) if y)
+        common = sum((got & Counter(blocks)).values())
+        assert common > len(blocks) / 2, name
+        hits, kept, wanted = hits + common, kept + got.total(), wanted + len(blocks)
+    assert len(LAYOUTS) >= 30 and 2 * hits / (kept + wanted) > 0.97
+
+
+@pytest.mark.parametrize(
+    "before",
+    ["""<script>document.write("<p class='")</script>""", "<script><!-- var a=1; </script>", "<head><title>T</title>", "<template><p>x", "<div><template><p>gone</template></div>", "<svg><title>icon</title></svg>", "<style>a::before{content:'</p>'}</STYLE >", "<!-->"],
+)
+def test_no_page_is_lost(before):
+    page = "<html>" + before + "<article><h1>Title here</h1><p>First paragraph of the story, with words.</p></article>"
+    found = html_extract.blocks(page)
+    assert [b.text for b, y in zip(found, html_extract.default_field().decode(found), strict=True) if y] == ["Title here", "First paragraph of the story, with words."]
+
+
+def test_what_is_not_dropped():
+    texts = [b.text for b in html_extract.blocks("<article><p>Let <math><mi>x</mi></math> be <object>an object</object> <noscript>shown</noscript>.</p><xmp><b>1 &amp; 2</b></xmp></article>")]
+    assert texts == ["Let x be an object shown .", "<b>1 &amp; 2</b>"]
+
+
+def test_extraction_of_a_long_page(spark):
+    """One page beyond a slice of text, and repeated and null page_ids."""
+    long = "<article><h1>Long one</h1>" + "<p>A sentence of the article that goes on for a while.</p>" * 60_000 + "</article>"
+    df = spark.createDataFrame([(1, "u", long), (1, "u", "<article><p>Short text is here.</p></article>"), (None, None, None)], "page_id long, url string, html string")
+    got = sorted(html_extract.extract(df).collect(), key=lambda r: r["n_chars"])
+    assert [r["page_id"] for r in got] == [None, 1, 1]
+    assert got[0]["text"] == "" and got[1]["text"] == "Short text is here." and got[2]["text"].count("\n\n") == 60_000

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import fresh_dir, saved, slices, utf8
+from corvid.llm.common import SLICE_BYTES, fresh_dir, release, saved, slices, utf8
 
 #: Payloads from this size on are written once; bytes of an archive file; bytes between two ranges that are read all the same,
 #: and most bytes of one read.
@@ -27,8 +27,9 @@ DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def record_id(page_id: int | None, url: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id} {url}')}>"
+def record_id(page_id: int | None, digest: str, kind: str) -> str:
+    """Made of what the record is, so a revisit can name its response's record without meeting it."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id} {digest} {kind}')}>"
 
 
 def _url(url: str | None, page_id: int | None) -> str:
@@ -38,11 +39,12 @@ def _url(url: str | None, page_id: int | None) -> str:
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """A WARC/1.1 record: a response with its payload, or a revisit that names the response it repeats."""
     target, revisit = _url(url, page_id), refers_to is not None
+    kind = "revisit" if revisit else "response"
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     fields = [
-        ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", record_id(page_id, target)),
+        ("WARC-Type", kind),
+        ("WARC-Record-ID", record_id(page_id, digest, kind)),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", target),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
@@ -51,7 +53,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         ("X-Payload-Length", str(len(payload))),
     ]
     if revisit:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-Id", str(refers_to))]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to, digest, "response")), ("X-Refers-To-Page-Id", str(refers_to))]
     else:
         block += payload
     head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", str(len(block)))])
@@ -78,22 +80,28 @@ INDEX = "page_id bigint, url string, digest string, record_type string, refers_t
 
 
 def refers(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload is a larger page_id's; only digests move."""
+    """(page_id, digest, n, refers_to) of the payloads that a larger page_id has too; only digests and sizes move."""
     body = F.coalesce("html", F.lit(""))
     light = saved(pages.select("page_id", F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("n")).filter(F.col("n") >= least), "digests")
     last = saved(light.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies"), "repeated")
-    return light.join(last, ["digest", "n"]).filter("page_id < refers_to").select("page_id", "refers_to").distinct()
+    out = saved(light.join(last, ["digest", "n"]).filter("page_id < refers_to").select("page_id", "digest", "n", "refers_to").distinct(), "refers")
+    release(light, last)
+    return out
 
 
 def write(pages: DataFrame, least: int = REVISIT_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write every page as a record and return the index, itself a written table.
 
     Null html counts as empty. A retried task writes files of another name, and the index names only those of the attempt that
-    counted. Repeated page_ids are records of their own. An empty table gives an empty index.
+    counted. Rows that repeat a page_id are records of their own, each a revisit only of what it equals; a row without page_id is
+    always a response. Payloads of any size are one record. Columns other than page_id, url and html are ignored, whatever their
+    names. An empty table gives an empty index.
     """
     folder = fresh_dir(pages.sparkSession, "warc")
-    known = saved(refers(pages, least), "refers")
-    rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string")).join(known, "page_id", "left")
+    pages = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
+    known = refers(pages, least)
+    body = F.coalesce("html", F.lit(""))
+    rows = pages.withColumns({"digest": F.sha1(body.cast("binary")), "n": F.octet_length(body)}).join(known, ["page_id", "digest", "n"], "left")
 
     def run(batches):
         store, path = _open(folder)
@@ -119,7 +127,9 @@ def write(pages: DataFrame, least: int = REVISIT_BYTES, file_bytes: int = FILE_B
             if out is not None:
                 out.close()
 
-    return saved(rows.mapInArrow(run, INDEX), "warc-index")
+    index = saved(rows.mapInArrow(run, INDEX), "warc-index")
+    release(known)
+    return index
 
 
 def _open(uri: str) -> tuple[pa.fs.FileSystem, str]:
@@ -152,11 +162,11 @@ RECORDS = "page_id bigint, url string, record_type string, refers_to bigint, pay
 def read(selected: DataFrame, payload: bool = True, gap: int = GAP_BYTES, most: int = READ_BYTES) -> DataFrame:
     """The records that index rows name. Each payload is checked against its digest; a revisit has none (null).
 
-    Rows are range-sorted by file and offset, so neighbouring records are read by one task in one read.
+    Rows are range-sorted by file and offset, so neighbouring records are read by one task in one read of at most ``most`` bytes
+    (or one record, where that is longer); what a batch of payloads holds is bounded in bytes.
     """
 
-    def fetch(store, file: str, rows: list[tuple]) -> list[tuple]:
-        found = []
+    def fetch(store, file: str, rows: list[tuple]):
         with store.open_input_file(_open(file)[1]) as source:
             for start, n, which in coalesce([(o, m) for o, m, _ in rows], gap, most):
                 data = source.read_at(n, start)
@@ -171,17 +181,21 @@ def read(selected: DataFrame, payload: bool = True, gap: int = GAP_BYTES, most:
                     if got != digest:
                         raise ValueError(f"{file} at {offset}: the payload's digest is not the index's")
                     page, url, ref = fields["X-Page-Id"], fields["WARC-Target-URI"], fields.get("X-Refers-To-Page-Id")
-                    found.append((int(page) if page else None, url, kind, int(ref) if ref else None, size, got, body if payload and kind == "response" else None))
-        return found
+                    yield (int(page) if page else None, url, kind, int(ref) if ref else None, size, got, body if payload and kind == "response" else None)
 
     def run(batches):
         for batch in batches:
             rows = pd.DataFrame({c: batch.column(c).to_pylist() for c in ("file", "offset", "length", "digest")})
             for file, group in rows.groupby("file", sort=False):
-                store = _open(file)[0]
-                triples = list(zip(group["offset"].tolist(), group["length"].tolist(), group["digest"].tolist(), strict=True))
-                for i in range(0, len(triples), 1000):
-                    yield _batch(fetch(store, file, triples[i : i + 1000]), RECORDS)
+                held, n = [], 0
+                for row in fetch(_open(file)[0], file, list(zip(group["offset"].tolist(), group["length"].tolist(), group["digest"].tolist(), strict=True))):
+                    held.append(row)
+                    n += len(row[-1] or b"")
+                    if n >= SLICE_BYTES or len(held) == 1000:
+                        yield _batch(held, RECORDS)
+                        held, n = [], 0
+                if held:
+                    yield _batch(held, RECORDS)
 
     wanted = selected.select("file", "offset", "length", "digest")
     return wanted.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, RECORDS)

@@ -47,7 +47,7 @@ def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvid.llm import archive
 
     index = archive.write(table(spark, sf_dir, "pages"))
-    return archive.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return archive.read(index, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ from corvid.llm.common import saved, slices, utf8
 
 #: Bytes in a sample (an access unit of 8-bit units), samples in a chunk, samples from one keyframe to the next, units a second.
 UNIT, CHUNK_SAMPLES, KEY_EVERY, RATE = 64, 64, 16, 8000
+#: Boxes within boxes that are followed; a file that nests deeper is malformed.
+DEEPEST = 64
 #: Boxes that hold other boxes.
 PARENTS = frozenset([b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"moof", b"traf", b"mvex"])
 IDENTITY = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -73,10 +75,16 @@ class Malformed(ValueError):
     pass
 
 
-def walk(data, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()):
-    """(path, body start, body end) of every box, parents before children. A size of 0 runs to the end, 1 has 64 bits."""
-    end = len(data) if end is None else end
-    while start < end:
+def walk(data, start: int = 0, end: int | None = None):
+    """(path, body start, body end) of every box, parents before children. A size of 0 runs to the end, 1 has 64 bits.
+
+    The boxes that are still open are kept in a list of at most DEEPEST, so no nesting can exhaust the interpreter's stack.
+    """
+    open_: list[tuple[int, int, tuple[bytes, ...]]] = [(start, len(data) if end is None else end, ())]
+    while open_:
+        start, end, path = open_.pop()
+        if start >= end:
+            continue
         if end - start < 8:
             raise Malformed("a box header is cut off")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -92,9 +100,11 @@ def walk(data, start: int = 0, end: int | None = None, path: tuple[bytes, ...] =
         if stop < body or stop > end:
             raise Malformed(f"box {kind!r} does not fit")
         yield (*path, kind), body, stop
+        open_.append((stop, end, path))
         if kind in PARENTS:
-            yield from walk(data, body, stop, (*path, kind))
-        start = stop
+            if len(path) + 1 >= DEEPEST:
+                raise Malformed("boxes are nested too deep")
+            open_.append((body, stop, (*path, kind)))
 
 
 def _table(data, at: tuple[int, int], form: str, skip: int = 4) -> list[tuple]:
@@ -110,13 +120,15 @@ def tracks(data) -> list[dict]:
     """Each track's codec, timescale, duration in ticks, and its samples' byte runs and keyframes, from the tables alone."""
     found: list[dict] = []
     for path, start, end in walk(data):
+        if path == (b"moof", b"traf"):
+            raise Malformed("samples in movie fragments are not read")
         if path == (b"moov", b"trak"):
             found.append({})
         elif path[:2] == (b"moov", b"trak") and found:
             found[-1].setdefault(path[-1], (start, end))
     out = []
     for boxes in found:
-        if not {b"mdhd", b"hdlr", b"stsd", b"stts", b"stsc"} <= boxes.keys():
+        if not {b"mdhd", b"hdlr", b"stsd", b"stts", b"stsc", b"stsz"} <= boxes.keys() or not {b"stco", b"co64"} & boxes.keys():
             raise Malformed("a track has no sample tables")
         at = boxes[b"mdhd"][0]
         rate, ticks = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
@@ -162,11 +174,16 @@ def read_samples(data, track: dict) -> bytes:
     return b"".join(bytes(data[o : o + s]) for o, s in track["runs"])
 
 
-PROBED = "codec string, handler string, duration_s double, n_samples bigint, keyframes array<struct<offset:bigint,length:bigint>>, error string"
+TRACK = "codec string, handler string, duration_s double, n_samples bigint, keyframes array<struct<offset:bigint,length:bigint>>"
+PROBED = f"{TRACK}, tracks array<struct<{TRACK.replace(' bigint', ':bigint').replace(' string', ':string').replace(' double', ':double').replace(' array', ':array').replace(', ', ',')}>>, error string"
 
 
 def probe(media: Column | str) -> Column:
-    """A struct of codec, duration and keyframe byte ranges of the first track. Null gives nulls, a broken file its error."""
+    """A struct of codec, duration, samples and keyframe byte ranges of the first track, and the same of all tracks in order.
+
+    Null gives nulls. A broken file, one without a track, one nested too deep and one whose samples are in movie fragments give
+    their error, and the job goes on.
+    """
     return F.pandas_udf(_probe, PROBED)(media)
 
 
@@ -174,16 +191,17 @@ def _probe(media: pd.Series) -> pd.DataFrame:
     rows = []
     for data in media:
         if data is None:
-            rows.append((None, None, None, None, None, None))
+            rows.append((None,) * 7)
             continue
         try:
-            t = next(iter(tracks(data)), None)
-            if t is None:
+            found = [(t["codec"], t["handler"], t["ticks"] / t["timescale"] if t["timescale"] else None, t["n_samples"], [{"offset": o, "length": s} for o, s in t["keyframes"]]) for t in tracks(data)]
+            if not found:
                 raise Malformed("no track")
-            rows.append((t["codec"], t["handler"], t["ticks"] / t["timescale"] if t["timescale"] else None, t["n_samples"], [{"offset": o, "length": s} for o, s in t["keyframes"]], None))
+            names = ("codec", "handler", "duration_s", "n_samples", "keyframes")
+            rows.append((*found[0], [dict(zip(names, t, strict=True)) for t in found], None))
         except (Malformed, struct.error, KeyError, IndexError) as e:
-            rows.append((None, None, None, None, None, f"{type(e).__name__}: {e}"))
-    return pd.DataFrame(rows, columns=["codec", "handler", "duration_s", "n_samples", "keyframes", "error"])
+            rows.append((None,) * 6 + (f"{type(e).__name__}: {e}",))
+    return pd.DataFrame(rows, columns=["codec", "handler", "duration_s", "n_samples", "keyframes", "tracks", "error"])
 
 
 def padded(text: bytes, unit: int = UNIT) -> bytes:
@@ -209,7 +227,8 @@ DIGEST = "doc_id {}, n_bytes bigint, payload_bytes bigint, payload_sha256 string
 def digests(media: DataFrame) -> DataFrame:
     """One row per container: what its tables say, and digests of the payload read back through them.
 
-    Null and empty texts have one unit of zero bytes; repeated rows give repeated results; an empty table gives no rows.
+    Null and empty texts have one unit of zero bytes; texts of any length are one container; repeated rows give repeated results;
+    an empty table gives no rows; columns other than doc_id and text are ignored, whatever their names.
     ``feature`` is 'codec/handler:seconds:samples:keyframes:crc32 of the keyframes' offsets and lengths'.
     """
 

@@ -300,6 +300,35 @@ def test_probe(spark):
     assert got[2]["error"] and got[3]["error"] and got[5]["error"] and got[4]["codec"] is None
 
 
+def test_probe_of_deep_files_and_several_tracks(spark):
+    deep = b"tail"
+    for _ in range(1500):
+        deep = media.box(b"moov", deep)
+    one, two = media.mux(bytes(640)), media.mux(bytes(64 * 40))
+    both = bytearray(one)
+    at = {k: next((s, e) for p, s, e in media.walk(f) if p == (b"moov", b"trak")) for k, f in ((1, one), (2, two))}
+    (moov,) = [(s, e) for p, s, e in media.walk(one) if p == (b"moov",)]
+    second = two[at[2][0] - 8 : at[2][1]]
+    # The second track's tables point into a file as long as the second one.
+    both[moov[1] : moov[1]] = second
+    both[moov[0] - 8 : moov[0] - 4] = struct.pack(">I", moov[1] - moov[0] + 8 + len(second))
+    both += bytes(len(two))
+    rows = [(1, bytes(deep)), (2, bytes(both)), (3, media.box(b"ftyp", b"isom") + media.box(b"moof", media.box(b"traf", b"")))]
+    got = {r["id"]: r["p"] for r in spark.createDataFrame(rows, "id int, media binary").select("id", media.probe("media").alias("p")).collect()}
+    assert "deep" in got[1]["error"] and "fragments" in got[3]["error"]
+    assert got[2]["error"] is None and [t["n_samples"] for t in got[2]["tracks"]] == [10, 40] and got[2]["n_samples"] == 10
+
+
+def test_media_of_a_long_text(spark):
+    """A text beyond a slice, one row among small ones, and rows that repeat a doc_id."""
+    text = "wörd " * 900_000
+    got = media.digests(media.stored(spark.createDataFrame([(1, text), (1, "a"), (None, "b")], "doc_id long, text string"))).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"]) for r in got) == [("1", 1), ("1", len(text.encode())), ("None", 1)]
+    (long,) = [r for r in got if r["n_bytes"] > 9]
+    full = text.encode() + bytes(-len(text.encode()) % 64)
+    assert long["payload_sha256"] == hashlib.sha256(full).hexdigest() and long["n_keyframes"] == -(-len(full) // 64 // 16)
+
+
 def test_scores_without_a_cap(spark, monkeypatch):
     """A filter that needs more than a fixed size keeps its bits for an entry: unseen words and bigrams stay unseen."""
     from corvid.llm import bloom
@@ -365,7 +394,7 @@ def test_no_page_is_lost(before):
 
 def test_what_is_not_dropped():
     texts = [b.text for b in html_extract.blocks("<article><p>Let <math><mi>x</mi></math> be <object>an object</object> <noscript>shown</noscript>.</p><xmp><b>1 &amp; 2</b></xmp></article>")]
-    assert texts == ["Let x be an object shown .", "<b>1 &amp; 2</b>"]
+    assert texts == ["Let x be an object shown.", "<b>1 &amp; 2</b>"]
 
 
 def test_extraction_of_a_long_page(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -21,20 +22,42 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``. Where that is unset, a temporary folder of this
+    machine serves a local session; on a cluster it is an error, as executors could not read each other's tables there."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="corvid-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = _own_dirs.setdefault(spark.sparkContext.applicationId, "")
+        if not path:
+            path = _own_dirs[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="corvid-")
     return path.rstrip("/")
 
 
+#: Temporary folders of local sessions.
+_own_dirs: dict[str, str] = {}
+#: Tables written within each workspace that is open.
+_workspaces: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def workspace():
+    """Own the intermediate tables that are written inside: all that are left are deleted at the end, so the results that are
+    wanted must be written by then (``saved`` with ``keep``)."""
+    _workspaces.append([])
+    try:
+        yield
+    finally:
+        release(*_workspaces.pop())
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corvid-{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str, codec: str = "zstd", batch_rows: int = BATCH_ROWS) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there, and a lost executor costs nothing.
+def saved(df: DataFrame, name: str, codec: str = "zstd", batch_rows: int = BATCH_ROWS, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the lineage ends there, and a lost executor costs nothing. With
+    ``keep`` the table outlives the ``workspace`` it is written in.
 
     While it is written, Arrow batches have at most ``batch_rows`` rows, which bounds what Python workers hold.
     """
@@ -48,6 +71,8 @@ def saved(df: DataFrame, name: str, codec: str = "zstd", batch_rows: int = BATCH
         spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    if _workspaces and not keep:
+        _workspaces[-1].append(out)
     return out
 
 
@@ -60,7 +85,7 @@ def release(*tables: DataFrame) -> None:
 
 
 def by_ids(docs: DataFrame, ids: DataFrame, condition, how: str) -> DataFrame:
-    """Join documents with a written table of ids. Up to BROADCAST_IDS of them, counted first, are broadcast, so that no text
+    """Join documents with a written table of ids (of a few fixed-width columns). Up to BROADCAST_IDS of them, counted first, are broadcast, so that no text
     moves; more are joined by a shuffle."""
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, condition, how)
 

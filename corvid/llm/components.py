@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import saved
+from corvid.llm.common import release, saved
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step. Large: a node's larger neighbours move to the smallest in its neighbourhood; small: its smaller ones and itself.
+    """One star step, written. Large: a node's larger neighbours move to the smallest in its neighbourhood; small: its smaller
+    ones and itself.
 
     The smallest neighbour comes from a partial aggregate, is written, and goes back by a join with nothing but exchanges below
     it, so the neighbourhood of a hub is never gathered and its rows can be split.
@@ -18,22 +19,24 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     least = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     joined = both.join(least, "a")
     if large:
-        return joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-    moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return moved.filter("a <> b").distinct()
+        moved = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    else:
+        moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+    out = saved(moved.filter("a <> b").distinct(), "stars")
+    release(least, edges)
+    return out
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, component) of every node in ``edges`` (a, b); the component is its smallest node. Loops and repeats do no harm."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node in ``edges`` (a, b), from a written table; the component is its smallest node. Loops and
+    repeats do no harm. The steps go on until nothing moves, however many that takes."""
     now = saved(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    before = (0, None)
-    for _ in range(most):
-        now = saved(_stars(saved(_stars(now, True), "stars"), False), "stars")
+    before = None
+    while True:
+        now = _stars(_stars(now, True), False)
         # Both steps keep the components; nothing more moves once the sum over all edges stands still and every edge is a star's.
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == before:
+        if state == before or not state[0]:
             break
         before = state
-    else:
-        raise RuntimeError("the components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -228,3 +228,23 @@ def test_the_stage_links_at_five_words_and_four_fifths(spark, rows):
     assert between
     docs = spark.createDataFrame(made, "doc_id long, text string")
     assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == {d for d, g in group.items() if d == g}
+
+
+def test_exact_ids_null_and_shared(spark):
+    """Rows without doc_id, and rows that share one but not the text."""
+    df = spark.createDataFrame([(None, "a b"), (3, "ab"), (5, "x y"), (5, "ab"), (6, "xy"), (7, None), (8, " ")], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(df).collect())
+    assert got == [("3", "None", 3, False), ("5", "5", 2, True), ("5", "None", 3, False), ("6", "5", 2, False), ("7", "8", 2, False), ("8", "8", 2, True), ("None", "None", 3, True)]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in exact_dedup.dedup(df).collect()) == [("5", "x y"), ("8", " "), ("None", "a b")]
+
+
+def test_exact_long_texts(spark):
+    base = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(3_000_000))
+    df = spark.createDataFrame([(1, base), (2, base[:2_999_999] + "!"), (3, " " + base)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["keep_id"]) for r in exact_dedup.exact_groups(df).collect()) == [(1, 3), (2, 2), (3, 3)]
+
+
+def test_components_of_a_long_path_and_a_hub(spark):
+    edges = spark.createDataFrame([(i * 7 % 301, (i + 1) * 7 % 301) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 400)], "a long, b long")
+    got = {r["node"]: r["component"] for r in components(edges).collect()}
+    assert got == {i: 0 for i in range(301)} | {i: 1000 for i in range(1000, 1400)}

@@ -18,6 +18,8 @@ from corvid.llm.common import mix
 #: Bits for one entry, probes of one entry, most bytes of a filter (a fixed bound, so it can be broadcast), segments, and
 #: entries that one task puts in.
 ENTRY_BITS, PROBES, MOST_BYTES, SEGMENTS, TASK_ENTRIES = 12, 5, 64 << 20, 4096, 1_000_000
+#: Levels are below this.
+MOST_LEVELS = 256
 
 
 @dataclass(frozen=True)
@@ -47,7 +49,7 @@ class Filter:
         out = np.zeros(len(keys), np.int64)
         alive = np.arange(len(keys))
         q = 1
-        while len(alive) and q < 200:
+        while len(alive) and q < MOST_LEVELS:
             alive = alive[self.entered(keys[alive], q)]
             out[alive] = q
             q += 1

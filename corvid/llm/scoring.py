@@ -2,8 +2,10 @@
 
 N-gram counts of the training documents are quantised on a logarithmic scale; an n-gram of level q is put into the filter q
 times, as (n-gram, 1) to (n-gram, q). Asking for level 1, 2, ... until one is missing gives the level back. The filter grows
-with its entries, so it isn't broadcast: it is made by hash range, and the n-grams of the texts are sent there and asked. A
-word's probability mixes its bigram with its unigram, both from the filter.
+with its entries, so it isn't broadcast: it is made by hash range, and the n-grams of the texts are sent there and asked. A level
+stands for the mean count of the training n-grams that have it, so all unigrams together have exactly the mass of the corpus. A
+word's probability mixes its bigram with its unigram, both from the filter; after a history that was never seen it is the
+unigram's alone.
 
 Beside it every text gets its exact smoothed unigram score. The counts that needs come from a bounded table of the most
 frequent words, and for all other words from a join with the table of counts.
@@ -24,24 +26,35 @@ from corvid.llm import bloom
 from corvid.llm.common import input_bytes, mix, release, saved, slices, starts_of, utf8, word_arrays
 
 FOLDS, HELD_OUT = 5, 1
-#: Least count of a bigram in the filter; base of the quantisation; weight of the bigram.
-LEAST_PAIR, BASE, PAIR_WEIGHT = 1, 1.5, 0.25
+#: Quantisation of the counts of words and of bigrams: each level begins this many times higher than the one before, and one
+#: higher at least. Weight of the bigram (the best of 0.25, 0.5 and 0.75 on held-out text). Most levels that are asked for.
+BASES, PAIR_WEIGHT, LEVELS = {1: 1.15, 2: 1.5}, 0.5, 200
 #: Most words in the broadcast table of exact counts (16 bytes each); tokens of a unit, which are asked for together.
 HEAD_WORDS, UNIT_TOKENS = 1 << 18, 1_500_000
 #: Fixed keys of the start of a text and of its end.
 START, END = np.uint64(0x5354415254000001), np.uint64(0x454E440000000001)
 
 
-def level(count: np.ndarray, least: int) -> np.ndarray:
-    """1 for the least count, one more for each factor of BASE."""
-    return 1 + np.floor(np.log(np.maximum(count, least) / least) / np.log(BASE) + 1e-9).astype(np.int64)
+def floors(kind: int) -> np.ndarray:
+    """The least count of every level, from level 1 on."""
+    out = [1]
+    while len(out) < LEVELS and out[-1] < 1 << 62:
+        out.append(max(out[-1] + 1, int(np.ceil(out[-1] * BASES[kind]))))
+    return np.array(out)
 
 
-def middle(q: np.ndarray, least: int) -> np.ndarray:
-    """The count that a level stands for: the geometric mean of the whole counts in it; 0 for level 0."""
-    low = np.ceil(least * BASE ** (np.maximum(q, 1) - 1.0) - 1e-6)
-    high = np.maximum(low, np.ceil(least * BASE ** np.maximum(q, 1).astype(float) - 1e-6) - 1)
-    return np.where(q > 0, np.sqrt(low * high), 0.0)
+FLOORS = {kind: floors(kind) for kind in BASES}
+
+
+def level(count: np.ndarray, kind: int) -> np.ndarray:
+    """The level of each count; 0 for 0."""
+    return np.searchsorted(FLOORS[kind], count, "right")
+
+
+def usual(kind: int) -> np.ndarray:
+    """A count for each level from 0 on where no training n-gram has it: the geometric mean of its least and greatest."""
+    low = FLOORS[kind].astype(float)
+    return np.concatenate([[0.0], np.sqrt(low * np.append(low[1:] - 1, low[-1])), np.full(255 - len(low), low[-1])])
 
 
 def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -135,7 +148,8 @@ def asked(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def answered(rows: DataFrame) -> DataFrame:
-    """(unit, kind, bucket, levels): for each row of kind 1 and 2 its keys' levels, a byte each. Also (key, count) of the learned words.
+    """(unit, kind, bucket, levels): for each row of kind 1 and 2 its keys' levels, a byte each. Also (key, count) of the learned
+    words, and rows of kind -1 and -2 with a level as bucket, how many n-grams have it (key) and their counts' sum.
 
     A hash range's counts are added up, put into a filter of their own and asked there, so that the filter as a whole may be of
     any size and has the same bits for an entry at each.
@@ -152,65 +166,63 @@ def answered(rows: DataFrame) -> DataFrame:
         ends = np.cumsum([len(k) for k in keys])
         found, places = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(places, np.concatenate(counts), len(found)).astype(np.int64)
-        least = 1 if kind == 1 else LEAST_PAIR
-        in_ = total >= least
+        learned = total > 0
         salted = mix(found, 20 + kind)
-        levels = bloom.of(salted[in_], level(total[in_], least)).levels(salted).astype("u1")[places]
-        m = len(keys)
-        out = pa.table({"unit": group.column("unit"), "kind": pa.array([kind] * m, pa.int32()), "bucket": pa.array([bucket] * m, pa.int32()), "levels": pa.array([x.tobytes() for x in np.split(levels, ends[:-1])], pa.binary()), "key": pa.nulls(m, pa.int64()), "count": pa.nulls(m, pa.int64())})
-        if kind == 2:
-            return out
-        w = int(in_.sum())
-        words = pa.table({"unit": pa.nulls(w, pa.int64()), "kind": pa.nulls(w, pa.int32()), "bucket": pa.nulls(w, pa.int32()), "levels": pa.nulls(w, pa.binary()), "key": pa.array(found[in_].astype("<u8").view(np.int64)), "count": pa.array(total[in_])})
-        return pa.concat_tables([out, words])
-
+        own = level(total, kind)
+        levels = bloom.of(salted[learned], own[learned]).levels(salted).astype("u1")[places]
+        many = np.bincount(own[learned])
+        sums = np.bincount(own[learned], total[learned])
+        used = np.flatnonzero(many)
+
+        def part(n, **columns) -> pa.Table:
+            return pa.table([columns.get(f.name, pa.nulls(n, f.type)) for f in fields], schema=pa.schema(fields))
+
+        out = [
+            part(len(keys), unit=group.column("unit").combine_chunks(), kind=pa.array([kind] * len(keys), pa.int32()), bucket=pa.array([bucket] * len(keys), pa.int32()), levels=pa.array([x.tobytes() for x in np.split(levels, ends[:-1])], pa.binary())),
+            part(len(used), kind=pa.array([-kind] * len(used), pa.int32()), bucket=pa.array(used, pa.int32()), key=pa.array(many[used], pa.int64()), count=pa.array(sums[used].astype(np.int64))),
+        ]
+        if kind == 1:
+            out.append(part(int(learned.sum()), key=pa.array(found[learned].astype("<u8").view(np.int64)), count=pa.array(total[learned])))
+        return pa.concat_tables(out)
+
+    fields = [pa.field("unit", pa.int64()), pa.field("kind", pa.int32()), pa.field("bucket", pa.int32()), pa.field("levels", pa.binary()), pa.field("key", pa.int64()), pa.field("count", pa.int64())]
     return rows.filter("kind > 0").select("unit", "kind", "bucket", "keys", "counts", "large").groupBy("kind", "bucket").applyInArrow(run, "unit bigint, kind int, bucket int, levels binary, key bigint, count bigint")
 
 
 @dataclass(frozen=True)
 class Model:
-    """Of the training documents: tokens, distinct tokens, texts."""
+    """Of the training documents: tokens, distinct tokens, texts, and the count that each level of words and of bigrams stands for."""
 
     total: int
     distinct: int
     texts: int
+    words: np.ndarray
+    pairs: np.ndarray
 
     def log10(self, words: np.ndarray, codes: np.ndarray, before: np.ndarray, word_levels: np.ndarray, pair_levels: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability after the one before it; levels are those of distinct words and of each bigram."""
-        single = middle(word_levels, 1)
+        """log10 of each token's probability after the one before it; levels are those of distinct words and of each bigram.
+
+        Over the vocabulary and one word that is not in it, the unigram part sums to 1, and so does the bigram part of a history
+        whose counts the levels give exactly; for others it does up to the width of the levels.
+        """
+        single = self.words[word_levels]
         single[words == END] = self.texts
-        space = self.total + 0.5 * (self.distinct + 1)
-        unigram = ((single + 0.5) / space)[codes]
+        unigram = ((single + 0.5) / (self.total + 0.5 * (self.distinct + 1)))[codes]
         history = np.empty(len(codes))
         history[1:] = single[codes][:-1]
         history[before == START] = self.texts
-        pair = middle(pair_levels, LEAST_PAIR)
-        seen = np.minimum(1.0, pair / np.maximum(np.maximum(history, pair), 1))
-        return np.log10(PAIR_WEIGHT * seen + (1 - PAIR_WEIGHT) * unigram)
-
-
-def build(counts: DataFrame, least_pair: int = 2) -> bloom.Filter:
-    """One filter over a written table of counts, every n-gram with its level; ``scored`` has one for each hash range instead."""
-
-    def run(kind: pd.Series, key: pd.Series, count: pd.Series) -> pd.DataFrame:
-        k, n = kind.to_numpy(), count.to_numpy()
-        own = np.ascontiguousarray(key.to_numpy(), np.int64).view(np.uint64)
-        salted = np.where(k == 1, mix(own, 21), mix(own, 22))
-        return pd.DataFrame({"key": salted.view(np.int64), "level": np.where(k == 1, level(n, 1), level(n, least_pair)).astype(np.int32)})
-
-    run.__annotations__ = {"kind": pd.Series, "key": pd.Series, "count": pd.Series, "return": pd.DataFrame}
-    got = F.pandas_udf(run, "key bigint, level int")("kind", "key", "count").alias("e")
-    entries = saved(counts.select(got).select("e.key", "e.level"), "entries")
-    out = bloom.build(entries)
-    release(entries)
-    return out
+        pair = self.pairs[pair_levels]
+        weight = np.where(history > 0, PAIR_WEIGHT, 0.0)
+        return np.log10(weight * pair / np.maximum(np.maximum(history, pair), 1) + (1 - weight) * unigram)
 
 
 def scored(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
 
-    Null and empty texts have the end token alone. Repeated rows are scored (and learned) as often as they occur. Without any
-    training text, counts are 0 and all tokens share one probability. Columns other than doc_id and text are ignored.
+    Null and empty texts have the end token alone; texts of any length are scored whole, and equal texts score the same. Repeated
+    rows are scored (and learned) as often as they occur; a null doc_id is learned from. Without any training text, counts are 0
+    and all tokens share one probability. Columns other than doc_id and text are ignored, whatever their names; an empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
@@ -218,10 +230,13 @@ def scored(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     buckets = 1 << max(2, (input_bytes(docs, "text") // 6 >> 20).bit_length())
     rows = saved(asked(docs.select("doc_id", F.col("text").cast("string"), (~held).alias("learn")), buckets), "asked")
     answers = saved(answered(rows), "answers")
-    words = answers.filter("key IS NOT NULL").select("key", "count")
+    words = answers.filter("key IS NOT NULL AND kind IS NULL").select("key", "count")
+    values = {kind: usual(kind) for kind in BASES}
+    for r in answers.filter("kind < 0").groupBy("kind", "bucket").agg(F.sum("key").alias("many"), F.sum("count").alias("sum")).collect():
+        values[-r["kind"]][r["bucket"]] = r["sum"] / r["many"]
     total, distinct = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
     end = words.filter(F.col("key") == int(END.astype(np.int64))).first()
-    model = Model(total, distinct, end["count"] if end else 0)
+    model = Model(total, distinct, end["count"] if end else 0, values[1], values[2])
     # The least power of two from which on the words' number is within the bound.
     powers = words.groupBy(F.floor(F.log2("count")).alias("p")).count().collect()
     least, room = 0, head_words

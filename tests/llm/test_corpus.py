@@ -236,26 +236,90 @@ def test_scores_empty(none):
     assert scoring.scored(none).count() == 0
 
 
-def test_filter_levels(spark):
-    """Each n-gram's level comes back, but for few false positives; what was never put in is mostly at level 0."""
-    counts = [(1, k * 7919, 1 + k % 50) for k in range(1, 4000)] + [(2, k * 104729, 2 + k % 90) for k in range(1, 4000)]
-    f = scoring.build(spark.createDataFrame(counts, "kind int, key long, count long"))
-    for kind, least in ((1, 1), (2, 2)):
-        keys = np.array([k for t, k, _ in counts if t == kind], np.uint64)
-        level = scoring.level(np.array([c for t, _, c in counts if t == kind]), least)
-        got = f.levels(scoring.mix(keys, 20 + kind))
-        assert (got >= level).all() and (got == level).mean() > 0.98
-    other = f.levels(scoring.mix(np.arange(1 << 40, (1 << 40) + 20_000, dtype=np.uint64), 21))
-    assert (other == 0).mean() > 0.98
+def test_filter_levels():
+    """Each n-gram's level comes back, but for few false positives; what was never put in is mostly at level 0. So it is for a
+    filter of ten million entries, beyond what one of fixed size would hold."""
+    from corvid.llm import bloom
+
+    for kind, n in ((1, 4000), (2, 4000), (2, 1_500_000)):
+        keys = scoring.mix(np.arange(n, dtype=np.uint64), 20 + kind)
+        counts = 1 + np.arange(n) % 50
+        levels = scoring.level(counts, kind)
+        f = bloom.of(keys, levels)
+        got = f.levels(keys)
+        assert (got >= levels).all() and (got == levels).mean() > 0.98
+        other = f.levels(scoring.mix(np.arange(1 << 40, (1 << 40) + 20_000, dtype=np.uint64), 20 + kind))
+        assert (other == 0).mean() > 0.98
 
 
 def test_levels_stand_for_counts_in_them():
-    counts = np.arange(1, 2000)
-    for least in (1, 2):
-        q = scoring.level(np.maximum(counts, least), least)
-        ratio = scoring.middle(q, least) / np.maximum(counts, least)
+    counts = np.arange(0, 2000)
+    for kind in (1, 2):
+        q = scoring.level(counts, kind)
+        assert q[0] == 0 and (np.diff(q) >= 0).all() and q[1:].min() == 1 and set(q) == set(range(q.max() + 1))
+        ratio = scoring.usual(kind)[q[1:]] / counts[1:]
         assert ratio.min() > 0.6 and ratio.max() < 1.6
-    assert scoring.middle(np.array([0]), 1) == 0
+
+
+def toy(spark):
+    """Few words, whose counts and bigram counts the levels give exactly."""
+    texts = ["a b a c", "b c a b", "c c d e"]
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1][:3]
+    return texts, spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+
+
+def test_probabilities_sum_to_one(spark):
+    """The next token's, over the whole vocabulary and one unknown word, after histories seen and never seen."""
+    held = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    texts, train = toy(spark)
+    vocabulary = ["a", "b", "c", "d", "e", "neverseen"]
+    histories = ["", "a", "b", "c", "d", "neverheard"]
+    # A history alone, and with each word after it: the difference is the word's probability, or the end's.
+    rows, where = [], {}
+    for h in histories:
+        for w in vocabulary:
+            where[h, w] = held[len(rows)]
+            rows.append((held[len(rows)], f"{h} {w}"))
+        where[h, None] = held[len(rows)]
+        rows.append((held[len(rows)], h))
+    for w in vocabulary:
+        where["end", w] = held[len(rows)]
+        rows.append((held[len(rows)], w))
+    got = {r["doc_id"]: r["score"] for r in scoring.scored(train.union(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    start = {w: got[where["end", w]] for w in vocabulary}  # log P(w | start) + log P(end | w)
+    total, V = 15, 6
+    counts = Counter(x for t in texts for x in [*t.split(), None])
+    pairs = Counter(p for t in texts for p in zip(["start", *t.split()], [*t.split(), None], strict=False))
+    seen = Counter(a for a, _ in pairs.elements())
+
+    def p(h, w):
+        unigram = (counts[w] + 0.5) / (total + 0.5 * (V + 1))
+        return unigram if not seen[h] else 0.5 * pairs[h, w] / seen[h] + 0.5 * unigram
+
+    for h in ("start", "a", "b", "c", "d", "neverheard"):
+        assert sum(p(h, w) for w in ["a", "b", "c", "d", "e", None, "neverseen"]) == pytest.approx(1)
+    for w in vocabulary:
+        assert start[w] == pytest.approx(math.log10(p("start", w) * p(w, None)))
+        for h in histories[1:]:
+            assert got[where[h, w]] == pytest.approx(math.log10(p("start", h) * p(h, w) * p(w, None)))
+
+
+def test_levels_keep_the_mass_of_the_corpus(spark, docs, rows):
+    """Over all training words, what their levels stand for sums to the corpus's tokens."""
+    words = Counter(w for d, t in texts_of(rows).items() if zlib.crc32(str(d).encode()) % 5 != 1 for w in t.encode().lower().split())
+    counts = np.array(list(words.values()))
+    q = scoring.level(counts, 1)
+    means = np.bincount(q, counts) / np.maximum(np.bincount(q), 1)
+    assert means[q].sum() == pytest.approx(counts.sum())
+
+
+def test_scores_of_long_and_null_rows(spark):
+    """A text beyond a slice, rows without doc_id, repeated rows, clashing names."""
+    long = "word another " * 500_000
+    rows = [(1, long), (None, "word x"), (None, "word x"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("unit", F.lit(1)).withColumn("learn", F.lit("x"))
+    got = sorted(((str(r["doc_id"]), r["n_tokens"], r["n_known"]) for r in scoring.scored(df).collect()))
+    assert got == [("1", 1_000_001, 1_000_001), ("3", 1, 1), ("4", 1, 1), ("None", 3, 3), ("None", 3, 3)]
 
 
 def test_media(docs, rows, none):
@@ -340,7 +404,8 @@ def test_scores_without_a_cap(spark, monkeypatch):
     got = {r["doc_id"]: r for r in scoring.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     total = 300 * 8001
     space = total + 0.5 * (300 * 8000 + 2)
-    exact = 2000 * math.log10(0.75 * 0.5 / space) + math.log10(0.75 * 300.5 / space)
+    # The first word follows the start, which was seen; the others follow words that were not.
+    exact = math.log10(0.5 * 0.5 / space) + 1999 * math.log10(0.5 / space) + math.log10(300.5 / space)
     assert all(abs(got[d]["score"] - exact) / 2001 < 0.03 for d in new)
 
 
@@ -352,13 +417,20 @@ def test_scores_know_bigrams_of_count_one(docs, rows):
     assert 1 in pairs.values()
     space = sum(singles.values()) + 0.5 * (len(singles) + 1)
 
-    def stands(count):
-        return float(scoring.middle(scoring.level(np.array([count]), 1), 1)[0]) if count else 0.0
+    def values(counts, kind):
+        n = np.array(list(counts.values()))
+        q = scoring.level(n, kind)
+        mean = np.bincount(q, n) / np.maximum(np.bincount(q), 1)
+        return {k: mean[x] for k, x in zip(counts, q, strict=True)}
+
+    words = {k: v for k, v in singles.items()}
+    single, pair = values(words, 1), values(pairs, 2)
 
     def log10(before, word):
-        single = {w: len(train) if w in (None, "start") else stands(singles[w]) for w in (before, word)}
-        pair = stands(pairs[before, word])
-        return math.log10(0.25 * min(1.0, pair / max(single[before], pair, 1)) + 0.75 * (single[word] + 0.5) / space)
+        n = {w: len(train) if w in (None, "start") else single.get(w, 0.0) for w in (before, word)}
+        weight = 0.5 if n[before] else 0.0
+        c = pair.get((before, word), 0.0)
+        return math.log10(weight * c / max(n[before], c, 1) + (1 - weight) * (n[word] + 0.5) / space)
 
     for r in scoring.scored(docs).collect():
         w = texts[r["doc_id"]]

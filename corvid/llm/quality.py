@@ -1,7 +1,8 @@
 """A quality classifier by Bradley-Terry pairwise ranking.
 
 From labelled documents, pairs of a better and a worse one are drawn; weights are fitted by logistic loss on the difference of
-their features, so that the better document gets the higher strength. The strength's quantile at which the training labels
+their features (shapes of words and lines, shares of byte classes, and hashed three-letter sequences), so that the better
+document gets the higher strength. The strength's quantile at which the training labels
 divide becomes the threshold.
 """
 
@@ -42,14 +43,28 @@ for _i, _v in enumerate(_BYTES.values()):
     _CLASS[np.frombuffer(_v, np.uint8)] = _i
 SHAPES = ("log_words", "word_length", "distinct_words", "top_word", "distinct_lines", "line_words", "repeated_triples", "short_words", "upper_words", "letterless_words")
 NAMES = [*_BYTES, "other", *SHAPES]
+#: Buckets of three-byte sequences (a power of two); how much stronger their weights are held down than the others.
+GRAMS, GRAM_DECAY = 64, 10.0
+WIDTH = len(NAMES) + GRAMS
+#: Pairs whose differences are in memory at a time.
+BLOCK = 10_000
+_LOWER = np.arange(256, dtype=np.uint32)
+_LOWER[65:91] += 32
 
 
 def features(text: bytes) -> np.ndarray:
-    """Shares of byte classes and shapes of words and lines, over the whole text; all 0 for the empty text."""
-    out = np.zeros(len(NAMES))
+    """Shares of byte classes, shapes of words and lines, and shares of hashed sequences of three bytes (A-Z lower-cased), over the
+    whole text; all 0 for the empty text."""
+    out = np.zeros(WIDTH)
     if not text:
         return out
-    counts = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+    raw = np.frombuffer(text, np.uint8)
+    counts = np.bincount(raw, minlength=256)
+    if len(raw) > 2:
+        for i in range(0, len(raw) - 2, 1 << 20):
+            low = _LOWER[raw[i : i + (1 << 20) + 2]]
+            out[len(NAMES) :] += np.bincount(((low[:-2] << 16 | low[1:-1] << 8 | low[2:]) * np.uint32(2654435761)) >> np.uint32(32 - GRAMS.bit_length() + 1), minlength=GRAMS)
+        out[len(NAMES) :] /= len(raw) - 2
     shares = np.bincount(_CLASS, weights=counts, minlength=len(_BYTES) + 1)
     out[: len(shares)] = shares / len(text)
     words = text.split()
@@ -73,13 +88,14 @@ def features(text: bytes) -> np.ndarray:
         sum(c for w, c in seen.items() if w.isupper()) / n,
         sum(c for w, c in seen.items() if not w[:1].isalpha() and w[0] < 128) / n,
     )
-    out[len(shares) :] = values
+    out[len(shares) : len(NAMES)] = values
     return out
 
 
 def expand(x: np.ndarray) -> np.ndarray:
-    """Each feature, its square root and whether it is about 0: bends that one weight can't make."""
-    return np.hstack([x, np.sqrt(np.abs(x)), np.exp(-np.abs(x) * 50)])
+    """Each shape and class, its square root and whether it is about 0: bends that one weight can't make; sequences by their roots."""
+    plain, grams = x[:, : len(NAMES)], x[:, len(NAMES) :]
+    return np.hstack([plain, np.sqrt(np.abs(plain)), np.exp(-np.abs(plain) * 50), np.sqrt(grams)])
 
 
 @dataclass(frozen=True)
@@ -104,9 +120,9 @@ class Model:
 def fit(x: np.ndarray, better: np.ndarray, pairs: int = PAIRS, decay: float = 1e-3, seed: int = 7) -> Model:
     """Weights from pairs (a document of label 1, one of label 0); without both labels every document scores the same, 0.5.
 
-    Minimised by Newton's method: the loss is convex and has a weight per feature only.
+    Minimised by Newton's method: the loss is convex and has a weight per feature only. Differences are made block by block.
     """
-    z = expand(x) if len(x) else np.zeros((0, 3 * len(NAMES)))
+    z = expand(x.reshape(-1, WIDTH))
     centre = z.mean(0) if len(z) else np.zeros(z.shape[1])
     spread = z.std(0) + 1e-6 if len(z) else np.ones(z.shape[1])
     good, bad = np.flatnonzero(better == 1), np.flatnonzero(better == 0)
@@ -114,12 +130,16 @@ def fit(x: np.ndarray, better: np.ndarray, pairs: int = PAIRS, decay: float = 1e
         return Model(centre, spread, np.zeros(z.shape[1]), 1.0, np.log(CUT / (1 - CUT)))
     z = np.clip((z - centre) / spread, -8, 8)
     rng = np.random.default_rng(seed)
-    d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
+    upper, lower = rng.choice(good, pairs), rng.choice(bad, pairs)
     w = np.zeros(z.shape[1])
+    held = decay * np.where(np.arange(len(w)) < len(w) - GRAMS, 1.0, GRAM_DECAY)
     for _ in range(25):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        gradient = -(d * p[:, None]).mean(0) + decay * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / pairs + decay * np.eye(len(w))
+        gradient, hessian = held * w, np.diag(held)
+        for i in range(0, pairs, BLOCK):
+            d = z[upper[i : i + BLOCK]] - z[lower[i : i + BLOCK]]
+            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+            gradient -= p @ d / pairs
+            hessian += (d * (p * (1 - p))[:, None]).T @ d / pairs
         step = np.linalg.solve(hessian, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -141,31 +161,34 @@ def fold(doc_id: Column, folds: int = FOLDS) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on labelled rows outside the held-out fold, at most ``sample`` of them, taken by their ids' hash."""
+    """Fit on labelled rows outside the held-out fold, at most ``sample`` of them, taken by their ids' hash.
+
+    Rows that repeat a doc_id count once, with the least of their texts; labels that contradict each other count as the worse one.
+    """
     known = labels.select("doc_id", "quality").dropna().filter(fold(F.col("doc_id")) != HELD_OUT).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # The sample's size is bounded by the parameter, so it can be broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # The sample's size is bounded by the parameter, so it can be broadcast; a partial aggregate leaves one row of each id.
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", F.col("quality").cast("int").alias("quality")).agg(F.min("text").alias("text"))
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.record_batch([part.column("doc_id"), part.column("quality"), pa.array([features(t).tolist() for t in utf8(part.column("text"))], pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
+                yield pa.record_batch([part.column("doc_id"), part.column("quality"), pa.array([features(t).astype("<f8").tobytes() for t in utf8(part.column("text"))], pa.binary())], names=["doc_id", "quality", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.withColumn("quality", F.col("quality").cast("int")).mapInArrow(run, f"doc_id {kind}, quality int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
-    got = got.drop_duplicates("doc_id")
-    x = np.array(got["x"].tolist()) if len(got) else np.zeros((0, len(NAMES)))
-    return fit(x, got["quality"].to_numpy())
+    got = rows.mapInArrow(run, f"doc_id {kind}, quality int, x binary").toPandas().sort_values("doc_id", kind="stable")
+    return fit(np.frombuffer(b"".join(map(bytes, got["x"])), "<f8"), got["quality"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of every row; only the text is an input. Null counts as empty; repeated rows get equal scores."""
+    """(doc_id, score) of every row; only the text is an input, whole however long it is. Null counts as empty; equal texts and
+    repeated rows get equal scores; an empty table gives no rows; other columns are ignored, whatever their names."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                x = np.array([features(t) for t in utf8(part.column("text"))]).reshape(-1, len(NAMES))
+                x = np.array([features(t) for t in utf8(part.column("text"))]).reshape(-1, WIDTH)
                 yield pa.record_batch([part.column("doc_id"), pa.array(model.score(x), pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -173,9 +196,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, one row per row of ``docs``."""
+    """doc_id, held_out, score, predicted, one row per row of ``docs``. A row without doc_id is not held out."""
     out = score(docs, train(docs, labels))
-    return out.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -186,7 +209,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                x = np.array([features(t) for t in utf8(part.column("text"))]).reshape(-1, len(NAMES))
+                x = np.array([features(t) for t in utf8(part.column("text"))]).reshape(-1, WIDTH)
                 yield part.filter(pa.array(model.score(x) >= CUT))
 
     return docs.mapInArrow(run, docs.schema).select(names)

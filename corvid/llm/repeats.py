@@ -4,7 +4,9 @@ A text's words are rewritten round by round: first runs of one word, then pairs
 and one in the right half of an alphabet that a hash divides anew in each round. A pair's new name is a hash of the two, so all
 tasks name alike, and what becomes of a stretch of words depends on them and a known context only: equal substrings have the
 same symbols inside. A symbol of the last round that occurs once in the whole corpus rules out every window that contains its
-context; the windows that are left are gathered under a symbol they contain, their anchor, and compared there.
+context; the windows that are left are gathered under a symbol they contain, their anchor. Stretches of windows of one anchor
+that are the same as a whole are counted first; only where an anchor has several stretches are windows counted one by one. All
+counting is by partial aggregates, so a passage that every document has is never gathered in one place.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ WINDOW, ROUNDS, CONTEXT = 35, 5, 20
 REACH = WINDOW - CONTEXT + 1
 #: Text that is worked on at a time.
 PIECE_BYTES = 6 << 20
-_NONE = np.uint64((1 << 64) - 1)
-_PLACE = np.uint64((1 << 28) - 1)
+#: Odd multipliers of the polynomial hashes of windows.
+MULTIPLIERS = (0xD6E8FEB86659FD93, 0xA24BAED4963EE407)
 
 
 def symbols(words: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, rounds: int = ROUNDS, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray]:
@@ -120,11 +122,21 @@ def _slide(a: np.ndarray, reach: int) -> np.ndarray:
     return out
 
 
+def _hashed(words: np.ndarray, at: np.ndarray, window: int, multiplier: int) -> np.ndarray:
+    """A polynomial hash of the ``window`` words from each place on."""
+    out = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(window):
+            out = out * np.uint64(multiplier) + words[at + k]
+    return mix(out, 72)
+
+
 def candidates(texts: list[bytes], known: bloom.Filter, window: int, rounds: int):
-    """Records of windows that may repeat: (anchor, document, first window in it, hashes of the windows, windows in each record).
+    """Stretches of windows that may repeat: (anchor, document, first window in it, hashes of the windows, windows in each stretch).
 
-    A record's windows follow one another and have one anchor, the symbol of least hash in reach; a window without a symbol in
-    reach is a record of its own.
+    A stretch's windows follow one another and have one anchor, the symbol of least hash in reach (the first of equal ones); a
+    window without a symbol in reach is a stretch of its own, under a second hash of its words. So two windows count as equal
+    only if two independent 64-bit values are.
     """
     words, doc, first, last = _laid(texts)
     n = len(words)
@@ -135,38 +147,39 @@ def candidates(texts: list[bytes], known: bloom.Filter, window: int, rounds: int
     alone = np.zeros(n + REACH + 1, np.int64)
     alone[1 + at[~known.has(names)]] = 1
     alone = np.cumsum(alone)
-    code = mix(names, 71) & ~_PLACE | at.astype(np.uint64)
-    best = np.full(n, _NONE)
-    np.minimum.at(best, at, code)
-    named = np.zeros(n, np.uint64)
-    chosen = best[at] == code
-    named[at[chosen]] = names[chosen]
+    order = np.lexsort((at, mix(names, 71)))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    best = np.full(n, len(order))
+    np.minimum.at(best, at, place)
     best = _slide(best, REACH)
-    start = np.arange(n)
-    ok = (start + window <= last[doc]) & (alone[REACH : REACH + n] == alone[:n])
+    ok = (np.arange(n) + window <= last[doc]) & (alone[REACH : REACH + n] == alone[:n])
     c = np.flatnonzero(ok)
     if not len(c):
         return empty
-    hashes = np.zeros(len(c), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(window):
-            hashes = hashes * np.uint64(0xD6E8FEB86659FD93) + words[c + k]
-    hashes = mix(hashes, 72)
-    lonely = best[c] == _NONE
-    anchor_at = (best[c] & _PLACE).astype(np.int64)
-    anchor = np.where(lonely, mix(hashes, 73), named[np.where(lonely, 0, anchor_at)])
+    hashes = _hashed(words, c, window, MULTIPLIERS[0])
+    lonely = best[c] == len(order)
+    anchor, anchor_at = np.empty(len(c), np.uint64), np.full(len(c), -1)
+    chosen = order[best[c[~lonely]]]
+    anchor[~lonely], anchor_at[~lonely] = names[chosen], at[chosen]
+    anchor[lonely] = _hashed(words, c[lonely], window, MULTIPLIERS[1])
     fresh = np.ones(len(c), bool)
     fresh[1:] = (c[1:] != c[:-1] + 1) | (anchor_at[1:] != anchor_at[:-1]) | lonely[1:] | lonely[:-1] | (doc[c[1:]] != doc[c[:-1]])
     begin = np.flatnonzero(fresh)
     return anchor[begin], doc[c[begin]], (c - first[doc[c]])[begin], hashes, np.diff(begin, append=len(c))
 
 
+RECORDS = "anchor bigint, content bigint, key bigint, print bigint, start int, mask int, twice int, hashes array<bigint>"
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """(key, start, mask): windows that start elsewhere too; bit b of the mask is the window at ``start + b``. ``docs`` has key and text."""
+    """(key, print, start, mask): windows that start elsewhere too; bit b of the mask is the window at ``start + b``. ``docs`` has
+    key, print and text."""
     buckets = _buckets(docs)
     found_twice = saved(repeated_symbols(docs, buckets, window, rounds), "repeated-symbols")
     known = docs.sparkSession.sparkContext.broadcast(bloom.build(found_twice))
     release(found_twice)
+    schema = pa.schema([pa.field(n, {"bigint": pa.int64(), "int": pa.int32(), "array<bigint>": pa.list_(pa.int64())}[t]) for n, t in (f.split() for f in RECORDS.split(", "))])
 
     def run(batches):
         found = known.value
@@ -175,50 +188,39 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
                 anchor, doc, start, hashes, sizes = candidates(utf8(part.column("text")), found, window, rounds)
                 if not len(anchor):
                     continue
-                key = part.column("key").to_numpy()[doc]
+                key, print_ = (part.column(c).to_numpy()[doc] for c in ("key", "print"))
                 begin = starts_of(sizes)
                 inside = np.arange(len(hashes)) - np.repeat(begin, sizes)
                 with np.errstate(over="ignore"):
                     content = mix(anchor, 81) + np.add.reduceat(mix(hashes ^ mix(inside.astype(np.uint64), 82), 83), begin)
                 _, where, which, times = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
-                # A record that is here twice is settled here; one copy goes on, so that others learn of it.
+                # A stretch that is here twice is settled here; one copy goes on, so that others learn of it.
                 twice = times[which] > 1
                 full = (1 << sizes) - 1
                 settled = np.flatnonzero(twice)
                 m = len(settled)
-                yield pa.record_batch([pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(key[settled]), pa.array(start[settled], pa.int32()), pa.array(full[settled], pa.int32()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.binary())], names=names)
+                yield pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(key[settled]), pa.array(print_[settled]), pa.array(start[settled], pa.int32()), pa.array(full[settled], pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, schema.field("hashes").type)], schema=schema)
                 where = np.sort(where)
                 m = len(where)
                 take = np.repeat(np.isin(np.arange(len(sizes)), where, assume_unique=True), sizes)
-                offsets = np.concatenate([[0], np.cumsum(sizes[where]) * 8]).astype(np.int32)
-                body = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(hashes[take].tobytes())])
-                bucket = (mix(anchor[where], 84) % np.uint64(buckets)).astype(np.int32)
-                yield pa.record_batch([pa.array(bucket), pa.array(anchor[where].view(np.int64)), pa.array(key[where]), pa.array(start[where], pa.int32()), pa.nulls(m, pa.int32()), pa.array(twice[where]), body], names=names)
-
-    def compare(group: pa.Table) -> pa.Table:
-        raw = group.column("hashes").to_pylist()
-        sizes = np.array([len(x) // 8 for x in raw])
-        hashes = np.frombuffer(b"".join(raw), np.uint64)
-        anchor = np.repeat(group.column("anchor").to_numpy(), sizes)
-        twice = group.column("twice").to_numpy().astype(bool)
-        weight = np.repeat(1 + twice.astype(np.int64), sizes)
-        order = np.lexsort((anchor, hashes))
-        h, a = hashes[order], anchor[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (a[1:] != a[:-1])])
-        shared = np.empty(len(h), bool)
-        shared[order] = (np.add.reduceat(weight[order], np.flatnonzero(new)) > 1)[np.cumsum(new) - 1]
-        begin = starts_of(sizes)
-        mask = np.add.reduceat(shared.astype(np.int64) << (np.arange(len(hashes)) - np.repeat(begin, sizes)), begin)
-        out = group.select(["key", "start"]).append_column("mask", pa.array(mask, pa.int32()))
-        return out.filter(pa.array((mask > 0) & ~twice))
-
-    names = ["bucket", "anchor", "key", "start", "mask", "twice", "hashes"]
-    records = saved(docs.select("key", F.col("text").cast("string")).mapInArrow(run, "bucket int, anchor bigint, key bigint, start int, mask int, twice boolean, hashes binary"), "records", "lz4")
+                body = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[where])]), pa.int32()), pa.array(hashes[take].view(np.int64)))
+                yield pa.record_batch([pa.array(anchor[where].view(np.int64)), pa.array(content[where].view(np.int64)), pa.array(key[where]), pa.array(print_[where]), pa.array(start[where], pa.int32()), pa.array(full[where], pa.int32()), pa.array(twice[where].astype(np.int32)), body], schema=schema)
+
+    records = saved(docs.select("key", "print", F.col("text").cast("string")).mapInArrow(run, RECORDS), "records", "lz4")
     known.destroy()
-    settled = records.filter("bucket IS NULL").select("key", "start", "mask")
-    asked = records.filter("bucket IS NOT NULL").select("bucket", "anchor", "key", "start", "twice", "hashes").groupBy("bucket").applyInArrow(compare, "key bigint, start int, mask int")
-    places = saved(settled.union(asked).distinct(), "repeated-windows")
-    release(records)
+    settled = records.filter("anchor IS NULL").select("key", "print", "start", "mask")
+    asked = records.filter("anchor IS NOT NULL")
+    # Stretches that are the same as a whole become one row with its number.
+    whole = saved(asked.groupBy("anchor", "content", "mask", "hashes").agg((F.count(F.lit(1)) + F.sum("twice")).alias("weight")), "stretches", "lz4")
+    # Equal windows have one anchor, so windows are counted only under anchors that have several stretches.
+    several = whole.groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).filter("lo <> hi").select("anchor")
+    windows = saved(whole.join(several, "anchor", "left_semi").select("anchor", "content", "weight", F.posexplode("hashes").alias("at", "hash")), "windows", "lz4")
+    again = windows.groupBy("anchor", "hash").agg(F.sum("weight").alias("n")).filter("n > 1").select("anchor", "hash")
+    some = windows.filter("weight = 1").join(again, ["anchor", "hash"]).groupBy("anchor", "content").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("at"))).alias("mask"))
+    masks = saved(whole.filter("weight > 1").select("anchor", "content", "mask").unionByName(some), "masks", "lz4")
+    open_ = asked.filter("twice = 0").select("anchor", "content", "key", "print", "start")
+    places = saved(settled.unionByName(open_.join(masks, ["anchor", "content"]).select("key", "print", "start", "mask")).distinct(), "repeated-windows")
+    release(records, whole, windows, masks)
     return places
 
 
@@ -226,12 +228,16 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, with_te
     """doc_id, n_words, n_removed and kept_sha256 of every row of ``docs`` (and the kept text).
 
     A word goes if a window that covers it has the same words as one that starts elsewhere. Null and empty texts have no words;
-    texts shorter than a window keep all. Repeated rows repeat each other, so rows that are the same in doc_id and text get the
-    same result. Columns other than doc_id and text are ignored; an empty table gives no rows.
+    texts shorter than a window keep all; texts of any length are one sequence of words. Repeated rows repeat each other, so rows
+    that are the same in doc_id (null or not) and text get the same result; rows that share a doc_id but not a text are told
+    apart. Columns other than doc_id and text are ignored, whatever their names; an empty table gives no rows.
     """
-    keyed = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("key"))
-    places = saved(repeated_windows(keyed.select("key", "text"), window, rounds).groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks")), "places")
-    both = keyed.join(places, "key", "left").select("doc_id", "text", "starts", "masks")
+    text = F.col("text").cast("string")
+    keyed = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("key"), F.xxhash64(F.lit(1), text).alias("print"))
+    marks = repeated_windows(keyed.select("key", "print", "text"), window, rounds)
+    places = saved(marks.groupBy("key", "print").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks")), "places")
+    release(marks)
+    both = keyed.join(places, ["key", "print"], "left").select("doc_id", "text", "starts", "masks")
 
     def run(batches):
         for batch in batches:

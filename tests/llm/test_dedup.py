@@ -248,3 +248,33 @@ def test_components_of_a_long_path_and_a_hub(spark):
     edges = spark.createDataFrame([(i * 7 % 307, (i + 1) * 7 % 307) for i in range(306)] + [(1000, 1000 + i) for i in range(1, 400)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
     assert got == {i: 0 for i in range(307)} | {i: 1000 for i in range(1000, 1400)}
+
+
+def test_repeats_of_a_passage_in_every_slice(spark, monkeypatch):
+    """A passage that all documents have, with other words around it, in many slices of text and in runs of one word."""
+    import random
+
+    monkeypatch.setattr(repeats, "PIECE_BYTES", 3000)
+    r = random.Random(5)
+    passage = [f"p{i}" for i in range(50)]
+    rows = []
+    for i in range(150):
+        w = [f"u{i}x{k}" for k in range(r.randint(0, 60))] + passage + [f"v{i}x{k}" for k in range(r.randint(0, 60))]
+        rows.append((i, " ".join(w + ["same"] * (i % 3 * 40))))
+    rows += [(None, " ".join(passage)), (7, " ".join(passage[:36])), (7, " ".join(passage[:34]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumns({"print": F.lit(1), "anchor": F.lit("a"), "mask": F.lit(0)})
+    got = sorted((str(x["doc_id"]), x["n_words"], x["n_removed"], x["kept_sha256"]) for x in repeats.removed(df).collect())
+    truth = repeats_truth([(k, t) for k, (_, t) in enumerate(rows)], 35)
+    assert got == sorted((str(d), *truth[k]) for k, (d, _) in enumerate(rows))
+
+
+def test_repeats_of_long_texts(spark):
+    """Texts beyond a slice, with one another's passages."""
+    import random
+
+    r = random.Random(6)
+    a = [str(r.randrange(10**6)) for _ in range(900_000)]
+    b = [str(r.randrange(10**6)) for _ in range(400_000)] + a[500_000:500_100] + ["end"]
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, "x")]
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"]) for x in repeats.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (900_000, 100), 2: (400_101, 100), 3: (1, 0)}

@@ -369,6 +369,13 @@ def test_filter_levels():
         assert (other == 0).mean() > 0.98
 
 
+def test_keys_are_packed_losslessly():
+    rng = np.random.default_rng(0)
+    for keys in (np.zeros(0, np.uint64), np.array([7], np.uint64), np.array([0, (1 << 64) - 1], np.uint64), np.arange(300, dtype=np.uint64), np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64))):
+        assert (scoring._unpacked(scoring._packed(keys)) == keys).all()
+    assert len(scoring._packed(np.arange(1000, dtype=np.uint64))) < 1010
+
+
 def test_levels_stand_for_counts_in_them():
     counts = np.arange(0, 2000)
     for kind in (1, 2):

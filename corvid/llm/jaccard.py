@@ -6,7 +6,8 @@ of its rarest elements, in an order that puts what is frequent in the whole corp
 The boundary between small and large is where the estimated cost is least.
 
 Links between sets that are already connected add nothing to the components. So each list first tries to link all its sets to
-one of them, and only sets that are then still apart are compared with each other: no pair that could link is left out.
+one of them, and only sets that are then still apart are compared with each other: no pair that could link is left out. Sets that
+link share two elements of prefixes one longer, so a long list is cut into lists by a second element, exactly.
 
 Before two sets are compared in full their parity sketches are. An element flips one bit of its set's sketch, so sketches differ
 in no more bits than the sets do in elements: a pair whose sketches differ in too many bits can't link, and a join on a list
@@ -32,6 +33,8 @@ MOST_SMALL, SCAN_COST = 20, 12
 #: Counters of the frequency sketch: shingles for each, and least and most counters (4 bytes each, so at most 64 MB).
 SHINGLES_A_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 128, 1 << 16, 1 << 24
 RANGES = 16
+#: Sets of several components in a list from which on it is cut by a second element.
+LONG_LIST = 2000
 #: 64-bit words of a parity sketch.
 SKETCH_WORDS = 8
 BITS = [f"b{i}" for i in range(SKETCH_WORDS)]
@@ -188,8 +191,13 @@ def ranks(sketch: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(np.log2(np.maximum(sketch / usual, 0.5))) + 1, 0, 63).astype(np.uint64)
 
 
+#: Places of a large set's elements in the common order: among its first ``index_length`` (INNER), the one after those, the others
+#: of its first ``prefix_length``, and the one after those, which serves as a second element only (and may be both of "after").
+INNER, AFTER_INNER, OUTER, AFTER_OUTER, AFTER_BOTH = 0, 5, 3, 4, 6
+
+
 def _posted(docs: DataFrame, order, small: int, words: int, percent: int) -> DataFrame:
-    """(key, doc_id, n, role): subset keys of small sets, and for the others their rarest elements (role 0, or 3 beyond ``index_length``).
+    """(key, doc_id, n, role): subset keys of small sets (role 1 and 2), and for the others their rarest elements.
 
     Of sets that are equal within a task only the first is posted.
     """
@@ -218,20 +226,33 @@ def _posted(docs: DataFrame, order, small: int, words: int, percent: int) -> Dat
                             sizes.append(np.full(len(got), n))
                             roles.append(np.array([r for _, r in got]))
                     if n >= lowest:
-                        p = prefix_length(n, percent)
+                        p, q = prefix_length(n, percent), index_length(n, percent)
                         rank = frequency[(s % np.uint64(len(frequency))).astype(np.int64)]
                         by = rank << np.uint64(58) | mix(s, 9) >> np.uint64(6)
-                        q = index_length(n, percent)
-                        keys.append(np.partition(by, sorted({q - 1, p - 1}))[:p].view(np.int64))
-                        ids.append(np.full(p, doc))
-                        sizes.append(np.full(p, n))
-                        roles.append(np.where(np.arange(p) < q, 0, 3))
+                        m = min(n, p + 1)
+                        keys.append(np.partition(by, sorted({i for i in (q - 1, q, p - 1, p) if i < n}))[:m].view(np.int64))
+                        ids.append(np.full(m, doc))
+                        sizes.append(np.full(m, n))
+                        role = np.full(m, OUTER)
+                        role[:q] = INNER
+                        role[q : q + 1] = AFTER_INNER
+                        role[p:] = AFTER_BOTH if p == q else AFTER_OUTER
+                        roles.append(role)
                 if keys:
                     yield pa.record_batch([pa.array(np.concatenate(x).astype(t)) for x, t in ((keys, np.int64), (ids, np.int64), (sizes, np.int32), (roles, np.int32))], names=["key", "doc_id", "n", "role"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).filter("doc_id IS NOT NULL").mapInArrow(run, "key bigint, doc_id bigint, n int, role int")
 
 
+def _cut(long: DataFrame, elements: DataFrame) -> DataFrame:
+    """Long lists (key, doc_id, role, component) as lists of pairs of elements: the list's and each other one of the set's."""
+    other = elements.select("doc_id", F.col("key").alias("second"), F.col("role").alias("second_role"))
+    both = long.join(other, "doc_id").filter(F.col("key") != F.col("second"))
+    inner = (F.col("role") == INNER) & F.col("second_role").isin(INNER, AFTER_INNER, AFTER_BOTH)
+    key = F.xxhash64(F.least("key", "second"), F.greatest("key", "second"))
+    return both.select(key.alias("key"), "doc_id", F.when(inner, INNER).otherwise(OUTER).alias("role"), "component").distinct()
+
+
 def _picked(docs: DataFrame, pairs: DataFrame, words: int, column: str, form) -> DataFrame:
     """(doc_id, ``column``): ``form`` of the set of every document that occurs in a pair. Other texts aren't moved."""
     ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
@@ -243,7 +264,7 @@ def _picked(docs: DataFrame, pairs: DataFrame, words: int, column: str, form) ->
                 found = shingle_sets(utf8(part.column("text")), words)
                 yield pa.record_batch([part.column("doc_id"), pa.array([form(s) for s in found], pa.binary())], names=["doc_id", column])
 
-    found = saved(texts.mapInArrow(run, f"doc_id bigint, {column} binary").dropDuplicates(["doc_id"]), column)
+    found = saved(texts.mapInArrow(run, f"doc_id bigint, {column} binary").groupBy("doc_id").agg(F.max(column).alias(column)), column)
     release(ids)
     return found
 
@@ -298,11 +319,13 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int
     return out
 
 
-def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most_small: int = MOST_SMALL) -> DataFrame:
+def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most_small: int = MOST_SMALL, long_list: int = LONG_LIST) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``.
 
-    Null and empty texts have no shingles, link with nothing and are their own component. Equal sets link; so do repeated rows.
-    A row without doc_id has a null component. Columns other than doc_id and text are ignored; an empty table gives no rows.
+    Null and empty texts have no shingles, link with nothing and are their own component. Texts of any length are one set. Equal
+    sets link; so do repeated rows. A doc_id names one text: rows that share one but not the text are one node, linked through
+    equal sets of any of them and by the greatest of their other sets. A row without doc_id has a null component. Columns other
+    than doc_id and text are ignored, whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
     counters = _sketch_size(input_bytes(docs, "text") // 6)
@@ -318,12 +341,14 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most_sma
 
     posted = saved(_posted(docs, order, small, words, percent), "posted")
     order.destroy()
-    centres = saved(posted.groupBy("key").agg(F.min(F.when(F.col("role") < 2, F.col("doc_id"))).alias("centre"), F.count(F.lit(1)).alias("length")).filter("length > 1 AND centre IS NOT NULL").drop("length"), "centres")
+    centres = saved(posted.groupBy("key").agg(F.min(F.when(F.col("role").isin(INNER, 1), F.col("doc_id"))).alias("centre"), F.count(F.lit(1)).alias("length")).filter("length > 1 AND centre IS NOT NULL").drop("length"), "centres")
     lists = saved(posted.join(centres, "key"), "lists")
     release(posted, centres)
-    spokes = saved(lists.filter("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct(), "spokes")
+    first_only = ~F.col("role").isin(AFTER_OUTER, AFTER_BOTH)
+    spokes = saved(lists.filter(first_only & (F.col("doc_id") != F.col("centre"))).select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct(), "spokes")
     # Written, so that a join with a hot centre has nothing but exchanges below it and can be split.
-    sketches = saved(described.filter("part IS NULL").select("doc_id", "n", *BITS).dropDuplicates(["doc_id"]), "sketches")
+    sketch = F.max(F.struct("n", *BITS)).alias("s")
+    sketches = saved(described.filter("part IS NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(sketch).select("doc_id", "s.*"), "sketches")
     x, y = sketches.alias("x"), sketches.alias("y")
     likely = spokes.join(x, F.col("a") == F.col("x.doc_id")).join(y, (F.col("b") == F.col("y.doc_id")) & may_link("x", "y", percent)).select("a", "b")
 
@@ -332,15 +357,29 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most_sma
             links = links.join(aliases.withColumnsRenamed({"doc_id": side, "rep": f"{side}_rep"}), side, "left").withColumn(side, F.coalesce(f"{side}_rep", side)).drop(f"{side}_rep")
         return links.select("a", "b")
 
-    links = saved(representative(verified(docs, saved(likely, "likely-spokes"), words, percent)), "rep-links")
+    likely = saved(likely, "likely-spokes")
+    links = saved(representative(verified(docs, likely, words, percent)), "rep-links")
     near = saved(components(links), "components")
-    release(links)
+    release(links, likely)
     # Lists in which sets of several components meet: compare every two of them that are apart.
-    with_rep = lists.filter("role IN (0, 3)").select("key", "doc_id", "role").join(aliases, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    with_rep = lists.filter(~F.col("role").isin(1, 2)).select("key", "doc_id", "role").join(aliases, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     placed = saved(with_rep.join(near.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.col("rep").alias("doc_id"), "role", F.coalesce("component", "rep").alias("component")).distinct(), "placed")
     release(lists)
-    apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    several = saved(placed.join(saved(apart, "apart"), "key", "left_semi").join(sketches, "doc_id"), "several")
+
+    def apart(rows: DataFrame) -> DataFrame:
+        """Lists with sets of several components, and how many sets they have."""
+        return rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("sets")).filter("lo <> hi").select("key", "sets")
+
+    met = placed.filter(first_only)
+    open_lists = saved(apart(met), "apart")
+    short = met.join(open_lists.filter(F.col("sets") <= long_list), "key", "left_semi")
+    # Two sets of small sizes may link by one element alone at low thresholds; then there is no second one to cut by.
+    if percent <= 50:
+        cut = met.join(open_lists.filter(F.col("sets") > long_list), "key", "left_semi")
+    else:
+        cut = saved(_cut(met.join(open_lists.filter(F.col("sets") > long_list), "key", "left_semi"), placed), "cut-lists")
+        cut = cut.join(apart(cut), "key", "left_semi")
+    several = saved(short.unionByName(cut.select(short.columns)).join(sketches, "doc_id"), "several")
     x, y = several.filter("role = 0").alias("x"), several.alias("y")
     order_ = F.struct("x.n", "x.doc_id") < F.struct("y.n", "y.doc_id")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & order_ & may_link("x", "y", percent)).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()

@@ -101,6 +101,48 @@ def test_near_copies_of_small_sets(spark):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.joined(df, most_small=most_small).collect()} == jaccard_truth(rows)
 
 
+def test_near_copies_in_hot_lists(spark):
+    """Every set shares its most frequent shingles with all others, and lists are cut by a second element from three sets on."""
+    import random
+
+    r = random.Random(21)
+    shared = [f"hot{i}" for i in range(30)]
+    rows = []
+    for g in range(25):
+        base = [f"g{g}x{i}" for i in range(r.randint(5, 60))]
+        for k in range(4):
+            w = list(base)
+            for _ in range(k):
+                w[r.randrange(len(w))] = f"new{g}{k}"
+            rows.append((len(rows), " ".join(shared[: r.choice([12, 30])] + w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    truth = jaccard_truth(rows)
+    for long_list in (0, 3, 10_000):
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.joined(df, most_small=0, long_list=long_list).collect()}
+        assert got == truth
+    assert len({c for _, c in truth.values()}) > 20
+
+
+def test_two_elements_are_shared_by_linked_sets():
+    """What the cut of long lists rests on, over all pairs of sizes that can link."""
+    for n in range(2, 200):
+        p, q = jaccard.prefix_length(n), jaccard.index_length(n)
+        assert 1 <= q <= p <= n
+        for m in jaccard.partners(n):
+            t = jaccard.needed(n, m)
+            if t <= n:
+                assert t >= 2 or n == m == 1
+                assert n - t + 2 <= jaccard.index_length(n) + 1 and m - t + 2 <= jaccard.prefix_length(m) + 1
+
+
+def test_near_copies_of_long_null_and_repeated_rows(spark):
+    long = " ".join(str(i * i % 100_003) for i in range(700_000))
+    rows = [(1, long), (2, long + " end"), (3, "a b c d e"), (3, "a b c d e"), (None, "a b c d e"), (4, "A B c d e"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit("k"), "role": F.lit(9), "component": F.lit("c")})
+    got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in jaccard.joined(df).collect())
+    assert got == [("1", "1"), ("2", "1"), ("3", "3"), ("3", "3"), ("4", "3"), ("5", "5"), ("None", "3")]
+
+
 def test_subsets_are_complete():
     import itertools
 

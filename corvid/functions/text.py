@@ -26,7 +26,9 @@ ACCENTED, PLAIN = _accents()
 def fold(text: Column | str) -> Column:
     """Lower case, sharp s as ss, Latin marks dropped."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), ACCENTED, PLAIN)
+    folded = F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), ACCENTED, PLAIN)
+    # Text of ASCII characters only, told by its size, has nothing to fold but case.
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(folded)
 
 
 def tokens(text: Column | str) -> Column:
@@ -34,6 +36,11 @@ def tokens(text: Column | str) -> Column:
     return F.coalesce(F.regexp_extract_all(fold(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def query_tokens(text: Column | str) -> Column:
+    """The words of a question as the reader of titles and headings sees them: word characters with the underscore, folded."""
+    return F.coalesce(F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.array().cast("array<string>"))
+
+
 def token_count(text: Column | str) -> Column:
     """The stand-in token count: a third of the code points, one at least."""
     return F.greatest(F.lit(1), F.floor(F.length(text) / 3)).cast("int")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corvid.plans import extras, lexical, runs, texts, vectors
+from corvid.plans import extras, lexical, measures, retrieval, runs, texts, vectors
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (lexical, vectors, texts, runs, extras):
+for _module in (lexical, vectors, texts, runs, extras, retrieval, measures):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corvid.functions import images
 from corvid.functions import text as T
-from corvid.operators import agent, embedding, lexical, search, validation
+from corvid.operators import agent, coverage, embedding, lexical, search, validation
 from corvid.plans.common import bm25_sql, table
 from corvid.plans.vectors import _BASE, cosine_topk
 
@@ -95,7 +95,7 @@ def answer_snippets(spark, d):
     rows = best.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").join(table(spark, d, "benchmark").select("item_id", F.col("text").alias("query")), "item_id")
 
     def run(text: pd.Series, query: pd.Series) -> pd.Series:
-        return pd.Series([agent.snippet(t, q, 400)[0] for t, q in zip(text, query, strict=True)])
+        return pd.Series([coverage.snippet(t, q, 400)[0] for t, q in zip(text, query, strict=True)])
 
     run.__annotations__ = {"text": pd.Series, "query": pd.Series, "return": pd.Series}
     return rows.select("item_id", "doc_id", F.pandas_udf(run, "string")("text", "query").alias("snippet"))

@@ -74,7 +74,8 @@ def contiguity(spark, d):
 
 
 def duplicate_ids(spark, d):
-    return table(spark, d, "conversations").groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("first")).filter("n > 1")
+    """Texts that several documents have: how many, and the first of them."""
+    return table(spark, d, "documents").groupBy(F.md5("text").alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
 
 
 def candidate_union(spark, d):
@@ -85,8 +86,8 @@ def candidate_union(spark, d):
 
 
 def missing_documents(spark, d):
-    """Gold documents that the ranking does not have."""
-    return _gold(spark, d).join(_ranked(spark, d), ["item_id", "doc_id"], "left_anti").select("item_id", "doc_id")
+    """Gold documents that are not the ranking's first."""
+    return _gold(spark, d).join(_ranked(spark, d).filter("rank = 1"), ["item_id", "doc_id"], "left_anti").select("item_id", "doc_id")
 
 
 def pareto_frontier(spark, d):
@@ -142,9 +143,9 @@ def dedupe_idempotent(spark, d):
 
 
 def review_queue(spark, d):
-    """Orders of the largest customers as runs, line items' suppliers as reviewers: what supplier 1 has not seen."""
+    """Orders as runs, line items' suppliers as reviewers: what supplier 1 has not seen, the first 200 in the queue's order."""
     items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_suppkey").alias("reviewer"))
-    orders = table(spark, d, "orders").filter("o_totalprice > 400000").select(F.col("o_orderkey").alias("run"), "o_orderdate", "o_orderstatus")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("run"), "o_orderdate", "o_orderstatus")
     q = runs.review_queue(orders, items, "run", 1)
     return q.orderBy(F.desc(F.col("o_orderstatus") == "F"), "reviews", "o_orderdate", "run").limit(200).select("run", "reviews", "o_orderstatus")
 
@@ -182,9 +183,9 @@ def session_window(spark, d):
 
 def _streamed(spark, rows, name, mode="append"):
     """The stream's whole output as a table: written with a checkpoint to the shared folder, then read."""
-    import uuid
+    from corvid.sources.store import scratch
 
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/corvid-streams'}/{name}-{uuid.uuid4().hex}"
+    base = scratch(spark, name)
     from corvid.streaming import events as E
 
     E.drain(rows, f"{base}/out", f"{base}/checkpoint", mode)
@@ -214,12 +215,12 @@ def coverage_requirements(spark, d):
     """What questions ask for by name; the questions are made of a few phrases and the passages here."""
     import pandas as pd
 
-    from corvid.operators import agent
+    from corvid.operators import coverage
 
     phrases = ["¿Qué cambió entre 2019 y 2021?", "Plan Nacional de Desarrollo 2013-2018 y 2019-2024", "la NOM-001-SSA1-2010, numerales 5.2 y 5.3 transitorios", "reforma de pensiones de marzo de 2020", "más de 15 y hasta 50, diario y mensual"]
 
     def run(texts):
-        return texts.map(agent.requirements)
+        return texts.map(lambda t: [str(n) for n in coverage.needs(t)])
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     question = F.concat(F.element_at(F.array(*map(F.lit, phrases)), (F.col("item_id") % 5 + 1).cast("int")), F.lit(" "), F.col("text"))
@@ -233,24 +234,12 @@ def document_headers(spark, d):
     return headers.with_headers(table(spark, d, "documents")).select("doc_id", "institution", "title")
 
 
-def search_documents(spark, d):
-    """Lexical and vector documents fused, with metadata and recency. A passage's vector is the one of its number."""
-    from corvid.operators import fusion, search
-    from corvid.plans.common import dated
-
-    docs = table(spark, d, "documents")
-    queries = table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id")
-    hits = cosine_topk(spark, d).select((F.col("query_id") / 50).cast("bigint").alias("query_id"), (F.col("vec_id") % 100).alias("doc_id"), "score", "rank")
-    hits = fusion.collapse(hits, "query_id", "doc_id", [F.col("rank")], 20).join(queries.select("query_id"), "query_id", "left_semi").select("query_id", "doc_id", "score", "rank")
-    return search.documents(docs, queries, dated(docs), search.Filters(as_of="2023-12-31"), hits, prefer_recent=True).select("query_id", "doc_id", "score", "rank")
-
-
-QUERIES = {f.__name__: f for f in (mrr_recall_ndcg, metrics_rollup, all_hop_recall, all_hop_per_query, citation_metrics, answer_metrics, coverage_snapshot, contiguity, duplicate_ids, candidate_union, missing_documents, pareto_frontier, speed_quality_join, latest_event, event_sequence, replay_after, run_view, state_transition_check, quota_24h, quota_admission, dedupe_idempotent, review_queue, feedback_gate, visibility, event_props, tumbling_window, sliding_window, session_window, streaming_tumbling, stateful_event_log, coverage_requirements, document_headers, search_documents)}
+QUERIES = {f.__name__: f for f in (mrr_recall_ndcg, metrics_rollup, all_hop_recall, all_hop_per_query, citation_metrics, answer_metrics, coverage_snapshot, contiguity, duplicate_ids, candidate_union, missing_documents, pareto_frontier, speed_quality_join, latest_event, event_sequence, replay_after, run_view, state_transition_check, quota_24h, quota_admission, dedupe_idempotent, review_queue, feedback_gate, visibility, event_props, tumbling_window, sliding_window, session_window, streaming_tumbling, stateful_event_log, coverage_requirements, document_headers)}
 
 _GOLD = f"""
     gb AS (SELECT item_id, array_to_string({tokens_sql("text")}, ' ') AS q, len({tokens_sql("text")}) AS n FROM benchmark),
     gd AS (SELECT doc_id, array_to_string({tokens_sql("text")}, ' ') AS x FROM documents),
-    gold AS (SELECT item_id, doc_id, 'c' || item_id % 3 AS category FROM gb, gd WHERE n >= 8 AND contains(x, q))"""
+    gold AS (SELECT item_id, doc_id, 'c' || item_id % 3 AS category FROM gb, gd WHERE n >= 8 AND contains(' ' || x || ' ', ' ' || q || ' '))"""
 _EVAL = f"""{bm25_sql('1', 20)}, {_GOLD},
     firsts AS (SELECT g.item_id, g.category, min(b.rank) AS first FROM gold g LEFT JOIN best b USING (item_id, doc_id) GROUP BY ALL),
     f10 AS (SELECT *, CASE WHEN first <= 10 THEN first END AS r FROM firsts)"""
@@ -279,9 +268,9 @@ ORACLE = {
     "coverage_snapshot": f"""WITH {_GOLD}, t AS (SELECT max(doc_id) // 2 AS top FROM documents), r AS (SELECT item_id, max(doc_id) AS last, bool_and(doc_id <= top) AS eligible FROM gold, t GROUP BY item_id)
         SELECT count(*) AS n, count(CASE WHEN eligible THEN 1 END) AS eligible, max(last) AS last FROM r""",
     "contiguity": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n, min({k}) AS lo, max({k}) AS hi, count(DISTINCT {k}) AS ids, max({k}) - min({k}) + 1 = count(DISTINCT {k}) AS contiguous FROM {n}" for n, k in (("documents", "doc_id"), ("events", "event_id"), ("orders", "o_orderkey"))),
-    "duplicate_ids": "SELECT text, count(*) AS n, min(conv_id) AS first FROM conversations GROUP BY text HAVING count(*) > 1",
+    "duplicate_ids": "SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY ALL HAVING count(*) > 1",
     "candidate_union": f"WITH {_EVAL} SELECT item_id, doc_id, CAST(min(p) AS INTEGER) AS priority FROM (SELECT item_id, doc_id, 0 AS p FROM best WHERE rank <= 3 UNION ALL SELECT item_id, doc_id, 1 FROM gold) GROUP BY ALL",
-    "missing_documents": f"WITH {_EVAL} SELECT item_id, doc_id FROM gold ANTI JOIN best USING (item_id, doc_id)",
+    "missing_documents": f"WITH {_EVAL} SELECT item_id, doc_id FROM gold ANTI JOIN (SELECT * FROM best WHERE rank = 1) USING (item_id, doc_id)",
     "pareto_frontier": """
         WITH r AS (SELECT c_nationkey, count(*) AS n, round(avg(c_acctbal), 4) AS mean FROM customer GROUP BY c_nationkey)
         SELECT c_nationkey, n, mean FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE (b.n > a.n AND b.mean >= a.mean) OR (b.n = a.n AND b.mean > a.mean))""",
@@ -303,7 +292,7 @@ ORACLE = {
         c AS (SELECT user_id, client_id, count(DISTINCT event_type) > 1 AS conflict FROM r GROUP BY ALL)
         SELECT user_id, client_id, event_id, event_type, conflict FROM r JOIN c USING (user_id, client_id) WHERE k = 1""",
     "review_queue": """
-        WITH o AS (SELECT o_orderkey AS run, o_orderdate, o_orderstatus FROM orders WHERE o_totalprice > 400000 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey = 1)),
+        WITH o AS (SELECT o_orderkey AS run, o_orderdate, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey = 1)),
         c AS (SELECT l_orderkey AS run, count(*) AS reviews FROM lineitem GROUP BY ALL)
         SELECT run, coalesce(reviews, 0) AS reviews, o_orderstatus FROM o LEFT JOIN c USING (run) ORDER BY CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, reviews, o_orderdate, run LIMIT 200""",
     "feedback_gate": """

@@ -104,14 +104,9 @@ def ngram_overlap(spark, d):
 
 
 def anchor_check(spark, d):
-    """Whether a passage has a word that would find it: of four letters or more, and in fewer than one document in a hundred."""
+    """Whether a passage has a word that would find each document that quotes it."""
     docs = _docs(spark, d)
-    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    from corvid.operators import lexical as L
-
-    terms = L.query_terms(table(spark, d, "benchmark"), "item_id").filter(F.length("term") >= 4)
-    rows = terms.join(L.vocabulary(docs), "term", "left").crossJoin(F.broadcast(n))
-    return rows.groupBy("item_id").agg(F.max(F.coalesce("df", F.lit(0)) < F.col("n_docs") * 0.01).alias("anchored"))
+    return evaluate.anchored(table(spark, d, "benchmark"), docs, quote_in_chunk(spark, d), "item_id").select("item_id", "doc_id", "anchored")
 
 
 def query_validation(spark, d):
@@ -122,10 +117,11 @@ def query_validation(spark, d):
 
 
 def quote_in_chunk(spark, d):
-    """Passages of eight words or more that a document quotes word for word."""
-    bench = table(spark, d, "benchmark").select("item_id", F.array_join(T.tokens("text"), " ").alias("quote"), F.size(T.tokens("text")).alias("n"))
-    docs = _docs(spark, d).select("doc_id", F.array_join(T.tokens("text"), " ").alias("body"))
-    return docs.join(F.broadcast(bench.filter("n >= 8")), F.contains("body", F.col("quote"))).select("item_id", "doc_id")
+    """Passages of eight words or more that a document quotes word for word: by their first words, then compared as a whole."""
+    from corvid.operators import lexical
+
+    quotes = table(spark, d, "benchmark").select("item_id", T.tokens("text").alias("words")).filter(F.size("words") >= 8)
+    return lexical.phrase_hits(_docs(spark, d), quotes, "item_id").select("item_id", "doc_id")
 
 
 def json_arrays(spark, d):
@@ -217,7 +213,7 @@ def word_windows(spark, d):
 
 def percentile_nearest_rank(spark, d):
     n = F.octet_length("text")
-    return _docs(spark, d).groupBy("lang").agg(*(evaluate.nearest_rank(n, p).alias(f"p{p}") for p in (50, 95, 99)))
+    return evaluate.nearest_rank(_docs(spark, d), "lang", n, (50, 95, 99))
 
 
 def percentile_linear(spark, d):
@@ -226,15 +222,14 @@ def percentile_linear(spark, d):
 
 
 def stratified_sample(spark, d):
-    """Round robin over languages, the largest first in each round."""
-    w = Window.partitionBy("lang")
-    rows = _docs(spark, d).select("doc_id", "lang").withColumn("n", F.count(F.lit(1)).over(w)).withColumn("round", F.row_number().over(w.orderBy("doc_id")))
-    return rows.orderBy("round", F.desc("n"), "lang").limit(100).select("doc_id", "lang", "round")
+    """Round robin over languages and whether a text is long, the largest strata first in each round."""
+    rows = _docs(spark, d).select("doc_id", "lang", F.coalesce(F.length("text") > 1000, F.lit(False)).alias("long"))
+    return evaluate.stratified(rows, ["lang", "long"], "doc_id", 100)
 
 
 def hash_sample(spark, d):
     """A sample by the ids' digests: the same whatever the order of rows."""
-    return _docs(spark, d).select("doc_id", F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))).alias("h")).orderBy("h").limit(100)
+    return evaluate.seeded(_docs(spark, d).select("doc_id"), "doc_id", 100, 7)
 
 
 def chunk_documents(spark, d):
@@ -309,15 +304,18 @@ ORACLE = {
         dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS g FROM d WHERE len(w) >= 5)
         SELECT item_id, count(DISTINCT doc_id) AS docs FROM bg JOIN dg USING (g) GROUP BY item_id""",
     "anchor_check": f"""
-        WITH o AS (SELECT doc_id, unnest({tokens_sql("text")}) AS term FROM documents), v AS (SELECT term, count(DISTINCT doc_id) AS df FROM o GROUP BY term),
-        q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({tokens_sql("text")}) AS term FROM benchmark) WHERE length(term) >= 4)
-        SELECT item_id, bool_or(coalesce(df, 0) < (SELECT count(*) FROM documents) * 0.01) AS anchored FROM q LEFT JOIN v USING (term) GROUP BY item_id""",
+        WITH b AS (SELECT item_id, {tokens_sql("text")} AS w FROM benchmark), d AS (SELECT doc_id, {tokens_sql("text")} AS w FROM documents),
+        g AS (SELECT item_id, doc_id, b.w AS q, d.w AS x FROM b, d WHERE len(b.w) >= 8 AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(b.w, ' ') || ' ')),
+        o AS (SELECT DISTINCT doc_id, unnest(w) AS term FROM d), v AS (SELECT term, count(*) AS df FROM o GROUP BY term),
+        q AS (SELECT DISTINCT item_id, doc_id, unnest(q) AS term FROM g)
+        SELECT item_id, doc_id, bool_or(df < (SELECT count(*) FROM documents) * 0.001 AND (length(term) >= 4 AND NOT regexp_matches(term, '^[0-9]+$') OR regexp_matches(term, '^[0-9]{{4,}}$'))) AS anchored
+        FROM q JOIN v USING (term) GROUP BY ALL""",
     "query_validation": """
         SELECT conv_id, turn, CASE WHEN length(text) < 15 THEN 'too short' WHEN length(text) > 300 THEN 'too long' WHEN role = 'user' AND NOT contains(text, '?') THEN 'no question'
                WHEN row_number() OVER (PARTITION BY lower(text) ORDER BY conv_id, turn) > 1 THEN 'repeated' ELSE 'ok' END AS reason FROM conversations""",
     "quote_in_chunk": f"""
         WITH b AS (SELECT item_id, array_to_string({tokens_sql("text")}, ' ') AS q, len({tokens_sql("text")}) AS n FROM benchmark), d AS (SELECT doc_id, array_to_string({tokens_sql("text")}, ' ') AS x FROM documents)
-        SELECT item_id, doc_id FROM b, d WHERE n >= 8 AND contains(x, q)""",
+        SELECT item_id, doc_id FROM b, d WHERE n >= 8 AND contains(' ' || x || ' ', ' ' || q || ' ')""",
     "json_arrays": "SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS INTEGER) AS path, CAST(CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN -1 ELSE 0 END AS INTEGER) AS first FROM documents",
     "path_metadata": """
         SELECT doc_id, CAST(doc_id % 30 + 2000 AS INTEGER) AS year, 'MAT' AS section,
@@ -352,7 +350,8 @@ ORACLE = {
         SELECT lang, CAST(s[least(n * 50 // 100, n - 1) + 1] AS INTEGER) AS p50, CAST(s[least(n * 95 // 100, n - 1) + 1] AS INTEGER) AS p95, CAST(s[least(n * 99 // 100, n - 1) + 1] AS INTEGER) AS p99 FROM l""",
     "percentile_linear": "SELECT lang, round(quantile_cont(CAST(strlen(text) AS DOUBLE), 0.5), 4) AS p50, round(quantile_cont(CAST(strlen(text) AS DOUBLE), 0.95), 4) AS p95, max(CAST(strlen(text) AS DOUBLE)) AS max FROM documents GROUP BY lang",
     "stratified_sample": """
-        WITH r AS (SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS n, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS INTEGER) AS round FROM documents)
-        SELECT doc_id, lang, round FROM r ORDER BY round, n DESC, lang LIMIT 100""",
+        WITH l AS (SELECT doc_id, lang, coalesce(length(text) > 1000, false) AS long FROM documents),
+        r AS (SELECT *, count(*) OVER (PARTITION BY lang, long) AS n, CAST(row_number() OVER (PARTITION BY lang, long ORDER BY doc_id) AS INTEGER) AS round FROM l)
+        SELECT doc_id, lang, long, round FROM r ORDER BY round, n DESC, lang, long LIMIT 100""",
     "hash_sample": "SELECT doc_id, md5('7:' || doc_id) AS h FROM documents ORDER BY h LIMIT 100",
 }

@@ -34,16 +34,15 @@ def l2_topk(spark, d):
 
 
 def hamming_topk(spark, d):
-    """Packed signs in JVM expressions: XOR and bit counts over 64-bit words."""
-    rows, queries = _both(spark, d)
-    codes = rows.select("vec_id", V.sign_codes(F.col("embedding"), DIMS).alias("code"))
-    q = queries.select("query_id", V.sign_codes(F.col("embedding"), DIMS).alias("q"))
-    hits = codes.join(F.broadcast(q)).select("query_id", "vec_id", V.hamming(F.col("code"), F.col("q")).alias("distance"))
-    return ranked(hits, ["query_id"], [F.col("distance"), F.col("vec_id")], K)
+    """Packed signs as 64-bit words, met block by block."""
+    rows, queries = _queries(spark, d)
+    codes = [x.select("vec_id", V.sign_codes(F.col("embedding"), DIMS).alias("code")) for x in (rows, queries)]
+    hits = vector.topk(*codes, K, vector.codes_apart, descending=False, vec_col="code")
+    return hits.select("query_id", "vec_id", F.col("score").cast("int").alias("distance"), "rank")
 
 
 def hamming_topk_blocks(spark, d):
-    """The same by Arrow blocks, the way taken for many queries."""
+    """The same, signs packed as bytes within each block."""
     rows, queries = _queries(spark, d)
     return vector.topk(rows, queries, K, vector.signs_apart, descending=False).withColumnRenamed("score", "distance")
 
@@ -66,9 +65,18 @@ def truncate_renorm(spark, d):
 
 
 def norm_check(spark, d):
+    """Whether vectors as stored have length 1; every third is scaled here, so both answers occur."""
     rows, _ = _both(spark, d)
     n = V.norm(V.unit(F.col("embedding")))
-    return rows.select("vec_id", (n > 0.99).alias("unit"))
+    stored = F.transform(V.unit(F.col("embedding")), lambda x: x * F.when(F.col("vec_id") % 3 == 0, 0.5 + F.col("vec_id") % 7 / 10.0).otherwise(1.0))
+    return rows.select("vec_id", (F.abs(V.norm(stored) - 1) < 0.01).alias("unit"), F.round(n, 4).alias("norm"))
+
+
+def sign_variant(spark, d):
+    """Cosine of vectors whose values are replaced by their signs: one minus twice the share of bits that differ."""
+    rows, queries = _queries(spark, d)
+    signs = [x.select("vec_id", F.transform("embedding", lambda v: F.when(v >= 0, 1.0).otherwise(-1.0)).alias("embedding")) for x in (rows, queries)]
+    return vector.topk(*signs, K, vector.cosine)
 
 
 def bytes_per_vector(spark, d):
@@ -160,7 +168,7 @@ def label_recall(spark, d):
     return rows.rollup("gold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("label") == F.col("gold")).cast("double")), 6).alias("precision"))
 
 
-QUERIES = {f.__name__: f for f in (cosine_topk, l2_topk, hamming_topk, hamming_topk_blocks, sign_pack, int8_quantize, truncate_renorm, norm_check, bytes_per_vector, nbit_recall, bit_drift, doc_collapse, minmax_normalize, weighted_fusion, rrf_fusion, alpha_sweep, recency_boost, recency_blend, vector_post_filter, overlap_recall, label_recall)}
+QUERIES = {f.__name__: f for f in (cosine_topk, l2_topk, hamming_topk, hamming_topk_blocks, sign_pack, int8_quantize, truncate_renorm, norm_check, sign_variant, bytes_per_vector, nbit_recall, bit_drift, doc_collapse, minmax_normalize, weighted_fusion, rrf_fusion, alpha_sweep, recency_boost, recency_blend, vector_post_filter, overlap_recall, label_recall)}
 
 _F = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
 _BASE = f"""
@@ -204,7 +212,12 @@ ORACLE = {
         WITH s AS (SELECT vec_id, list_slice({_F}, 1, 48) AS v FROM embeddings),
         n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) + 1e-12 AS n FROM s)
         SELECT vec_id, CAST(len(v) AS INTEGER) AS dims, round(sqrt(list_sum(list_transform(v, lambda x: x * x))) / n, 5) AS norm, round(v[1] / n, 5) AS "first" FROM n""",
-    "norm_check": "SELECT vec_id, true AS unit FROM embeddings",
+    "norm_check": f"""
+        WITH n AS (SELECT vec_id, {_F} AS v, sqrt(list_sum(list_transform({_F}, lambda x: x * x))) AS n, CASE WHEN vec_id % 3 = 0 THEN 0.5 + vec_id % 7 / 10.0 ELSE 1.0 END AS k FROM embeddings),
+        u AS (SELECT vec_id, k, list_transform(v, lambda x: x / (n + 1e-12)) AS u FROM n)
+        SELECT vec_id, abs(sqrt(list_sum(list_transform(u, lambda x: x * k * x * k))) - 1) < 0.01 AS unit, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 4) AS norm FROM u""",
+    "sign_variant": f"""WITH {_BASE}, s AS (SELECT query_id, vec_id, round(1 - 2 * distance / CAST({DIMS} AS DOUBLE), 6) + 0.0 AS score FROM raw)
+        SELECT query_id, vec_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= {K}""",
     "bytes_per_vector": "SELECT CAST(len(embedding) AS INTEGER) AS dims, count(*) AS n, CAST(len(embedding) * 4 AS INTEGER) AS float32, CAST(len(embedding) AS INTEGER) AS int8, CAST(ceil(len(embedding) / 8) AS INTEGER) AS bits FROM embeddings GROUP BY ALL",
     "bit_drift": f"""
         WITH s AS (SELECT vec_id, {_F} AS v, list_max(list_transform({_F}, lambda x: abs(x))) / 127 + 1e-12 AS scale FROM embeddings)

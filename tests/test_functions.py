@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corvid.functions import headers, vectors
+from corvid.functions import vectors
 from corvid.functions import text as T
-from corvid.operators import agent, chunking
+from corvid.operators import chunking
 
 
 def one(spark, column, **values):
@@ -46,12 +46,6 @@ def test_sign_codes(spark):
     assert code == [0b101]
 
 
-def test_headers():
-    assert headers.header("# SECRETARÍA DE SALUD\n\n## Acuerdo por el que se crea.\n\ntexto") == ("SECRETARÍA DE SALUD", "Acuerdo por el que se crea")
-    assert headers.header("**PODER EJECUTIVO**\n\nDecreto por el que...\n")[1].startswith("Decreto")
-    assert headers.header("") == (None, None)
-
-
 def documents():
     para = "palabra " * 60
     table = "| a | b |\n|---|---|\n" + "| 1 | 2 |\n" * 900
@@ -101,46 +95,3 @@ def test_overlap_stays_within_its_budget():
     parts = chunking.by_tokens(text, 100, chunking.default_count, 20)
     assert all(chunking.default_count(p) <= 110 for p in parts)
     assert {w for p in parts for w in p.split("\n\n")} == set(text.split("\n\n"))
-
-
-def test_requirements():
-    assert agent.requirements("¿Qué cambió entre 2019 y 2021?") == ["2019", "2021", "rango entre 2019 y 2021"]
-    assert "tema NOM-001-SSA-2010" in agent.requirements("la nom-001-ssa-2010")
-    assert agent.requirements("numerales 5.2 y 5.3 del transitorio")[-2:] == ["numeral 5.2", "numeral 5.3"]
-    assert "publicación 2020-03-05" in agent.requirements("publicado el 5 de marzo de 2020")
-
-
-def test_covers():
-    assert agent.covers("numeral 5.2", agent.Hit("**5.2** Requisitos"))
-    assert not agent.covers("numeral 5.2", agent.Hit("véase 5.2"))
-    assert agent.covers("publicación 2020-03", agent.Hit("", publication_date="2020-03-09"))
-    assert agent.covers("rango más de 15", agent.Hit("mas de quince"))
-
-
-def test_corrects():
-    assert agent.corrects("No fue la ley sino el decreto que reformó el artículo.")
-    assert not agent.corrects("No se encontró evidencia.")
-
-
-def test_answer():
-    good = '{"answer": "x", "citations": [1, 9], "premise_status": "valid"}'
-    a = agent.validated("text " + good, {1: 7})
-    assert a.citations == [1] and a.invalid_citations == [9]
-    with pytest.raises(agent.InvalidAnswer):
-        agent.validated(good, {1: 7}, hops=2)
-
-
-def test_scripted_run():
-    docs = [{"doc_id": 1}]
-    chunks = [{"doc_id": 1, "chunk_id": 5}]
-    read = [{"doc_id": 1, "chunk_id": 5, "text": "La NOM-001-SSA1-2010 dispone"}]
-    box = agent.Toolbox({"search_documents": lambda a: docs, "search_evidence": lambda a: chunks, "read_chunks": lambda a: read})
-    turns = [
-        {"tool": "read_chunks", "arguments": {"chunk_ids": [5], "neighbor_window": 0}},
-        {"tool": "search_documents", "arguments": {"query": "agua", "top_k": 5}},
-        {"tool": "search_evidence", "arguments": {"query": "agua", "document_ids": [1], "top_k": 5}},
-        {"tool": "read_chunks", "arguments": {"chunk_ids": [5], "neighbor_window": 0}},
-        {"text": '{"answer": "sí", "citations": [5], "premise_status": "valid"}', "usage": {"total_tokens": 3}},
-    ]
-    out = agent.run("¿Qué dispone la NOM-001-SSA1-2010?", agent.Scripted(turns), box)
-    assert out["status"] == "succeeded" and out["traces"][0]["error"] and out["verification"]["coverage_requirements_met"]

@@ -29,7 +29,7 @@ def _titled(spark, d):
 def _asked(spark, d):
     """query_id, text: a passage and the title, the plan and the code of the document with five times its number."""
     named = table(spark, d, "documents").select((F.col("doc_id") / 5).alias("item_id"), "doc_id", F.array_join(F.slice(T.tokens("text"), 1, 3), " ").alias("first")).filter("doc_id % 5 = 0").withColumn("item_id", F.col("item_id").cast("bigint"))
-    tail = F.concat(F.lit(" según la ley "), F.col("first"), F.lit(" que rige el plan nacional  de desarrollo "), (F.col("doc_id") % 30 + 1990).cast("string"), F.lit("-"), (F.col("doc_id") % 30 + 1996).cast("string"), F.lit(" y la nom-"), F.lpad((F.col("doc_id") % 200).cast("string"), 3, "0"), F.lit("-ssa"))
+    tail = F.concat(F.lit(" según la ley "), F.col("first"), F.lit(" que rige el plan nacional de desarrollo  "), (F.col("doc_id") % 30 + 1990).cast("string"), F.lit("-"), (F.col("doc_id") % 30 + 1996).cast("string"), F.lit(" y la nom-"), F.lpad((F.col("doc_id") % 200).cast("string"), 3, "0"), F.lit("-ssa"))
     return table(spark, d, "benchmark").join(named, "item_id").select(F.col("item_id").alias("query_id"), F.concat("text", tail).alias("text"))
 
 
@@ -66,7 +66,7 @@ def heading_candidates(spark, d):
 def headings_like(spark, d):
     """Documents with a heading that has a phrase, whatever its case and marks."""
     chunks = _titled(spark, d).select("doc_id", F.lit(0).alias("chunk_index"), "heading_path")
-    return search.headings_like(chunks, "plan nacional de desarrollo 2001")
+    return search.headings_like(chunks, "plan nacional de desarrollo 2002")
 
 
 def phrase_bm25(spark, d):
@@ -159,7 +159,7 @@ _TITLED = f"""
     td AS (SELECT doc_id, 'Ley ' || {_W3} AS title, 'Plan Nacional de Desarrollo ' || (doc_id % 30 + 1990) || '-' || (doc_id % 30 + 1996) AS plan,
                   concat_ws('. ', 'Ley ' || {_W3}, CASE WHEN doc_id % 4 = 0 THEN 'NOM-' || lpad(CAST(doc_id % 200 AS VARCHAR), 3, '0') || '-SSA' END, text) AS text FROM base),
     named AS (SELECT doc_id // 5 AS item_id, doc_id, {_W3} AS first FROM base WHERE doc_id % 5 = 0),
-    asked AS (SELECT b.item_id AS query_id, n.doc_id AS of_doc, b.text || ' según la ley ' || first || ' que rige el plan nacional  de desarrollo ' || (n.doc_id % 30 + 1990) || '-' || (n.doc_id % 30 + 1996)
+    asked AS (SELECT b.item_id AS query_id, n.doc_id AS of_doc, b.text || ' según la ley ' || first || ' que rige el plan nacional de desarrollo  ' || (n.doc_id % 30 + 1990) || '-' || (n.doc_id % 30 + 1996)
                      || ' y la nom-' || lpad(CAST(n.doc_id % 200 AS VARCHAR), 3, '0') || '-ssa' AS text FROM benchmark b JOIN named n USING (item_id))"""
 _QT = r"regexp_extract_all(strip_accents(replace(lower(text), 'ß', 'ss')), '[\p{L}\p{N}_]+')"
 _ENDS = "[" + ", ".join(f"'{w}'" for w in search.NAME_ENDS) + "]"
@@ -225,7 +225,7 @@ ORACLE = {
     "bm25_indexed": f"WITH {bm25_sql('1', 10)} SELECT item_id, doc_id, score, rank FROM best",
     "title_candidates": f"WITH {_TITLED}, {_NAMES} SELECT query_id, doc_id, name FROM entitled",
     "heading_candidates": f"WITH {_TITLED} SELECT query_id, t.doc_id, 'Ámbito: ' || plan AS heading FROM asked a JOIN td t ON t.doc_id % 30 = a.of_doc % 30 WHERE t.doc_id % 3 = 0",
-    "headings_like": f"WITH {_TITLED} SELECT doc_id, 'Ámbito: ' || plan AS heading FROM td WHERE doc_id % 3 = 0 AND contains(lower(plan), 'plan nacional de desarrollo 2001')",
+    "headings_like": f"WITH {_TITLED} SELECT doc_id, 'Ámbito: ' || plan AS heading FROM td WHERE doc_id % 3 = 0 AND contains(lower(plan), 'plan nacional de desarrollo 2002')",
     "phrase_bm25": f"""WITH {_TITLED}, tp AS (SELECT doc_id AS phrase, array_to_string({tokens_sql("title")}, ' ') AS name FROM td), {_phrases('td', 'tp')}
         SELECT phrase AS title_of, doc_id, CAST(hits AS BIGINT) AS hits, score FROM pscore""",
     "search_lexical": f"""WITH {_first_stage('true')},

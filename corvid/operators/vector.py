@@ -80,9 +80,10 @@ def euclidean(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def codes_apart(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Hamming distance of rows of 64-bit words."""
-    out = np.zeros((len(q), len(x)))
-    for i in range(q.shape[1]):
-        out += np.bitwise_count(q[:, i : i + 1] ^ x[None, :, i])
+    a, b = (np.ascontiguousarray(v, np.int64).view(np.uint64) for v in (q, x))
+    out = np.zeros((len(a), len(b)))
+    for i in range(a.shape[1]):
+        out += np.bitwise_count(a[:, i : i + 1] ^ b[None, :, i])
     return out
 
 

@@ -40,10 +40,11 @@ def df_pruned_terms(spark, d):
 
 
 def _phrases(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.slice(T.tokens("text"), 1, 4).alias("words"))
+    return table(spark, d, "benchmark").select("item_id", T.tokens("text").alias("words"))
 
 
 def phrase_match(spark, d):
+    """Whole passages as phrases, and how often each document has them."""
     return L.phrase_hits(table(spark, d, "documents"), _phrases(spark, d), "item_id")
 
 
@@ -81,18 +82,21 @@ def alias_expansion(spark, d):
 
 
 def identifier_candidates(spark, d):
-    """Documents that hold an identifier as a phrase; the identifiers are made of document ids here."""
-    docs = table(spark, d, "documents").withColumn("text", F.concat(F.lit("Norma NOM-"), F.lpad((F.col("doc_id") % 100).cast("string"), 3, "0"), F.lit("-SSA-2010 "), F.col("text")))
-    queries = table(spark, d, "benchmark").select("item_id", F.explode(search.identifiers(F.concat(F.lit("ver nom-"), F.lpad((F.col("item_id") % 100).cast("string"), 3, "0"), F.lit("-SSA-2010 y NMX-001")))).alias("identifier"))
+    """Documents that hold an identifier of the query as a phrase. Identifiers are put before some texts here, whole or with
+    another ending, so not every document has one."""
+    number = F.lpad((F.col("doc_id") % 100).cast("string"), 3, "0")
+    head = F.element_at(F.array(F.concat(F.lit("Norma NOM-"), number, F.lit("-SSA-2010 ")), F.concat(F.lit("nom "), number, F.lit(" SSA 2011 ")), F.lit("")), (F.col("doc_id") % 3 + 1).cast("int"))
+    docs = table(spark, d, "documents").withColumn("text", F.concat(head, "text"))
+    queries = table(spark, d, "benchmark").select("item_id", F.explode(search.identifiers(F.concat(F.lit("ver nom-"), F.lpad((F.col("item_id") % 100).cast("string"), 3, "0"), F.lit("-SSA-2010 y NMX-001 "), F.col("text")))).alias("identifier"))
     phrases = queries.select("item_id", T.tokens("identifier").alias("words"))
     return L.phrase_hits(docs, phrases, "item_id")
 
 
 def title_boost(spark, d):
-    query = F.concat(F.lit("requisitos de la nom-"), F.lpad((F.col("item_id") % 10).cast("string"), 3, "0"), F.lit("-ssa-2010 calidad del agua"))
-    titles = table(spark, d, "nation").select("n_nationkey", F.concat(F.element_at(F.array(F.lit("Norma Oficial Mexicana NOM-"), F.lit("Proyecto NOM-")), (F.col("n_nationkey") % 2 + 1).cast("int")), F.lpad((F.col("n_nationkey") % 10).cast("string"), 3, "0"), F.lit("-SSA-2010, calidad del agua")).alias("title"))
-    queries = table(spark, d, "benchmark").select("item_id", query.alias("query"))
-    rows = queries.join(titles, F.col("item_id") % 10 == F.col("n_nationkey") % 10)
+    """Every passage, with an identifier before it, against titles some of which name it."""
+    query = F.concat(F.lit("requisitos de la nom-"), F.lpad((F.col("item_id") % 10).cast("string"), 3, "0"), F.when(F.col("item_id") % 4 == 0, "-ssa-2010 ").otherwise(" "), F.col("text"))
+    titles = table(spark, d, "nation").select("n_nationkey", F.concat(F.element_at(F.array(F.lit("Norma Oficial Mexicana NOM-"), F.lit("Proyecto de NOM-")), (F.col("n_nationkey") % 2 + 1).cast("int")), F.lpad((F.col("n_nationkey") % 10).cast("string"), 3, "0"), F.lit("-SSA-2010, requisitos de "), F.lower("n_name")).alias("title"))
+    rows = table(spark, d, "benchmark").select("item_id", query.alias("query")).join(titles, F.col("item_id") % 5 == F.col("n_nationkey") % 5)
     return rows.select("item_id", "n_nationkey", search.title_boost(F.col("query"), F.col("title")).alias("boost"))
 
 
@@ -121,11 +125,9 @@ ORACLE = {
     "corpus_size": f"WITH {LEXICAL_SQL} SELECT n_docs, round(avgdl, 6) AS avgdl FROM size",
     "df_pruned_terms": f"WITH {LEXICAL_SQL} SELECT item_id, term, weight, df FROM pruned",
     "phrase_match": f"""
-        WITH w AS (SELECT item_id, {tokens_sql("text")}[1:4] AS p FROM benchmark),
-        t AS (SELECT doc_id, {tokens_sql("text")} AS x FROM documents),
-        g AS (SELECT doc_id, unnest(x) AS a, unnest(x[2:]) AS b, unnest(x[3:]) AS c, unnest(x[4:]) AS e FROM t)
-        SELECT item_id, doc_id, count(*) AS hits FROM w JOIN g ON g.a = p[1]
-        WHERE (len(p) < 2 OR g.b = p[2]) AND (len(p) < 3 OR g.c = p[3]) AND (len(p) < 4 OR g.e = p[4]) GROUP BY ALL""",
+        WITH w AS (SELECT item_id, {tokens_sql("text")} AS p FROM benchmark), t AS (SELECT doc_id, {tokens_sql("text")} AS x FROM documents),
+        c AS (SELECT item_id, doc_id, p, x FROM w JOIN t ON contains(' ' || array_to_string(x, ' ') || ' ', ' ' || array_to_string(p, ' ') || ' ') WHERE len(p) > 0)
+        SELECT item_id, doc_id, CAST(len(list_filter(range(1, len(x) - len(p) + 2), lambda k: x[k:k + len(p) - 1] = p)) AS BIGINT) AS hits FROM c""",
     "chunk_bm25": f"WITH {bm25_sql('1', 5)}, {_CHUNK_SQL} SELECT item_id, chunk_id, score FROM chunk WHERE score > 0",
     "evidence_search": f"""
         WITH {bm25_sql('1', 5)}, {_CHUNK_SQL}
@@ -145,9 +147,15 @@ ORACLE = {
         u AS (SELECT item_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM e),
         f AS (SELECT item_id, term, min(pos) AS pos FROM u GROUP BY ALL)
         SELECT item_id, string_agg(term, ' ' ORDER BY pos) AS terms FROM f GROUP BY item_id""",
-    "identifier_candidates": """
-        SELECT item_id, doc_id, CAST(1 AS BIGINT) AS hits FROM benchmark b JOIN documents d ON b.item_id % 100 = d.doc_id % 100""",
-    "title_boost": """
-        SELECT item_id, n_nationkey, CAST(148 + CASE WHEN n_nationkey % 2 = 0 THEN 40 ELSE 0 END AS DOUBLE) AS boost
-        FROM benchmark JOIN nation ON item_id % 10 = n_nationkey % 10""",
+    "identifier_candidates": f"""
+        WITH h AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Norma NOM-' || lpad(CAST(doc_id % 100 AS VARCHAR), 3, '0') || '-SSA-2010 ' WHEN 1 THEN 'nom ' || lpad(CAST(doc_id % 100 AS VARCHAR), 3, '0') || ' SSA 2011 ' ELSE '' END || text AS text FROM documents),
+        t AS (SELECT doc_id, ' ' || array_to_string({tokens_sql("text")}, '  ') || ' ' AS x FROM h),
+        q AS (SELECT DISTINCT item_id, unnest(list_transform(regexp_extract_all('ver nom-' || lpad(CAST(item_id % 100 AS VARCHAR), 3, '0') || '-SSA-2010 y NMX-001 ' || text, '(?i)\\b(?:NOM|NMX)-\\d{{3}}(?:-[A-Z]+)*(?:-\\d{{4}})?\\b'), lambda i: replace(lower(i), '-', '  '))) AS p FROM benchmark)
+        SELECT item_id, doc_id, CAST(sum((length(x) - length(replace(x, ' ' || p || ' ', ''))) // (length(p) + 2)) AS BIGINT) AS hits FROM q JOIN t ON contains(x, ' ' || p || ' ') GROUP BY ALL""".replace("\\\\", "\\"),
+    "title_boost": f"""
+        WITH q AS (SELECT item_id, 'requisitos de la nom-' || lpad(CAST(item_id % 10 AS VARCHAR), 3, '0') || CASE WHEN item_id % 4 = 0 THEN '-ssa-2010 ' ELSE ' ' END || text AS query FROM benchmark),
+        t AS (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'Norma Oficial Mexicana NOM-' ELSE 'Proyecto de NOM-' END || lpad(CAST(n_nationkey % 10 AS VARCHAR), 3, '0') || '-SSA-2010, requisitos de ' || lower(n_name) AS title FROM nation),
+        x AS (SELECT item_id, n_nationkey, title, query, lower(regexp_extract(query, '(?i)\\b(?:NOM|NMX)-[0-9]{{3}}(?:-[A-Z]+)*(?:-[0-9]{{4}})?\\b')) AS i FROM q JOIN t ON item_id % 5 = n_nationkey % 5)
+        SELECT item_id, n_nationkey, CASE WHEN contains(lower(title), i) THEN CASE WHEN length(i) - length(replace(i, '-', '')) >= 3 THEN 100.0 ELSE 40.0 END + CASE WHEN title LIKE 'Norma%' THEN 40.0 ELSE 0.0 END
+               + 12.0 * least(4, len(list_distinct(list_intersect({tokens_sql("query")}, {tokens_sql("title")})))) ELSE 0.0 END AS boost FROM x""".replace("\\\\", "\\"),
 }

@@ -81,7 +81,35 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
 }
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
 ORACLE = {
+    "op4_recompression": f"""
+        WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35),
+        h AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h FROM p),
+        r AS (SELECT doc_id, i FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)),
+        g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM r),
+        x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+        k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM x ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN k USING (doc_id)
+    """,
+    "op9_size_aware_join": f"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+                                  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+        -- Equal sets are one node, named by the smallest doc_id.
+        m AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY list_sort(s)) END AS rep, s FROM s),
+        u AS (SELECT doc_id, n, unnest(s) AS g FROM m WHERE rep = doc_id),
+        c AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM c WHERE 100 * c >= 85 * (nx + ny - c)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        t(node, root) AS (SELECT rep, rep FROM m UNION SELECT e.y, t.root FROM t JOIN e ON e.x = t.node),
+        o AS (SELECT node, min(root) AS root FROM t GROUP BY node)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, root AS component_id FROM m JOIN o ON node = rep
+    """,
     "op7_warc_index": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS payload_digest FROM pages),

@@ -13,13 +13,23 @@ LEAST_BYTES, BEFORE, AFTER, DONE_WITHIN, LONGEST_ALT = 5120, 800, 200, 250, 120
 
 def tasks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, position, alt, ref, surrounding) of local images of a known type that have no description just before them and don't
-    point outside their folder. The text is cut at its images once; what stands before an image is the parts before it."""
+    point outside their folder. The text is cut at its images once; from the parts before and after an image no more than what is
+    looked at is put together."""
     text = F.col(text_col)
-    rows = docs.select(id_col, text.alias("_text"), F.split(text, IMAGE).alias("_parts"), F.regexp_extract_all(text, F.lit(IMAGE), F.lit(0)).alias("_all"))
-    rows = rows.select(id_col, "_parts", "_all", F.posexplode("_all").alias("position", "_match"))
-    before = F.array_join(F.slice("_parts", 1, F.col("position") + 1), "")
-    after = F.array_join(F.slice("_parts", F.col("position") + 2, F.size("_parts")), "")
-    rows = rows.select(id_col, "position", F.regexp_extract("_match", IMAGE, 1).alias("alt"), F.regexp_extract("_match", IMAGE, 2).alias("ref"), F.right(before, F.lit(BEFORE)).alias("_before"), F.left(after, F.lit(AFTER)).alias("_after"))
+    rows = docs.select(id_col, F.split(text, IMAGE).alias("_parts"), F.regexp_extract_all(text, F.lit(IMAGE), F.lit(0)).alias("_all"))
+    ends = F.transform("_parts", lambda p: F.right(p, F.lit(BEFORE)))
+    begins = F.transform("_parts", lambda p: F.left(p, F.lit(AFTER)))
+    rows = rows.select(id_col, ends.alias("_ends"), begins.alias("_begins"), F.posexplode("_all").alias("position", "_match"))
+
+    def near(parts: Column, most: int, last: bool) -> Column:
+        """So many characters of the parts together, from their end or their beginning; a part of that length ends the walk."""
+        ordered = F.reverse(parts) if last else parts
+        glued = F.aggregate(ordered, F.lit(""), lambda t, p: F.when(F.length(t) >= most, t).otherwise(F.concat(p, t) if last else F.concat(t, p)))
+        return F.right(glued, F.lit(most)) if last else F.left(glued, F.lit(most))
+
+    before = near(F.slice("_ends", 1, F.col("position") + 1), BEFORE, True)
+    after = near(F.slice("_begins", F.col("position") + 2, F.size("_begins")), AFTER, False)
+    rows = rows.select(id_col, "position", F.regexp_extract("_match", IMAGE, 1).alias("alt"), F.regexp_extract("_match", IMAGE, 2).alias("ref"), before.alias("_before"), after.alias("_after"))
     good = ~F.col("ref").rlike(r"^https?://") & F.lower("ref").rlike(r"\.(" + "|".join(SUFFIXES) + ")$") & ~F.col("ref").rlike(r"(^|/)\.\.(/|$)|^/") & ~F.contains(F.right("_before", F.lit(DONE_WITHIN)), F.lit("IMAGE_DESCRIPTION:"))
     around = F.trim(F.regexp_replace(F.concat("_before", "_after"), r"\n{3,}", "\n\n"))
     return rows.filter(good).select(id_col, "position", "alt", "ref", around.alias("surrounding"))
@@ -34,6 +44,11 @@ def described(text: Column, ref: Column, alt: Column, description: Column) -> Co
     return F.when(at > 0, F.concat(F.left(text, at - 1), new, F.substr(text, at + F.length(old)))).otherwise(text)
 
 
+def described_all(text: Column, found: Column) -> Column:
+    """The text with all descriptions (array of structs: ref, alt, description) put in, one after another."""
+    return F.aggregate(found, text, lambda t, x: described(t, x["ref"], x["alt"], x["description"]))
+
+
 def rewritten(text: Column, folder: str) -> Column:
     """Image paths under ``folder`` instead of wherever they pointed, and attribute blocks after images gone."""
     return F.regexp_replace(F.regexp_replace(text, r"!\[([^\]]*)\]\((?:[^)\s]*/)?([^)/\s]+)\)", rf"![$1]({folder}/$2)"), r"(!\[[^\]]*\]\([^)]*\))\{[^}]*\}", "$1")

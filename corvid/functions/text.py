@@ -116,6 +116,15 @@ def is_fragment_title(title: Column) -> Column:
     return F.coalesce((F.length(F.trim(title)) < 20) | F.trim(title).rlike(FRAGMENT), F.lit(True))
 
 
+#: How files are named that have no title of their own.
+SLUG = r"^\d{3}_(AVISO|DOC|DOF|ACUERDO)_\d{8}_"
+
+
+def is_slug(title: Column) -> Column:
+    """Whether a title is but a file's name."""
+    return title.rlike(SLUG)
+
+
 def snippet(text: Column, at: Column, most: int = 200) -> Column:
     """At most ``most`` characters that begin a quarter before position ``at`` (from 1), with ellipses where text is left out."""
     short = F.length(text) <= most

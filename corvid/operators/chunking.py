@@ -249,86 +249,94 @@ def split(text: str, size: int | None = None, count: Counter = default_count) ->
 
 
 CHUNKS = "pattern string, chunk_index int, text string, heading_path array<string>, has_image boolean, token_count int, chunk_hash string"
+SPANS = "array<struct<start:int,end:int,lit:string>>"
 
 
-def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: Counter = default_count) -> DataFrame:
-    """One row per chunk. Documents with null text have none."""
+def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: Counter = default_count, recipes: bool = False) -> DataFrame:
+    """One row per chunk. Documents with null text have none. With ``recipes`` each has its spans of the document's text (images
+    inlined), which are made where the two are at hand, so no text is moved for them."""
+    fields = {"pattern": pa.string(), "chunk_index": pa.int32(), "text": pa.string(), "heading_path": pa.list_(pa.string()), "has_image": pa.bool_(), "token_count": pa.int32(), "chunk_hash": pa.string()}
+    if recipes:
+        fields["spans"] = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lit", pa.string())]))
 
     def run(batches):
         import hashlib
 
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in (id_col, "pattern", "chunk_index", "text", "heading_path", "has_image", "token_count", "chunk_hash")}
-            for doc, text in zip(batch.column(id_col).to_pylist(), batch.column(text_col).to_pylist(), strict=True):
+            for doc, text in zip(batch.column(id_col), batch.column(text_col).to_pylist(), strict=True):
                 if text is None:
                     continue
                 kind, rows = split(text, count=count)
+                if not rows:
+                    continue
                 for r in rows:
-                    for k, v in ((id_col, doc), ("pattern", kind), *r.items(), ("token_count", count(r["text"])), ("chunk_hash", hashlib.sha256(r["text"].encode()).hexdigest())):
-                        out[k].append(v)
-            types = {id_col: batch.schema.field(id_col).type, "pattern": pa.string(), "chunk_index": pa.int32(), "text": pa.string(), "heading_path": pa.list_(pa.string()), "has_image": pa.bool_(), "token_count": pa.int32(), "chunk_hash": pa.string()}
-            yield pa.record_batch([pa.array(v, types[k]) for k, v in out.items()], names=list(out))
+                    r |= {"pattern": kind, "token_count": count(r["text"]), "chunk_hash": hashlib.sha256(r["text"].encode()).hexdigest()}
+                if recipes:
+                    source = inlined(text)
+                    for r in rows:
+                        r["spans"] = recipe(r["text"], source)
+                owner = pa.array([doc.as_py()] * len(rows), doc.type)
+                yield pa.record_batch([owner, *(pa.array([r[k] for r in rows], t) for k, t in fields.items())], names=[id_col, *fields])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, {CHUNKS}")
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, {CHUNKS}" + (f", spans {SPANS}" if recipes else ""))
+
 
+#: Characters that a stretch of the source must share with a chunk to be found.
+ANCHOR = 24
 
-def spans(chunk: str, source: str, anchor: int = 24) -> list[dict]:
+
+def spans(chunk: str, source: str, anchor: int = ANCHOR) -> list[dict]:
     """A recipe for ``chunk``: stretches of ``source`` as (start, end), anything else as literals.
 
-    The search goes on from where the last stretch ended and starts over from the beginning if nothing is found there.
+    A stretch is looked for where the last one ended, then further on, then from the beginning (as for a table's header that is
+    repeated); where there is none the chunk goes on to its next line or word as a literal.
     """
     out: list[dict] = []
     at = cursor = 0
     literal = ""
+
+    def say(text: str) -> None:
+        if text:
+            out.append({"start": None, "end": None, "lit": text})
+
     while at < len(chunk):
         key = chunk[at : at + anchor]
-        where = source.find(key, cursor)
+        where = cursor if source.startswith(key, cursor) else source.find(key, cursor)
         if where < 0:
-            where = source.find(key)
+            where = source.find(key, 0, cursor + anchor)
         if where < 0 or len(key) < min(anchor, 4):
-            literal += chunk[at]
-            at += 1
+            step = 1
+            while at + step < len(chunk) and step < anchor and chunk[at + step - 1] not in " \n":
+                step += 1
+            literal += chunk[at : at + step]
+            at += step
             continue
-        n = len(key)
-        step = 1 << 12
+        n, step = len(key), 1 << 12
         while step:
             a, b = chunk[at + n : at + n + step], source[where + n : where + n + step]
             if a and a == b:
                 n += len(a)
             else:
                 step >>= 1
-        if literal:
-            out.append({"start": None, "end": None, "lit": literal})
-            literal = ""
+        say(literal)
+        literal = ""
         out.append({"start": where, "end": where + n, "lit": None})
         at, cursor = at + n, where + n
-    if literal:
-        out.append({"start": None, "end": None, "lit": literal})
+    say(literal)
     return out
 
 
-SPANS = "array<struct<start:int,end:int,lit:string>>"
-
-
-def with_recipes(chunks: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Chunks with their recipes instead of their texts; a recipe that does not give the text back becomes one literal."""
-
-    import pandas as pd
+def recipe(chunk: str, source: str) -> list[dict]:
+    """The chunk's spans, or the chunk as one literal if they don't give it back."""
+    got = spans(chunk, source)
+    back = "".join(x["lit"] if x["lit"] is not None else source[x["start"] : x["end"]] for x in got)
+    return got if back == chunk else [{"start": None, "end": None, "lit": chunk}]
 
-    def solve(text, source):
-        rows = []
-        for c, s in zip(text, source, strict=True):
-            s = inlined(s)
-            got = spans(c, s)
-            back = "".join(x["lit"] if x["lit"] is not None else s[x["start"] : x["end"]] for x in got)
-            rows.append(got if back == c else [{"start": None, "end": None, "lit": c}])
-        return pd.Series(rows)
 
-    solve.__annotations__ = {"text": pd.Series, "source": pd.Series, "return": pd.Series}
-    udf = F.pandas_udf(solve, SPANS)
-    both = chunks.join(docs.select(id_col, F.col("text").alias("source_text")), id_col)
-    return both.withColumn("spans", udf("text", "source_text")).drop("text", "source_text")
+def with_recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: Counter = default_count) -> DataFrame:
+    """Chunks with their recipes instead of their texts."""
+    return chunked(docs, id_col, text_col, count, recipes=True).drop("text")
 
 
 def reconstructed(recipe: Column, source: Column) -> Column:
@@ -339,12 +347,12 @@ def reconstructed(recipe: Column, source: Column) -> Column:
 # Other ways to split, for comparison.
 
 
-def windows(text: Column, size: int, overlap: int) -> Column:
+def windows(text: Column, size: int | Column, overlap: int | Column) -> Column:
     """Windows of ``size`` words that share ``overlap`` words."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    step = size - overlap
+    size, overlap = (F.lit(x) if isinstance(x, int) else x for x in (size, overlap))
     last = F.greatest(F.lit(1), F.size(words) - overlap)
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), last, F.lit(step)), lambda i: F.array_join(F.slice(words, i, size), " ")))
+    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), last, size - overlap), lambda i: F.array_join(F.slice(words, i, size), " ")))
 
 
 def sentences(text: Column) -> Column:
@@ -365,3 +373,84 @@ def recursive(text: str, budget: int, count: Counter = default_count, marks: tup
         elif part.strip():
             pack.add(part, marks[0])
     return pack.finish(marks[0])
+
+
+def offsets(text: str, budget: int = MAX_TOKENS, count: Counter = default_count) -> list[tuple[int, int]]:
+    """Paragraphs merged up to a budget, as (start, end) in the text; a paragraph over the budget is cut into pieces of its own."""
+    out: list[tuple[int, int]] = []
+    held: list[tuple[int, int]] = []
+    used = 0
+
+    def close() -> None:
+        if held:
+            out.append((held[0][0], held[-1][1]))
+            held.clear()
+
+    ends = [m.span() for m in _GAP.finditer(text)] + [(len(text), len(text))]
+    start = 0
+    for end, following in ends:
+        paragraph = text[start:end]
+        n = count(paragraph) if paragraph.strip() else 0
+        if n > budget:
+            close()
+            used, at = 0, start
+            for piece in forced(paragraph, budget, count):
+                begin = max(at, text.find(piece, at))
+                out.append((begin, begin + len(piece)))
+                at = begin + len(piece)
+        elif n:
+            if used + n > budget:
+                close()
+                used = 0
+            held.append((start, end))
+            used += n
+        start = following
+    close()
+    return out
+
+
+#: Characters in a chunk and shared by neighbours, and what a text is cut at, coarsest first: headings, code, lists, paragraphs,
+#: lines, sentences, words.
+STRUCTURE_CHARS, STRUCTURE_SHARED = 2000, 500
+STRUCTURE = tuple(re.compile(p, re.M) for p in (r"^(?=#{1,6} )", r"^(?=```)", r"^(?=(?:[-*+]|\d+\.) )", r"(?<=\n\n)", r"(?<=\n)", r"(?<=[.!?] )", r"(?<= )"))
+
+
+def structural(text: str, size: int = STRUCTURE_CHARS, shared: int = STRUCTURE_SHARED) -> list[tuple[int, str]]:
+    """(number, chunk): a text cut at its coarsest marks into chunks of ``size`` characters at most, each of which begins with up to
+    ``shared`` characters of the one before. Blank chunks are left out and keep their number."""
+
+    def parts(piece: str, level: int) -> list[str]:
+        if len(piece) <= size - shared:
+            return [piece]
+        if level == len(STRUCTURE):
+            step = max(1, size - shared)
+            return [piece[i : i + step] for i in range(0, len(piece), step)]
+        cuts = [0, *(m.start() for m in STRUCTURE[level].finditer(piece) if m.start()), len(piece)]
+        return [x for a, b in zip(cuts, cuts[1:], strict=False) if a < b for x in parts(piece[a:b], level + 1)]
+
+    chunks: list[str] = []
+    held: list[str] = []
+    fresh = False
+    for part in parts(text, 0):
+        if held and sum(map(len, held)) + len(part) > size:
+            chunks.append("".join(held))
+            while held and sum(map(len, held)) > shared:
+                held.pop(0)
+            fresh = False
+        held.append(part)
+        fresh = True
+    if fresh:
+        chunks.append("".join(held))
+    return [(i, c) for i, c in enumerate(chunks, 1) if c.strip()]
+
+
+def structural_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = STRUCTURE_CHARS, shared: int = STRUCTURE_SHARED) -> DataFrame:
+    """(id, number, text) of all documents."""
+
+    def run(batches):
+        for batch in batches:
+            for doc, text in zip(batch.column(id_col), batch.column(text_col).to_pylist(), strict=True):
+                if found := structural(text or "", size, shared):
+                    yield pa.record_batch([pa.array([doc.as_py()] * len(found), doc.type), pa.array([i for i, _ in found], pa.int32()), pa.array([c for _, c in found])], names=[id_col, "number", "text"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, number int, text string")

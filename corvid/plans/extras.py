@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from corvid.functions import images
 from corvid.functions import text as T
 from corvid.operators import agent, coverage, embedding, lexical, search, validation
-from corvid.plans.common import bm25_sql, table
+from corvid.plans.common import bm25_sql, table, tokens_sql
+from corvid.plans.texts import _IMAGES, _prefixed_sql
 from corvid.plans.vectors import _BASE, cosine_topk
 
 
@@ -23,13 +24,16 @@ def image_tasks(spark, d):
 
 
 def image_descriptions(spark, d):
-    text = F.concat(F.lit("x ![](a.png) y ![](a.png) "), F.col("text"))
-    return table(spark, d, "documents").select("doc_id", images.described(text, F.lit("a.png"), F.lit(""), F.lit("A chart. It rises.")).alias("text"))
+    """Two descriptions put in one after another; of some texts the second image is not there."""
+    text = F.concat(F.lit("x ![](a.png) y ![](a.png) "), F.col("text"), F.when(F.col("doc_id") % 3 != 0, "![Fig](b.png)").otherwise(""))
+    found = F.array(F.struct(F.lit("a.png").alias("ref"), F.lit("").alias("alt"), F.lit("A chart. It rises.").alias("description")), F.struct(F.lit("b.png").alias("ref"), F.lit("Fig").alias("alt"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("description")))
+    return table(spark, d, "documents").select("doc_id", F.md5(images.described_all(text, found)).alias("digest"))
 
 
 def image_paths(spark, d):
-    text = F.concat(F.lit('![a](/tmp/x/media/i1.png){width="2in"} ![b](i2.png) '), F.col("text"))
-    return table(spark, d, "documents").select("doc_id", images.rewritten(text, "media").alias("text"))
+    from corvid.plans.texts import _IMAGES, _prefixed
+
+    return table(spark, d, "documents").select("doc_id", F.md5(images.rewritten(_prefixed(_IMAGES), "media")).alias("digest"))
 
 
 def request_validation(spark, d):
@@ -61,9 +65,10 @@ def published_runs(spark, d):
 
 
 def vector_bytes(spark, d):
-    """Vectors stored as bytes and read back."""
-    rows = table(spark, d, "embeddings").select("vec_id", "embedding", embedding.to_bytes("embedding").alias("raw"))
-    return rows.select("vec_id", F.octet_length("raw").alias("bytes"), (embedding.from_bytes("raw") == F.col("embedding")).alias("same"))
+    """Vectors stored as bytes and read back: their size, and the sum and the last of their values."""
+    rows = table(spark, d, "embeddings").select("vec_id", embedding.to_bytes("embedding").alias("raw"))
+    back = embedding.from_bytes("raw")
+    return rows.select("vec_id", F.octet_length("raw").alias("bytes"), F.round(F.aggregate(back, F.lit(0.0), lambda s, x: s + x), 4).alias("total"), F.round(F.element_at(back, -1).cast("double"), 6).alias("last"))
 
 
 def embed_documents(spark, d):
@@ -117,12 +122,16 @@ def ordered_distinct(spark, d):
 QUERIES = {f.__name__: f for f in (image_tasks, image_descriptions, image_paths, request_validation, fatal_errors, gold_validation, seed_plan, published_runs, vector_bytes, embed_documents, nearest_with_context, evidence_context, answer_snippets, title_resolution, ordered_distinct)}
 
 ORACLE = {
+    "ordered_distinct": f"""
+        WITH u AS (SELECT item_id, unnest({tokens_sql("text")}) AS term, generate_subscripts({tokens_sql("text")}, 1) AS pos FROM benchmark), f AS (SELECT item_id, term, min(pos) AS pos FROM u GROUP BY ALL),
+        g AS (SELECT item_id, string_agg(term, ' ' ORDER BY pos) AS words FROM f GROUP BY item_id) SELECT b.item_id, coalesce(words, '') AS words FROM benchmark b LEFT JOIN g USING (item_id)""",
     "image_tasks": """
         SELECT doc_id, CAST(0 AS INTEGER) AS position, 'a' AS alt, 'img/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.png' ELSE '.JPG' END AS ref,
                md5(trim(right(text || chr(10), 800) || left(chr(10) || text || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '<!-- IMAGE_DESCRIPTION: b.png' || chr(10) || 'x' || chr(10) || '-->' || chr(10) ELSE '' END, 200))) AS surrounding
         FROM documents WHERE doc_id % 3 <> 1""",
-    "image_descriptions": "SELECT doc_id, 'x <!-- IMAGE_DESCRIPTION: a.png' || chr(10) || 'A chart. It rises.' || chr(10) || '-->' || chr(10) || '![A chart](a.png) y ![](a.png) ' || text AS text FROM documents",
-    "image_paths": "SELECT doc_id, '![a](media/i1.png) ![b](media/i2.png) ' || text AS text FROM documents",
+    "image_descriptions": """SELECT doc_id, md5('x <!-- IMAGE_DESCRIPTION: a.png' || chr(10) || 'A chart. It rises.' || chr(10) || '-->' || chr(10) || '![A chart](a.png) y ![](a.png) ' || text
+        || CASE WHEN doc_id % 3 <> 0 THEN '<!-- IMAGE_DESCRIPTION: b.png' || chr(10) || 'Doc ' || doc_id || chr(10) || '-->' || chr(10) || '![Fig](b.png)' ELSE '' END) AS digest FROM documents""",
+    "image_paths": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(@T, '!\[([^\]]*)\]\((?:[^)\s]*/)?([^)/\s]+)\)', '![\1](media/\2)', 'g'), '(!\[[^\]]*\]\([^)]*\))\{[^}]*\}', '\1', 'g')) AS digest FROM documents""".replace("@T", _prefixed_sql(_IMAGES)),
     "request_validation": """
         SELECT conv_id, turn, CASE WHEN length(trim(text)) NOT BETWEEN 3 AND 2000 THEN 'question' WHEN turn % 3 = 0 THEN 'as_of' WHEN conv_id % 7 NOT BETWEEN 1 AND 5 THEN 'required_hops'
                WHEN conv_id % 5 = 0 THEN 'client_request_id' ELSE 'ok' END AS error FROM conversations""",
@@ -135,7 +144,7 @@ ORACLE = {
         WITH r AS (SELECT l_orderkey AS k, count(*) % 3 AS s FROM lineitem GROUP BY ALL)
         SELECT CASE s WHEN 0 THEN 'skip' WHEN 1 THEN 'retry' WHEN 2 THEN 'pending' ELSE 'create' END AS action, count(*) AS n FROM orders LEFT JOIN r ON k = o_orderkey GROUP BY ALL""",
     "published_runs": "SELECT user_id, max(event_id) % 4 IN (0, 2) AS published FROM events GROUP BY user_id HAVING max(event_id) % 4 <> 3",
-    "vector_bytes": "SELECT vec_id, CAST(4 * len(embedding) AS INTEGER) AS bytes, true AS same FROM embeddings",
+    "vector_bytes": "SELECT vec_id, CAST(4 * len(embedding) AS INTEGER) AS bytes, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total, round(CAST(embedding[-1] AS DOUBLE), 6) AS last FROM embeddings",
     "nearest_with_context": f"""WITH {_BASE}, b AS (SELECT query_id, arg_min(vec_id, rank) AS nearest FROM cosk WHERE vec_id <> query_id GROUP BY query_id)
         SELECT query_id, e.vec_id, e.label FROM b JOIN e ON e.vec_id BETWEEN nearest - 1 AND nearest + 1""",
     "evidence_context": f"""WITH {bm25_sql('1', 2)} SELECT item_id AS query_id, md5(string_agg('[CHUNK ' || doc_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS digest FROM best JOIN documents USING (doc_id) GROUP BY item_id""",

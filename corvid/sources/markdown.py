@@ -26,12 +26,23 @@ def path_metadata(relpath: Column) -> list[Column]:
     ]
 
 
+#: The editions of a day.
+EDITIONS = ("MAT", "VES")
+
+
+def editions(rows: DataFrame, first: str, last: str) -> DataFrame:
+    """(day, edition) of all days from one date to another."""
+    days = rows.select(F.explode(F.sequence(first, last)).alias("day")).distinct()
+    return days.select("day", F.explode(F.array(*map(F.lit, EDITIONS))).alias("edition"))
+
+
 def scan(spark: SparkSession, root: str, years: list[int] | None = None) -> DataFrame:
-    """A manifest row for every ``.md`` file under ``root``, backups left out. File contents are not read."""
+    """A manifest row for every ``.md`` file under ``root``, backups left out, in the order of their paths. File contents are not
+    read; folders that are links are followed, as the file system lists them."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(root).select("path", "length")
     rows = files.filter(~F.col("path").contains(".bak")).select(relative(F.col("path"), root).alias("relpath"), F.col("length").alias("size_bytes"))
     rows = rows.select("relpath", "size_bytes", *path_metadata(F.col("relpath")))
-    return rows.filter(F.col("year").isin(years)) if years else rows
+    return (rows.filter(F.col("year").isin(years)) if years else rows).orderBy("relpath")
 
 
 def texts(spark: SparkSession, root: str) -> DataFrame:
@@ -56,10 +67,11 @@ def strict_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def lenient_jsonl(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """Malformed lines and records with an error are left out; of the others the last one of each key stays."""
     rows = spark.read.schema(f"{schema}, error string, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    rows = rows.withColumn("_line", F.monotonically_increasing_id()).cache()
-    good = rows.filter("_bad IS NULL AND error IS NULL").drop("_bad", "error")
-    last = good.groupBy(key).agg(F.max("_line").alias("_line"))
-    return good.join(last, [key, "_line"]).drop("_line")
+    # Lines are in the order of their files' names, then of their places in the file.
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    columns = [c for c in rows.columns if c not in ("error", "_bad", "_file", "_block", "_line")]
+    good = rows.filter("_bad IS NULL AND error IS NULL")
+    return good.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct("_file", "_block", "_line")).alias("r")).select("r.*")
 
 
 def markdown_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

@@ -63,6 +63,17 @@ def pending(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
+def after(rows: DataFrame, key: str, last, most: int) -> DataFrame:
+    """The next rows in key order behind ``last`` (None: from the first on): what a scan that was broken off goes on with."""
+    return (rows if last is None else rows.filter(F.col(key) > last)).orderBy(key).limit(most)
+
+
+def key_ranges(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """(part, low, high, n): ranges of a whole-number key that hold its values in steps of ``size``, for scans that run side by side."""
+    part = F.floor(F.col(key) / size)
+    return rows.groupBy(part.alias("part")).agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("n"))
+
+
 def latest_values(entries: DataFrame, key: str = "key", value: str = "value", version: str = "version") -> DataFrame:
     """A key-value table as its last writes."""
     return entries.groupBy(key).agg(F.max_by(value, version).alias(value))

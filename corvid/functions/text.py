@@ -70,7 +70,7 @@ def matches(text: Column | str, pattern: str) -> Column:
 
 def table_share(text: Column) -> Column:
     """Of the non-empty lines, the part that begins with a bar."""
-    full = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    full = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = F.filter(full, lambda x: x.startswith("|"))
     return F.when(F.size(full) > 0, F.size(rows) / F.size(full)).otherwise(F.lit(0.0))
 
@@ -156,3 +156,18 @@ def heading_path(value: Column) -> Column:
 def first_json_array(text: Column) -> Column:
     """The widest [ ... ] of a text as an array of strings, null where it isn't one."""
     return F.from_json(F.regexp_extract(text, r"(?s)(\[.*\])", 1), "array<string>")
+
+
+#: Spanish month names in order.
+MONTHS = "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()
+
+
+def spanish_date(date: Column) -> Column:
+    """A date in words, as 5 de marzo de 2020."""
+    return F.concat_ws(" de ", F.dayofmonth(date).cast("string"), F.element_at(F.array(*map(F.lit, MONTHS)), F.month(date)), F.year(date).cast("string"))
+
+
+def resolved_title(own: Column, text: Column, key: Column) -> Column:
+    """A record's own title, else the text's first first-level heading, else its id."""
+    heading = F.trim(F.regexp_extract(text, r"(?m)^# (.+)$", 1))
+    return F.coalesce(F.nullif(own, F.lit("")), F.nullif(heading, F.lit("")), key.cast("string"))

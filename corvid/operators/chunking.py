@@ -356,7 +356,7 @@ def windows(text: Column, size: int | Column, overlap: int | Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def recursive(text: str, budget: int, count: Counter = default_count, marks: tuple[str, ...] = ("\n\n", "\n", ". ", " ")) -> list[str]:

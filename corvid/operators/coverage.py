@@ -12,8 +12,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
-#: Spanish month names in order, number words, and the vocabulary of needs.
-MONTHS = "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()
+from corvid.functions.text import MONTHS
+
+#: Number words, and the vocabulary of needs.
 NUMBER_WORDS = {"quince": "15", "dieciseis": "16", "cincuenta": "50"}
 PERIOD_TERMS = ("diario", "mensual", "anual")
 LEGAL_ACTIONS = ("declaratoria de utilidad pública", "decreto de expropiación")

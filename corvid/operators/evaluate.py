@@ -139,6 +139,17 @@ def anchored(queries: DataFrame, docs: DataFrame, gold: DataFrame, query: str, s
     return pairs.join(good, [query, doc], "left").withColumn("anchored", F.coalesce("anchored", F.lit(False)))
 
 
+def pareto(rows: DataFrame, first: str, second: str) -> DataFrame:
+    """Rows that no other one equals or beats in both columns and beats in one; of rows that are equal in both, all.
+
+    Each value of the first column keeps its greatest second one, so what is sorted in one place is the column's distinct values.
+    """
+    best = rows.groupBy(first).agg(F.max(second).alias("top"))
+    above = Window.orderBy(F.desc(first)).rowsBetween(Window.unboundedPreceding, -1)
+    best = best.withColumn("above", F.max("top").over(above)).filter("above IS NULL OR top > above")
+    return rows.join(best.select(first, F.col("top").alias(second)), [first, second], "left_semi")
+
+
 def report(rows: DataFrame, title: str) -> str:
     """A small result, such as a table of metrics by category, as Markdown."""
     names = rows.columns

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -49,7 +49,7 @@ def quota(events: DataFrame, key: str, at: str, hours: int = 24) -> DataFrame:
 def admitted(requests: DataFrame, key: str, client: str, payload: list[str], order: list[str]) -> DataFrame:
     """The first request of each (user, client id), and whether a later one disagrees with it."""
     w = Window.partitionBy(key, client)
-    rows = requests.withColumn("n", F.row_number().over(w.orderBy(*order))).withColumn("conflict", F.size(F.collect_set(F.struct(*payload)).over(w)) > 1)
+    rows = requests.withColumn("n", F.row_number().over(w.orderBy(*order))).withColumn("conflict", F.min(F.struct(*payload)).over(w) != F.max(F.struct(*payload)).over(w))
     return rows.filter("n = 1").drop("n")
 
 
@@ -57,3 +57,31 @@ def review_queue(runs: DataFrame, reviewed: DataFrame, key: str, reviewer: str)
     """Runs that a reviewer has not judged, by fewest reviews and age."""
     counts = reviewed.groupBy(key).agg(F.count(F.lit(1)).alias("reviews"))
     return runs.join(reviewed.filter(F.col("reviewer") == reviewer), key, "left_anti").join(counts, key, "left").withColumn("reviews", F.coalesce("reviews", F.lit(0)))
+
+
+def visible(status: Column, published: Column, owner: Column, user: str | int | Column, admin: bool = False) -> Column:
+    """Whether a user may see a run: an administrator all, others their own and those that are published and have succeeded."""
+    return F.lit(True) if admin else F.coalesce((owner == user) | published & (status == "succeeded"), F.lit(False))
+
+
+#: Requests that a user may make in 24 hours, and runs that may be under way for them at a time.
+DAILY, ACTIVE = 20, 1
+UNDER_WAY = ("queued", "started")
+
+
+def refusal(used: Column, active: Column, unreviewed: Column, daily: int = DAILY, most_active: int = ACTIVE) -> Column:
+    """Why a request is not taken: a run is still under way, the day's number is used up, or an answer waits to be judged; null for
+    one that is."""
+    return F.when(active >= most_active, "active").when(used >= daily, "quota").when(unreviewed > 0, "unreviewed")
+
+
+def standing(events: DataFrame, key: str, user: str, at: str, kind: str, now: Column, hours: int = 24) -> DataFrame:
+    """(user, used, active): the runs that a user asked for in the last hours, and those that are under way."""
+    runs = events.groupBy(user, key).agg(F.min(at).alias("asked"), F.max_by(kind, F.struct(at, kind)).alias("status"))
+    since = now - F.make_dt_interval(F.lit(0), F.lit(hours))
+    return runs.groupBy(user).agg(F.count_if((F.col("asked") > since) & (F.col("asked") <= now)).alias("used"), F.count_if(F.col("status").isin(*UNDER_WAY)).alias("active"))
+
+
+def of_run(events: DataFrame, key: str, run, order: list[str]) -> DataFrame:
+    """One run's events in order."""
+    return events.filter(F.col(key) == run).orderBy(*order)

@@ -299,3 +299,9 @@ def context(evidence_rows: DataFrame) -> DataFrame:
     """(query_id, context): the ranked chunks' texts, each under its id, for a reader model."""
     piece = F.format_string("[CHUNK %d]\n%s", F.col("chunk_id"), F.col("text"))
     return evidence_rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", piece.alias("p")))), lambda x: x["p"]), "\n\n").alias("context"))
+
+
+def within_budget(rows: DataFrame, by: list[str], order: list[str], size: Column, each: int, total: int) -> DataFrame:
+    """Rows in order as long as their sizes, each counted up to ``each``, fit into ``total`` together; with ``used`` so far."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("used", F.sum(F.least(size, F.lit(each))).over(w)).filter(F.col("used") <= total)

@@ -63,3 +63,12 @@ def published(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     """(key, published): the last word of a log of publish and unpublish actions; deleted runs are gone."""
     last = log.groupBy(key).agg(F.max_by("action", F.struct(*order)).alias("action"))
     return last.filter("action <> 'delete'").select(key, (F.col("action") == "publish").alias("published"))
+
+
+#: Longest comment of a feedback.
+COMMENT = 2000
+
+
+def feedback_error(rating: Column, comment: Column) -> Column:
+    """The first field that a feedback has wrong, null for a good one."""
+    return F.when(~F.coalesce(rating.isin(*RATINGS), F.lit(False)), "rating").when(F.length(comment) > COMMENT, "comment")

@@ -110,8 +110,7 @@ def title_resolution(spark, d):
     """A record's own title, else the text's first heading, else its id."""
     own = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("T"), F.col("doc_id").cast("string")))
     text = F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("# H"), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"))).otherwise(F.col("text"))
-    heading = F.regexp_extract(text, r"(?m)^# (\S+)$", 1)
-    return table(spark, d, "documents").select("doc_id", F.coalesce(own, F.when(heading != "", heading), F.col("doc_id").cast("string")).alias("title"))
+    return table(spark, d, "documents").select("doc_id", T.resolved_title(own, text, F.col("doc_id")).alias("title"))
 
 
 def ordered_distinct(spark, d):
@@ -148,5 +147,5 @@ ORACLE = {
     "nearest_with_context": f"""WITH {_BASE}, b AS (SELECT query_id, arg_min(vec_id, rank) AS nearest FROM cosk WHERE vec_id <> query_id GROUP BY query_id)
         SELECT query_id, e.vec_id, e.label FROM b JOIN e ON e.vec_id BETWEEN nearest - 1 AND nearest + 1""",
     "evidence_context": f"""WITH {bm25_sql('1', 2)} SELECT item_id AS query_id, md5(string_agg('[CHUNK ' || doc_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS digest FROM best JOIN documents USING (doc_id) GROUP BY item_id""",
-    "title_resolution": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'T' || doc_id WHEN 1 THEN 'H' || doc_id ELSE coalesce(nullif(regexp_extract(text, '(?m)^# (\\S+)$', 1), ''), CAST(doc_id AS VARCHAR)) END AS title FROM documents",
+    "title_resolution": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'T' || doc_id WHEN 1 THEN 'H' || doc_id ELSE coalesce(nullif(trim(regexp_extract(text, '(?m)^# (.+)$', 1)), ''), CAST(doc_id AS VARCHAR)) END AS title FROM documents",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corvid.operators import evaluate, lexical, runs
+from corvid.operators import evaluate, lexical, runs, validation
 from corvid.plans.common import bm25_sql, table, tokens_sql
 from corvid.plans.vectors import cosine_topk
 
@@ -91,10 +91,9 @@ def missing_documents(spark, d):
 
 
 def pareto_frontier(spark, d):
-    """Suppliers' nations that no other nation beats in both customers and mean balance."""
-    rows = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean"))
-    w = Window.orderBy(F.desc("n"), F.desc("mean")).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("best", F.max("mean").over(w)).filter("best IS NULL OR mean > best").select("c_nationkey", "n", "mean")
+    """Customers' nations and segments that no other such pair beats in both customers and mean balance."""
+    rows = table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean"))
+    return evaluate.pareto(rows, "n", "mean")
 
 
 def speed_quality_join(spark, d):
@@ -157,8 +156,25 @@ def feedback_gate(spark, d):
 
 
 def visibility(spark, d):
-    """Published and finished, or one's own."""
-    return table(spark, d, "orders").select("o_orderkey", (((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 200000)) | (F.col("o_custkey") % 7 == 0)).alias("visible")).groupBy("visible").agg(F.count(F.lit(1)).alias("n"))
+    """Orders that customer group 3 may see: its own, and those that are dear (published) and finished; and what an administrator may."""
+    o = table(spark, d, "orders").withColumn("status", F.when(F.col("o_orderstatus") == "F", "succeeded").otherwise("started"))
+    shown = [runs.visible(F.col("status"), F.col("o_totalprice") > 200000, F.col("o_custkey") % 7, 3, admin).alias(n) for n, admin in (("visible", False), ("to_admin", True))]
+    return o.select("o_orderkey", *shown).groupBy("visible", "to_admin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def admission(spark, d):
+    """Users as they stand at the events' last time, and why a request of theirs would be refused."""
+    kind = F.element_at(F.array(*map(F.lit, ["queued", "started", "succeeded", "failed"])), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = _events(spark, d).select("user_id", F.floor("value").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))
+    now = rows.agg(F.max("ts")).first()[0]
+    stand = runs.standing(rows, "run_id", "user_id", "ts", "kind", F.lit(now), hours=240)
+    return stand.select("user_id", "used", "active", F.coalesce(runs.refusal(F.col("used"), F.col("active"), F.col("user_id") % 3, daily=3, most_active=4), F.lit("taken")).alias("refusal"))
+
+
+def feedback_check(spark, d):
+    """Feedback made of conversations: ratings of several kinds, and texts as comments, ten times over for some."""
+    rating = F.element_at(F.array(*map(F.lit, ["correct", "partial", "incorrect", "good"])), (F.col("conv_id") % 4 + 1).cast("int"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(validation.feedback_error(rating, F.repeat("text", (F.col("turn") * 5 + 1).cast("int"))), F.lit("ok")).alias("error"))
 
 
 def event_props(spark, d):
@@ -234,7 +250,7 @@ def document_headers(spark, d):
     return headers.with_headers(table(spark, d, "documents")).select("doc_id", "institution", "title")
 
 
-QUERIES = {f.__name__: f for f in (mrr_recall_ndcg, metrics_rollup, all_hop_recall, all_hop_per_query, citation_metrics, answer_metrics, coverage_snapshot, contiguity, duplicate_ids, candidate_union, missing_documents, pareto_frontier, speed_quality_join, latest_event, event_sequence, replay_after, run_view, state_transition_check, quota_24h, quota_admission, dedupe_idempotent, review_queue, feedback_gate, visibility, event_props, tumbling_window, sliding_window, session_window, streaming_tumbling, stateful_event_log, coverage_requirements, document_headers)}
+QUERIES = {f.__name__: f for f in (mrr_recall_ndcg, metrics_rollup, all_hop_recall, all_hop_per_query, citation_metrics, answer_metrics, coverage_snapshot, contiguity, duplicate_ids, candidate_union, missing_documents, pareto_frontier, speed_quality_join, latest_event, event_sequence, replay_after, run_view, state_transition_check, quota_24h, quota_admission, dedupe_idempotent, review_queue, feedback_gate, visibility, admission, feedback_check, event_props, tumbling_window, sliding_window, session_window, streaming_tumbling, stateful_event_log, coverage_requirements, document_headers)}
 
 _GOLD = f"""
     gb AS (SELECT item_id, array_to_string({tokens_sql("text")}, ' ') AS q, len({tokens_sql("text")}) AS n FROM benchmark),
@@ -272,8 +288,8 @@ ORACLE = {
     "candidate_union": f"WITH {_EVAL} SELECT item_id, doc_id, CAST(min(p) AS INTEGER) AS priority FROM (SELECT item_id, doc_id, 0 AS p FROM best WHERE rank <= 3 UNION ALL SELECT item_id, doc_id, 1 FROM gold) GROUP BY ALL",
     "missing_documents": f"WITH {_EVAL} SELECT item_id, doc_id FROM gold ANTI JOIN (SELECT * FROM best WHERE rank = 1) USING (item_id, doc_id)",
     "pareto_frontier": """
-        WITH r AS (SELECT c_nationkey, count(*) AS n, round(avg(c_acctbal), 4) AS mean FROM customer GROUP BY c_nationkey)
-        SELECT c_nationkey, n, mean FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE (b.n > a.n AND b.mean >= a.mean) OR (b.n = a.n AND b.mean > a.mean))""",
+        WITH r AS (SELECT c_nationkey, c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS mean FROM customer GROUP BY ALL)
+        SELECT c_nationkey, c_mktsegment, n, mean FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE (b.n > a.n AND b.mean >= a.mean) OR (b.n = a.n AND b.mean > a.mean))""",
     "speed_quality_join": "SELECT c_custkey AS key, count(*) AS orders, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL",
     "latest_event": "SELECT user_id, ts, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
     "event_sequence": f"WITH {_SEQ} SELECT * FROM seq",
@@ -298,7 +314,13 @@ ORACLE = {
     "feedback_gate": """
         WITH r AS (SELECT user_id, max(CASE WHEN event_type = 'purchase' THEN ts END) AS reviewed, max(CASE WHEN event_type = 'click' THEN ts END) AS ran FROM events GROUP BY user_id)
         SELECT user_id, ran IS NULL OR coalesce(reviewed > ran, false) AS admitted FROM r""",
-    "visibility": "SELECT (o_orderstatus = 'F' AND o_totalprice > 200000) OR o_custkey % 7 = 0 AS visible, count(*) AS n FROM orders GROUP BY ALL",
+    "visibility": "SELECT (o_orderstatus = 'F' AND o_totalprice > 200000) OR o_custkey % 7 = 3 AS visible, true AS to_admin, count(*) AS n FROM orders GROUP BY ALL",
+    "admission": """
+        WITH e AS (SELECT user_id, CAST(floor(value) AS BIGINT) AS run_id, ts, (['queued', 'started', 'succeeded', 'failed'])[event_id % 4 + 1] AS kind FROM events), n AS (SELECT max(ts) AS now FROM e),
+        r AS (SELECT user_id, run_id, min(ts) AS asked, max_by(kind, (ts, kind)) AS status FROM e GROUP BY ALL),
+        s AS (SELECT user_id, count(CASE WHEN asked > now - INTERVAL 240 HOUR THEN 1 END) AS used, count(CASE WHEN status IN ('queued', 'started') THEN 1 END) AS active FROM r, n GROUP BY user_id)
+        SELECT *, CASE WHEN active >= 4 THEN 'active' WHEN used >= 3 THEN 'quota' WHEN user_id % 3 > 0 THEN 'unreviewed' ELSE 'taken' END AS refusal FROM s""",
+    "feedback_check": "SELECT conv_id, turn, CASE WHEN conv_id % 4 = 3 THEN 'rating' WHEN length(text) * (turn * 5 + 1) > 2000 THEN 'comment' ELSE 'ok' END AS error FROM conversations",
     "event_props": "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) GROUP BY event_type",
     "tumbling_window": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "sliding_window": """

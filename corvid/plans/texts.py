@@ -226,9 +226,21 @@ def next_lines(spark, d):
 
 def prompt_budget(spark, d):
     """Lines of a document, each cut at 200 characters, as long as they fit into 1000 together."""
-    w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    rows = _lines(spark, d).withColumn("n", F.least(F.length("line"), F.lit(200))).withColumn("used", F.sum("n").over(w))
-    return rows.filter("used <= 1000").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.max("used").alias("used"))
+    rows = search.within_budget(_lines(spark, d), ["doc_id"], ["i"], F.length("line"), 200, 1000)
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.max("used").alias("used"))
+
+
+def spanish_dates(spark, d):
+    return dated(_docs(spark, d)).select("doc_id", T.spanish_date(F.col("publication_date")).alias("words"))
+
+
+def upserted_documents(spark, d):
+    """A table in which every fifth document was put in again with another text, and its chunks with it."""
+    path = store.scratch(spark, "upsert")
+    chunks = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "text"))
+    store.upsert(chunks, path)
+    store.upsert(chunks.filter("doc_id % 5 = 0 AND chunk_index < 2").withColumn("text", F.concat(F.lit("new "), "text")), path)
+    return spark.read.parquet(path).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
 
 
 def synthetic_queries(spark, d):
@@ -305,7 +317,7 @@ def chunk_outline(spark, d):
     return search.outline(chunking.chunked(_docs(spark, d))).select("doc_id", "title", F.size("chunks").alias("chunks"))
 
 
-QUERIES = {f.__name__: f for f in (classify_documents, pattern_counts, token_counts, clean_text, boilerplate_removed, image_refs, heading_levels, open_headings, page_split, fragment_titles, slug_titles, html_links, html_notices, ngram_overlap, anchor_check, query_validation, quote_in_chunk, json_arrays, path_metadata, metadata_filter, list_publications, segments_roundtrip, latest_values, neighbor_window, next_lines, prompt_budget, synthetic_queries, date_range, year_sizes, sentence_counts, word_windows, percentile_nearest_rank, percentile_linear, stratified_sample, hash_sample, chunk_documents, chunk_roundtrip, chunk_outline, sibling_chains, chunk_headers, section_starts, source_urls, key_ranges, key_range_scan, structural_chunks)}
+QUERIES = {f.__name__: f for f in (classify_documents, pattern_counts, token_counts, clean_text, boilerplate_removed, image_refs, heading_levels, open_headings, page_split, fragment_titles, slug_titles, html_links, html_notices, ngram_overlap, anchor_check, query_validation, quote_in_chunk, json_arrays, path_metadata, metadata_filter, list_publications, segments_roundtrip, latest_values, neighbor_window, next_lines, prompt_budget, synthetic_queries, date_range, year_sizes, sentence_counts, word_windows, percentile_nearest_rank, percentile_linear, stratified_sample, hash_sample, chunk_documents, chunk_roundtrip, chunk_outline, sibling_chains, chunk_headers, section_starts, source_urls, key_ranges, key_range_scan, structural_chunks, spanish_dates, upserted_documents)}
 
 _LAID = "CASE doc_id % 3 WHEN 0 THEN '| ' || replace(text, chr(10), chr(10) || '| ') WHEN 1 THEN '## ' || replace(text, chr(10), chr(10) || '## ') ELSE text END"
 _PATTERN = rf"""
@@ -400,6 +412,10 @@ ORACLE = {
     "neighbor_window": """
         WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS chunk_index FROM documents)
         SELECT doc_id, chunk_index, CAST(length(t) AS INTEGER) AS n FROM l WHERE (doc_id, chunk_index) IN (SELECT doc_id, chunk_index + d FROM l, (SELECT unnest([-1, 0, 1]) AS d) WHERE chunk_index % 7 = 3)""",
+    "spanish_dates": f"""SELECT doc_id, day(publication_date) || ' de ' || (['enero', 'febrero', 'marzo', 'abril', 'mayo', 'junio', 'julio', 'agosto', 'septiembre', 'octubre', 'noviembre', 'diciembre'])[month(publication_date)] || ' de ' || year(publication_date) AS words FROM ({DATED_SQL})""",
+    "upserted_documents": """
+        WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)
+        SELECT doc_id, count(*) AS chunks, CAST(sum(length(t) + CASE WHEN doc_id % 5 = 0 THEN 4 ELSE 0 END) AS BIGINT) AS chars FROM c WHERE doc_id % 5 <> 0 OR i < 2 GROUP BY doc_id""",
     "key_ranges": "SELECT doc_id // 64 AS part, min(doc_id) AS low, max(doc_id) AS high, count(*) AS n FROM documents GROUP BY ALL",
     "key_range_scan": "SELECT doc_id FROM documents WHERE doc_id > 99 ORDER BY doc_id LIMIT 100",
     "sibling_chains": f"""WITH {_HEADED},

@@ -76,7 +76,7 @@ def lenient_jsonl(spark: SparkSession, path: str, schema: str, key: str) -> Data
 
 def markdown_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Rows of Markdown tables with that many columns, as strings; rules and header rows that repeat the names are left out."""
-    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     rows = spark.read.text(path).filter(F.trim("value").startswith("|")).select(cells.alias("c")).filter(F.size("c") == len(columns))
     rows = rows.filter(~F.array_join("c", "").rlike(r"^[-: ]*$"))
     return rows.select(*(F.col("c")[i].alias(n) for i, n in enumerate(columns))).filter(F.lower(columns[0]) != columns[0].lower())

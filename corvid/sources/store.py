@@ -45,6 +45,57 @@ def replace_partitions(rows: DataFrame, path: str, partition_by: list[str]) -> N
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
+def append_documents(rows: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> int:
+    """Append the documents that the table doesn't have yet, in a batch with a row in the log beside it; returns how many."""
+    spark = rows.sparkSession
+    batch = uuid.uuid4().hex
+    new = rows.dropDuplicates([key])
+    if exists(spark, f"{path}/documents"):
+        new = new.join(spark.read.parquet(f"{path}/documents").select(key), key, "left_anti")
+    new.withColumn("batch", F.lit(batch)).write.mode("append").option("compression", "zstd").partitionBy("batch").parquet(f"{path}/documents")
+    n, size = spark.read.schema(rows.schema).parquet(f"{path}/documents/batch={batch}").agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first() if exists(spark, f"{path}/documents/batch={batch}") else (0, 0)
+    if n:
+        entry = spark.range(1).select(F.lit(batch).alias("batch"), F.current_timestamp().alias("finished_at"), F.lit(n).alias("docs_inserted"), F.lit(size).alias("bytes_inserted"))
+        entry.write.mode("append").parquet(f"{path}/log")
+    return n
+
+
+def append_chunks(chunks: DataFrame, path: str, version: str, key: str = "doc_id") -> DataFrame:
+    """Append the chunks that a chunker's version has not made yet, so a run that was broken off goes on; returns what was new."""
+    return append_new(chunks.withColumn("chunker_version", F.lit(version)), path, [key, "chunk_index", "chunker_version"], ["chunker_version"])
+
+
+def append_vectors(vectors: DataFrame, path: str, settings: dict[str, str], key: str = "chunk_id") -> DataFrame:
+    """Append the vectors that the table doesn't have yet; a table that was made with other settings is an error."""
+    spark = vectors.sparkSession
+    if exists(spark, f"{path}/settings"):
+        guard({r["key"]: r["value"] for r in spark.read.parquet(f"{path}/settings").collect()}, settings)
+    else:
+        spark.createDataFrame(list(settings.items()), "key string, value string").coalesce(1).write.parquet(f"{path}/settings")
+    return append_new(vectors, f"{path}/vectors", [key])
+
+
+#: Parts that a table of documents is kept in, so that a document can be replaced.
+PARTS = 64
+
+
+def upsert(rows: DataFrame, path: str, key: str = "doc_id", parts: int = PARTS) -> None:
+    """Put the rows in place of all that the table has of their keys (a document's chunks, too); other keys stay as they are.
+
+    The table is kept in parts by the key's hash. Only parts that a new key falls into are read and written anew, by way of a
+    folder of their own, as a part can't be read and overwritten at once.
+    """
+    spark = rows.sparkSession
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    if exists(spark, path):
+        touched = [r[0] for r in rows.select("part").distinct().collect()]
+        old = spark.read.parquet(path).filter(F.col("part").isin(touched)).join(rows.select(key).distinct(), key, "left_anti")
+        between = scratch(spark, "upsert")
+        rows.unionByName(old).write.parquet(between)
+        rows = spark.read.parquet(between)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("part").parquet(path)
+
+
 def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SEGMENT_CHARS) -> DataFrame:
     """(id, segment_index, start_offset, end_offset, segment_text): a text in slices of ``size`` characters, none empty."""
     n = F.ceil(F.length(text_col) / size).cast("int")

@@ -72,6 +72,24 @@ def drain(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") ->
     query.awaitTermination()
 
 
+#: Events after which a run has no more.
+TERMINAL = ("succeeded", "failed")
+
+
+def server_sent(frames, kind: str = "kind", sequence: str = "sequence"):
+    """Lines of a server-sent event stream from batches of a run's events: one message each with its number, a heartbeat where a
+    batch has none, and the end after a terminal event."""
+    import json
+
+    for frame in frames:
+        if not frame:
+            yield ": heartbeat\n\n"
+        for event in sorted(frame, key=lambda e: e[sequence]):
+            yield f"id: {event[sequence]}\nevent: {event[kind]}\ndata: {json.dumps(event, default=str)}\n\n"
+            if event[kind] in TERMINAL:
+                return
+
+
 def first_requests(requests: DataFrame, late: str = "1 day") -> DataFrame:
     """The first request of each user and client id, within the time that late ones may take."""
     return requests.withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id", "client_id"])

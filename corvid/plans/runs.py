@@ -322,6 +322,15 @@ ORACLE = {
         SELECT *, CASE WHEN active >= 4 THEN 'active' WHEN used >= 3 THEN 'quota' WHEN user_id % 3 > 0 THEN 'unreviewed' ELSE 'taken' END AS refusal FROM s""",
     "feedback_check": "SELECT conv_id, turn, CASE WHEN conv_id % 4 = 3 THEN 'rating' WHEN length(text) * (turn * 5 + 1) > 2000 THEN 'comment' ELSE 'ok' END AS error FROM conversations",
     "event_props": "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) GROUP BY event_type",
+    "streaming_tumbling": "SELECT * FROM (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL) WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
+    "stateful_event_log": """
+        WITH RECURSIVE e AS (SELECT user_id, event_id, (['queued', 'started', 'succeeded', 'failed'])[event_id % 4 + 1] AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+        r AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, '' AS kind, false AS accepted, '' AS last, CAST(0 AS BIGINT) AS n FROM (SELECT DISTINCT user_id FROM events)
+              UNION ALL
+              SELECT user_id, k, event_id, kind, good, CASE WHEN good THEN kind ELSE last END, n + CASE WHEN good THEN 1 ELSE 0 END FROM (
+                  SELECT r.user_id, e.k, e.event_id, e.kind, r.last, r.n, (r.last = '' AND e.kind = 'queued') OR (r.last = 'queued' AND e.kind IN ('started', 'failed')) OR (r.last = 'started' AND e.kind IN ('succeeded', 'failed')) AS good
+                  FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
+        SELECT 'run' || user_id AS run_id, event_id, kind, accepted, CASE WHEN accepted THEN n END AS sequence FROM r WHERE k > 0""",
     "tumbling_window": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "sliding_window": """
         SELECT window_start, count(*) AS n FROM (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) - d * INTERVAL 1 DAY AS window_start FROM events, (SELECT unnest([0, 1]) AS d)) GROUP BY window_start""",

@@ -219,6 +219,14 @@ ORACLE = {
     "sign_variant": f"""WITH {_BASE}, s AS (SELECT query_id, vec_id, round(1 - 2 * distance / CAST({DIMS} AS DOUBLE), 6) + 0.0 AS score FROM raw)
         SELECT query_id, vec_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= {K}""",
     "bytes_per_vector": "SELECT CAST(len(embedding) AS INTEGER) AS dims, count(*) AS n, CAST(len(embedding) * 4 AS INTEGER) AS float32, CAST(len(embedding) AS INTEGER) AS int8, CAST(ceil(len(embedding) / 8) AS INTEGER) AS bits FROM embeddings GROUP BY ALL",
+    "nbit_recall": f"""WITH {_BASE}, b AS (SELECT unnest([2, 3, 4]) AS bits),
+        l AS (SELECT bits, vec_id, v, list_min(v) AS lo, (list_max(v) - list_min(v)) / (pow(2, bits) - 1) + 1e-12 AS step FROM e, b),
+        n AS (SELECT bits, vec_id, list_transform(v, lambda x: lo + round_even((x - lo) / step, 0) * step) AS v FROM l),
+        m AS (SELECT bits, vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nrm FROM n),
+        d AS (SELECT bits, query_id, m.vec_id, round(sum(q.x * m.x) / ((any_value(q.nrm) + 1e-12) * (any_value(m.nrm) + 1e-12)), 6) + 0.0 AS score FROM q JOIN m USING (i) GROUP BY ALL),
+        k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bits, query_id ORDER BY score DESC, vec_id) AS rank FROM d) WHERE rank <= 10)
+        SELECT CAST(bits AS INTEGER) AS bits, round(avg(CASE WHEN k.vec_id IS NULL THEN 0.0 ELSE 1.0 END), 3) AS recall_10
+        FROM (SELECT * FROM cosk, b WHERE rank <= 10) c LEFT JOIN k USING (bits, query_id, vec_id) GROUP BY bits""",
     "bit_drift": f"""
         WITH s AS (SELECT vec_id, {_F} AS v, list_max(list_transform({_F}, lambda x: abs(x))) / 127 + 1e-12 AS scale FROM embeddings)
         SELECT vec_id, CAST(list_sum(list_transform(v, lambda x: CASE WHEN (x >= 0) <> (round_even(x / scale, 0) >= 0) THEN 1 ELSE 0 END)) AS INTEGER) AS drift FROM s""",

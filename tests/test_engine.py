@@ -160,7 +160,7 @@ def test_offsets_are_the_texts():
 
 
 def test_structural_chunks():
-    text = "# Uno\n\n" + "Frase corta. " * 400 + "\n\n## Dos\n\n```\ncode\n```\n\n- a\n- b\n\n" + "".join(f"{i}," for i in range(1100))
+    text = "# Uno\n\n" + "".join(f"Frase {i}. " for i in range(400)) + "\n\n## Dos\n\n```\ncode\n```\n\n- a\n- b\n\n" + "".join(chr(0x4E00 + i) for i in range(5000))
     got = chunking.structural(text)
     assert all(len(c) <= chunking.STRUCTURE_CHARS for _, c in got)
     whole = got[0][1]

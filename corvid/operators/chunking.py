@@ -359,20 +359,25 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
-def recursive(text: str, budget: int, count: Counter = default_count, marks: tuple[str, ...] = ("\n\n", "\n", ". ", " ")) -> list[str]:
+#: What a text is split at, coarsest first, and what the parts are joined by again; a sentence keeps its stop.
+MARKS = ((r"\n\n", "\n\n"), (r"\n", "\n"), (r"(?<=\.) ", " "), (r" ", " "))
+
+
+def recursive(text: str, budget: int, count: Counter = default_count, marks: tuple[tuple[str, str], ...] = MARKS) -> list[str]:
     """Split at the coarsest mark that gives parts within the budget, and at finer ones where they are not."""
     if count(text) <= budget:
         return [text] if text.strip() else []
     if not marks:
         return list(forced(text, budget, count))
+    (mark, glue), finer = marks[0], marks[1:]
     pack = Pack(budget, count, -1)
-    for part in text.split(marks[0]):
+    for part in re.split(mark, text):
         if count(part) > budget:
-            pack.close(marks[0])
-            pack.done += recursive(part, budget, count, marks[1:])
+            pack.close(glue)
+            pack.done += recursive(part, budget, count, finer)
         elif part.strip():
-            pack.add(part, marks[0])
-    return pack.finish(marks[0])
+            pack.add(part, glue)
+    return pack.finish(glue)
 
 
 def offsets(text: str, budget: int = MAX_TOKENS, count: Counter = default_count) -> list[tuple[int, int]]:
@@ -454,3 +459,86 @@ def structural_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     yield pa.record_batch([pa.array([doc.as_py()] * len(found), doc.type), pa.array([i for i, _ in found], pa.int32()), pa.array([c for _, c in found])], names=[id_col, "number", "text"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, number int, text string")
+
+
+def by_sections(text: str, count: Counter = default_count, budget: int = MAX_TOKENS) -> list[str]:
+    """Second-level sections, and what stands before the first; one over the budget is cut further."""
+    cuts = [0, *(m.start() for m in re.finditer(r"^## .+$", text, re.M) if m.start()), len(text)]
+    parts = [text[a:b].strip() for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [x for p in parts if p for x in ([p] if count(p) <= budget else recursive(p, budget, count))]
+
+
+def by_tables(text: str, count: Counter = default_count, budget: int = MAX_TOKENS) -> list[str]:
+    """Tables apart from the text around them, neither cut further."""
+    out: list[str] = []
+    kind: bool | None = None
+    for line in text.splitlines(keepends=True):
+        now = is_table_line(line) if line.strip() else kind
+        if now != kind or not out:
+            out.append("")
+        kind = now
+        out[-1] += line
+    return [x.strip("\n") for x in out if x.strip()]
+
+
+def token_windows(text: str, count: Counter = default_count, budget: int = MAX_TOKENS) -> list[str]:
+    """Words packed up to the budget, whatever the layout."""
+    return [x for x in forced(text, budget, count) if x.strip()]
+
+
+def sentence_packs(text: str, count: Counter = default_count, budget: int = MAX_TOKENS) -> list[str]:
+    """Sentences packed up to the budget; a sentence over it is cut."""
+    pack = Pack(budget, count, -1)
+    for sentence in filter(None, (x.strip() for x in re.split(r"(?<=[.!?])\s+", text))):
+        if count(sentence) > budget:
+            pack.close(" ")
+            pack.done += forced(sentence, budget, count)
+        else:
+            pack.add(sentence, " ")
+    return pack.finish(" ")
+
+
+def piped(*steps: Callable[..., list[str]]) -> Callable[..., list[str]]:
+    """One way to split after another, each on what the one before gave."""
+
+    def run(text: str, count: Counter = default_count, budget: int = MAX_TOKENS) -> list[str]:
+        parts = [text]
+        for step in steps:
+            parts = [x for p in parts for x in step(p, count=count, budget=budget)]
+        return parts
+
+    return run
+
+
+def _recursive(text: str, count: Counter = default_count, budget: int = MAX_TOKENS) -> list[str]:
+    return recursive(text, budget, count)
+
+
+#: Ways to split that can be compared with the layouts' own.
+VARIANTS: dict[str, Callable[..., list[str]]] = {
+    "recursive": _recursive,
+    "sections": by_sections,
+    "tables": by_tables,
+    "tokens": token_windows,
+    "sentences": sentence_packs,
+    "tables_recursive": piped(by_tables, _recursive),
+    "recursive_tables": piped(_recursive, by_tables),
+}
+
+
+def compared(docs: DataFrame, variants: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", count: Counter = default_count, budget: int = MAX_TOKENS) -> DataFrame:
+    """(variant, id, chunks, tokens, longest): what each way to split makes of each document, all in one scan."""
+    chosen = {v: VARIANTS[v] for v in variants or VARIANTS}
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch.column(id_col).to_pylist(), batch.column(text_col).to_pylist(), strict=True):
+                for name, split_ in chosen.items():
+                    sizes = [count(x) for x in split_(text or "", count=count, budget=budget)]
+                    rows.append((name, doc, len(sizes), sum(sizes), max(sizes, default=0)))
+            c = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.record_batch([pa.array(c[0], pa.string()), pa.array(c[1], batch.schema.field(id_col).type), *(pa.array(x, pa.int64()) for x in c[2:])], names=["variant", id_col, "chunks", "tokens", "longest"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"variant string, {id_col} {kind}, chunks bigint, tokens bigint, longest bigint")

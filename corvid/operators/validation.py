@@ -72,3 +72,23 @@ COMMENT = 2000
 def feedback_error(rating: Column, comment: Column) -> Column:
     """The first field that a feedback has wrong, null for a good one."""
     return F.when(~F.coalesce(rating.isin(*RATINGS), F.lit(False)), "rating").when(F.length(comment) > COMMENT, "comment")
+
+
+#: Characters of a made question, and the kinds of questions there are; the kind that needs no question mark.
+ASKED, KINDS, MARKLESS = (15, 300), ("factual", "thematic", "paraphrase"), "paraphrase"
+#: Words in a row that a question may not share with its source.
+COPIED = 8
+
+
+def question_error(kind: Column, text: Column, before: Column, copied: Column, chunk: Column, chunks: Column) -> Column:
+    """The first reason against a made question, null for a good one: its kind, length, question mark, that it was made before
+    (``before``: how often), that it copies its source (``copied``: whether), or that its chunk (from 0) is none of the document's."""
+    return (
+        F.when(~F.coalesce(kind.isin(*KINDS), F.lit(False)), "kind")
+        .when(F.length(text) < ASKED[0], "too short")
+        .when(F.length(text) > ASKED[1], "too long")
+        .when((kind != MARKLESS) & ~text.contains("?"), "no question")
+        .when(before > 0, "repeated")
+        .when(copied, "copied")
+        .when(chunk.isNotNull() & ~chunk.between(0, chunks - 1), "chunk")
+    )

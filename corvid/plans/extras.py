@@ -9,7 +9,7 @@ from corvid.functions import text as T
 from corvid.operators import agent, coverage, embedding, lexical, search, validation
 from corvid.plans.common import bm25_sql, table, tokens_sql
 from corvid.plans.texts import _IMAGES, _prefixed_sql
-from corvid.plans.vectors import _BASE, cosine_topk
+from corvid.plans.vectors import _BASE, l2_topk
 
 
 def _illustrated(spark, d):
@@ -78,8 +78,8 @@ def embed_documents(spark, d):
 
 
 def nearest_with_context(spark, d):
-    """The nearest vector of each query and its neighbours on both sides by id."""
-    best = cosine_topk(spark, d).filter("vec_id <> query_id")
+    """The nearest vector (L2) of each query and its neighbours on both sides by id."""
+    best = l2_topk(spark, d).filter("vec_id <> query_id")
     best = best.groupBy("query_id").agg(F.min_by("vec_id", "rank").alias("vec_id"))
     near = best.select("query_id", F.explode(F.sequence(F.col("vec_id") - 1, F.col("vec_id") + 1)).alias("vec_id"))
     return near.join(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id").select("query_id", "vec_id", "label")
@@ -144,7 +144,7 @@ ORACLE = {
         SELECT CASE s WHEN 0 THEN 'skip' WHEN 1 THEN 'retry' WHEN 2 THEN 'pending' ELSE 'create' END AS action, count(*) AS n FROM orders LEFT JOIN r ON k = o_orderkey GROUP BY ALL""",
     "published_runs": "SELECT user_id, max(event_id) % 4 IN (0, 2) AS published FROM events GROUP BY user_id HAVING max(event_id) % 4 <> 3",
     "vector_bytes": "SELECT vec_id, CAST(4 * len(embedding) AS INTEGER) AS bytes, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total, round(CAST(embedding[-1] AS DOUBLE), 6) AS last FROM embeddings",
-    "nearest_with_context": f"""WITH {_BASE}, b AS (SELECT query_id, arg_min(vec_id, rank) AS nearest FROM cosk WHERE vec_id <> query_id GROUP BY query_id)
+    "nearest_with_context": f"""WITH {_BASE}, x AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sqrt(dd), 6), vec_id) AS k FROM raw WHERE vec_id <> query_id), b AS (SELECT query_id, vec_id AS nearest FROM x WHERE k = 1)
         SELECT query_id, e.vec_id, e.label FROM b JOIN e ON e.vec_id BETWEEN nearest - 1 AND nearest + 1""",
     "evidence_context": f"""WITH {bm25_sql('1', 2)} SELECT item_id AS query_id, md5(string_agg('[CHUNK ' || doc_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS digest FROM best JOIN documents USING (doc_id) GROUP BY item_id""",
     "title_resolution": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'T' || doc_id WHEN 1 THEN 'H' || doc_id ELSE coalesce(nullif(trim(regexp_extract(text, '(?m)^# (.+)$', 1)), ''), CAST(doc_id AS VARCHAR)) END AS title FROM documents",

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 
 from corvid.functions import headings, urls
 from corvid.functions import text as T
-from corvid.operators import chunking, evaluate, search
+from corvid.operators import chunking, evaluate, search, validation
 from corvid.plans.common import DATED_SQL, dated, table, tokens_sql
 from corvid.sources import html, markdown, store
 
@@ -150,10 +150,14 @@ def anchor_check(spark, d):
 
 
 def query_validation(spark, d):
-    """The first reason against each turn of a conversation as a query: its length, a question mark, or that it came before."""
+    """The first reason against each turn of a conversation as a question about the document with its conversation's number."""
     w = Window.partitionBy(F.lower("text")).orderBy("conv_id", "turn")
-    reason = F.when(F.length("text") < 15, "too short").when(F.length("text") > 300, "too long").when((F.col("role") == "user") & ~F.col("text").contains("?"), "no question").when(F.col("n") > 1, "repeated").otherwise("ok")
-    return table(spark, d, "conversations").withColumn("n", F.row_number().over(w)).select("conv_id", "turn", reason.alias("reason"))
+    kind = F.element_at(F.array(*map(F.lit, [*validation.KINDS, "other"])), (F.col("conv_id") % 7 % 4 + 1).cast("int"))
+    docs = _docs(spark, d).select(F.col("doc_id").alias("conv_id"), F.size(F.split("text", "\n")).alias("chunks"), T.ngram_rows("text", 3).alias("grams"))
+    rows = table(spark, d, "conversations").withColumn("before", F.row_number().over(w) - 1).join(docs, "conv_id", "left")
+    copied = F.coalesce(F.arrays_overlap("grams", T.ngram_rows("text", 3)), F.lit(False))
+    reason = validation.question_error(kind, F.col("text"), F.col("before"), copied, F.when(F.col("turn") % 2 == 0, F.col("turn")), F.coalesce("chunks", F.lit(0)))
+    return rows.select("conv_id", "turn", F.coalesce(reason, F.lit("ok")).alias("reason"))
 
 
 def quote_in_chunk(spark, d):
@@ -308,6 +312,25 @@ def chunk_roundtrip(spark, d):
     return back.groupBy("pattern").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(same).alias("same"), F.sum(F.size("spans")).alias("spans"))
 
 
+def chunker_comparison(spark, d):
+    """Every way to split over all documents."""
+    return chunking.compared(_docs(spark, d)).groupBy("variant").agg(F.sum("chunks").alias("chunks"), F.round(F.sum("tokens") / F.sum("chunks"), 2).alias("mean"), F.max("longest").alias("longest"))
+
+
+def pattern_chunks(spark, d):
+    """Documents, chunks and mean tokens by layout."""
+    rows = chunking.chunked(_docs(spark, d)).groupBy("pattern").agg(F.countDistinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("chunks"), F.round(F.avg("token_count"), 2).alias("mean"))
+    return rows
+
+
+def size_ratios(spark, d):
+    """Bytes of the texts and of their segments, by source, and how they relate."""
+    docs = _docs(spark, d)
+    parts = store.segments(docs, size=700).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum(F.octet_length("segment_text")).alias("segment_bytes"), F.count(F.lit(1)).alias("segments"))
+    whole = docs.groupBy("source").agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.length("text")).alias("chars"))
+    return whole.join(parts, "source").select("source", "bytes", "segments", F.round(F.col("bytes") / F.col("chars"), 5).alias("bytes_a_char"), F.round(F.col("segment_bytes") / F.col("segments"), 4).alias("bytes_a_segment"))
+
+
 def structural_chunks(spark, d):
     """Chunks of 2,000 characters that share 500, by document: how many, and the longest."""
     return chunking.structural_chunks(_docs(spark, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("text")).alias("longest"))
@@ -317,7 +340,7 @@ def chunk_outline(spark, d):
     return search.outline(chunking.chunked(_docs(spark, d))).select("doc_id", "title", F.size("chunks").alias("chunks"))
 
 
-QUERIES = {f.__name__: f for f in (classify_documents, pattern_counts, token_counts, clean_text, boilerplate_removed, image_refs, heading_levels, open_headings, page_split, fragment_titles, slug_titles, html_links, html_notices, ngram_overlap, anchor_check, query_validation, quote_in_chunk, json_arrays, path_metadata, metadata_filter, list_publications, segments_roundtrip, latest_values, neighbor_window, next_lines, prompt_budget, synthetic_queries, date_range, year_sizes, sentence_counts, word_windows, percentile_nearest_rank, percentile_linear, stratified_sample, hash_sample, chunk_documents, chunk_roundtrip, chunk_outline, sibling_chains, chunk_headers, section_starts, source_urls, key_ranges, key_range_scan, structural_chunks, spanish_dates, upserted_documents)}
+QUERIES = {f.__name__: f for f in (classify_documents, pattern_counts, token_counts, clean_text, boilerplate_removed, image_refs, heading_levels, open_headings, page_split, fragment_titles, slug_titles, html_links, html_notices, ngram_overlap, anchor_check, query_validation, quote_in_chunk, json_arrays, path_metadata, metadata_filter, list_publications, segments_roundtrip, latest_values, neighbor_window, next_lines, prompt_budget, synthetic_queries, date_range, year_sizes, sentence_counts, word_windows, percentile_nearest_rank, percentile_linear, stratified_sample, hash_sample, chunk_documents, chunk_roundtrip, chunk_outline, sibling_chains, chunk_headers, section_starts, source_urls, key_ranges, key_range_scan, structural_chunks, chunker_comparison, pattern_chunks, size_ratios, spanish_dates, upserted_documents)}
 
 _LAID = "CASE doc_id % 3 WHEN 0 THEN '| ' || replace(text, chr(10), chr(10) || '| ') WHEN 1 THEN '## ' || replace(text, chr(10), chr(10) || '## ') ELSE text END"
 _PATTERN = rf"""
@@ -392,9 +415,14 @@ ORACLE = {
         q AS (SELECT DISTINCT item_id, doc_id, unnest(q) AS term FROM g)
         SELECT item_id, doc_id, bool_or(df < (SELECT count(*) FROM documents) * 0.001 AND (length(term) >= 4 AND NOT regexp_matches(term, '^[0-9]+$') OR regexp_matches(term, '^[0-9]{{4,}}$'))) AS anchored
         FROM q JOIN v USING (term) GROUP BY ALL""",
-    "query_validation": """
-        SELECT conv_id, turn, CASE WHEN length(text) < 15 THEN 'too short' WHEN length(text) > 300 THEN 'too long' WHEN role = 'user' AND NOT contains(text, '?') THEN 'no question'
-               WHEN row_number() OVER (PARTITION BY lower(text) ORDER BY conv_id, turn) > 1 THEN 'repeated' ELSE 'ok' END AS reason FROM conversations""",
+    "query_validation": f"""
+        WITH d AS (SELECT doc_id, len(string_split(text, chr(10))) AS chunks, {tokens_sql("text")} AS w FROM documents),
+        dg AS (SELECT doc_id, list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' ')) AS grams FROM d),
+        c AS (SELECT *, {tokens_sql("text")} AS w, (['factual', 'thematic', 'paraphrase', 'other'])[conv_id % 7 % 4 + 1] AS kind, row_number() OVER (PARTITION BY lower(text) ORDER BY conv_id, turn) AS k FROM conversations)
+        SELECT conv_id, turn, CASE WHEN kind = 'other' THEN 'kind' WHEN length(text) < 15 THEN 'too short' WHEN length(text) > 300 THEN 'too long' WHEN kind <> 'paraphrase' AND NOT contains(text, '?') THEN 'no question'
+               WHEN k > 1 THEN 'repeated' WHEN list_has_any(coalesce(grams, []), list_transform(range(1, len(c.w) - 1), lambda k: array_to_string(c.w[k:k + 2], ' '))) THEN 'copied'
+               WHEN turn % 2 = 0 AND NOT turn BETWEEN 0 AND coalesce(chunks, 0) - 1 THEN 'chunk' ELSE 'ok' END AS reason
+        FROM c LEFT JOIN d ON d.doc_id = conv_id LEFT JOIN dg ON dg.doc_id = conv_id""",
     "quote_in_chunk": f"""
         WITH b AS (SELECT item_id, array_to_string({tokens_sql("text")}, ' ') AS q, len({tokens_sql("text")}) AS n FROM benchmark), d AS (SELECT doc_id, array_to_string({tokens_sql("text")}, ' ') AS x FROM documents)
         SELECT item_id, doc_id FROM b, d WHERE n >= 8 AND contains(' ' || x || ' ', ' ' || q || ' ')""",
@@ -416,6 +444,9 @@ ORACLE = {
     "upserted_documents": """
         WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)
         SELECT doc_id, count(*) AS chunks, CAST(sum(length(t) + CASE WHEN doc_id % 5 = 0 THEN 4 ELSE 0 END) AS BIGINT) AS chars FROM c WHERE doc_id % 5 <> 0 OR i < 2 GROUP BY doc_id""",
+    "size_ratios": """
+        WITH s AS (SELECT source, strlen(text) AS b, length(text) AS c, CAST(ceil(length(text) / 700) AS BIGINT) AS n FROM documents)
+        SELECT source, CAST(sum(b) AS BIGINT) AS bytes, CAST(sum(n) AS BIGINT) AS segments, round(sum(b) / sum(c), 5) AS bytes_a_char, round(sum(b) / sum(n), 4) AS bytes_a_segment FROM s GROUP BY source HAVING sum(n) > 0""",
     "key_ranges": "SELECT doc_id // 64 AS part, min(doc_id) AS low, max(doc_id) AS high, count(*) AS n FROM documents GROUP BY ALL",
     "key_range_scan": "SELECT doc_id FROM documents WHERE doc_id > 99 ORDER BY doc_id LIMIT 100",
     "sibling_chains": f"""WITH {_HEADED},

@@ -171,6 +171,20 @@ def test_structural_chunks():
     assert chunking.structural("   ") == [] and chunking.structural("uno") == [(1, "uno")]
 
 
+@pytest.mark.parametrize("name", sorted(chunking.VARIANTS))
+def test_ways_to_split_keep_all_words(name):
+    text = "# T\n\nUna frase. Otra frase más larga que sigue!\n\n## Dos\n\n| a | b |\n|---|---|\n" + "".join(f"| c{i} | d{i} |\n" for i in range(60)) + "\n## Tres\n\n" + "palabra otra. " * 300
+    got = chunking.VARIANTS[name](text, budget=100)
+    assert "".join("".join(got).split()) == "".join(text.split())
+    assert name == "tables" or all(chunking.default_count(x) <= 130 for x in got)
+    assert chunking.VARIANTS[name]("  \n ") == []
+
+
+def test_comparison_of_ways_to_split(spark):
+    rows = chunking.compared(spark.createDataFrame([(1, "uno. dos."), (2, None)], "doc_id long, text string")).collect()
+    assert len(rows) == 2 * len(chunking.VARIANTS) and all(r["chunks"] == (r["doc_id"] == 1) for r in rows)
+
+
 def test_sibling_chains(spark):
     text = "# A\n## B\n### C\n### D\n## E\ntexto\n# F\n### G\n## H"
     rows = spark.createDataFrame([(text,)], "t string").select(headings.sibling_chains(headings.listed(F.col("t"))).alias("c")).first()["c"]

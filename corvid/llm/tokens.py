@@ -6,6 +6,8 @@ import os
 from collections import deque
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from corvid.llm.common import worker_caches
 
@@ -43,8 +45,8 @@ class WordTokenizer:
         self.ends = np.zeros(size, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cached = cached
-        self.ids: dict[bytes, bytes] = {}
-        self.recent: deque[set[bytes]] = deque(maxlen=RECENT_CALLS)
+        self.ids: dict[bytes, bytes] = {b"": b""}
+        self.recent: deque[list[bytes]] = deque(maxlen=RECENT_CALLS)
 
     def _alone(self, words: list[bytes]) -> None:
         for i in range(0, len(words), 10_000):
@@ -56,7 +58,8 @@ class WordTokenizer:
         """Encode words of letters only, a few thousand as one text."""
         for i in range(0, len(words), 4000):
             part = words[i : i + 4000]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, self.dtype)
+            (got,) = self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)
+            ids = np.array(got.ids, self.dtype)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(part) or ends[-1] != len(ids):
                 self._alone(part)
@@ -65,45 +68,56 @@ class WordTokenizer:
             bounds = (ends * wide).tolist()
             self.ids.update(zip(part, (raw[a:b] for a, b in zip([0, *bounds], bounds, strict=False)), strict=True))
 
-    def _learn(self, new: set[bytes]) -> None:
+    def _learn(self, new: list[bytes]) -> None:
+        """Encode new words: those of letters, with punctuation after them or not, by their letters and their punctuation."""
         known = self.ids
-        cores: set[bytes] = set()
-        split: list[tuple[bytes, bytes, bytes]] = []
-        alone: set[bytes] = set()
-        for word in new:
-            core = word.rstrip(TAIL)
-            if not core.isalpha() and not core.decode("utf-8", "replace").isalpha():
-                alone.add(word)
-                continue
-            if len(core) < len(word):
-                tail = word[len(core) :]
-                split.append((word, core, tail))
-                if tail not in known:
-                    alone.add(tail)
-            if core not in known:
-                cores.add(core)
-        self._together(list(cores))
-        self._alone(list(alone))
-        for word, core, tail in split:
-            known[word] = known[core] + known[tail]
+        words = pa.array(new, pa.binary())
+        plain = pa.StringArray.from_buffers(len(words), *words.buffers()[1:])
+        core = pc.ascii_rtrim(plain, TAIL.decode())
+        letters = pc.utf8_is_alpha(core)
+        cores = core.filter(letters).cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        ours = words.filter(letters).to_numpy(zero_copy_only=False).tolist()
+        split = [(w, c, w[len(c) :]) for w, c in zip(ours, cores, strict=True) if len(w) != len(c)]
+        self._together(list(set(cores).difference(known)))
+        alone = words.filter(pc.invert(letters)).to_numpy(zero_copy_only=False).tolist()
+        self._alone([*alone, *{t for _, _, t in split}.difference(known)])
+        for word, letters_, tail in split:
+            known[word] = known[letters_] + known[tail]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids, as the bytes of little-endian integers of ``dtype``."""
+        """Each text's ids, as the bytes of little-endian integers of ``dtype``.
+
+        The texts' words are numbered by Arrow; only distinct ones are looked up, and their ids are laid out by number.
+        """
+        raw = pa.array(texts, pa.binary())
+        _, offsets, data = raw.buffers()
+        plain = pa.StringArray.from_buffers(len(raw), offsets, data if data is not None else pa.py_buffer(b""))
         # Lower case comes first so that fewer words are distinct; not where a special token's name might come of it.
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        self.recent.append(set().union(*words))
-        if new := self.recent[-1].difference(self.ids):
-            self._learn(new)
-        find = self.ids.__getitem__
-        out = [b"".join(map(find, ws)) for ws in words]
+        special = pc.match_substring(plain, "<|")
+        lists = pc.ascii_split_whitespace(pc.if_else(special, plain, pc.ascii_lower(plain)))
+        numbered = lists.flatten().dictionary_encode()
+        distinct = numbered.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        self.recent.append(distinct)
+        if new := set(distinct).difference(self.ids):
+            self._learn(list(new))
+        found = list(map(self.ids.__getitem__, distinct))
         if len(self.ids) > self.cached:
             self.shrink()
-        return out
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        which = numbered.indices.to_numpy()
+        times = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(times)])
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else sizes
+        ids = flat[np.arange(ends[-1]) + np.repeat(first[which] - ends[:-1], times)] if len(flat) else flat
+        cuts = ends[lists.offsets.to_numpy()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def shrink(self) -> None:
         """Forget all but the words of the last few calls, among which the frequent ones are."""
         known = self.ids
         self.ids = {w: known[w] for w in set().union(*self.recent) if w in known}
+        self.ids[b""] = b""
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

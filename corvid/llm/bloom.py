@@ -1,4 +1,4 @@
-"""A log-frequency Bloom filter, built by segments on the executors and of bounded size.
+"""A log-frequency Bloom filter: as many bits for an entry at any size.
 
 A key of level q is entered q times, as (key, 1) to (key, q); its level is found by asking upwards from 1 until an entry is
 missing. With all levels 1 it is a plain Bloom filter. Keys are 64-bit hashes; a key's segment is its low bits.
@@ -9,17 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from corvid.llm.common import mix
 
-#: Bits for one entry, probes of one entry, most bytes of a filter (a fixed bound, so it can be broadcast), segments, and
-#: entries that one task puts in.
-ENTRY_BITS, PROBES, MOST_BYTES, SEGMENTS, TASK_ENTRIES = 12, 5, 64 << 20, 4096, 1_000_000
-#: Levels are below this.
-MOST_LEVELS = 256
+#: Bits for one entry, probes of one entry, segments; levels are below the last.
+ENTRY_BITS, PROBES, SEGMENTS, MOST_LEVELS = 12, 5, 4096, 256
 
 
 @dataclass(frozen=True)
@@ -40,11 +34,6 @@ class Filter:
                     break
         return alive
 
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), bool)
-        out[self.entered(keys)] = True
-        return out
-
     def levels(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
         alive = np.arange(len(keys))
@@ -72,40 +61,3 @@ def of(keys: np.ndarray, levels: np.ndarray) -> Filter:
             for i in range(PROBES):
                 bits[(base + (first + np.uint64(i) * second) % np.uint64(segment)).astype(np.int64)] = True
     return Filter(np.packbits(bits, bitorder="little"), segment)
-
-
-def build(rows: DataFrame) -> Filter:
-    """The filter of (key, level) rows. Entries get fewer than ENTRY_BITS bits only once the filter has its largest size.
-
-    Rows are dealt by segment, so each segment is made whole in one task; the driver lays them side by side.
-    """
-    entries = rows.agg(F.sum("level")).first()[0] or 0
-    segment = int(max(2048, min(MOST_BYTES * 8, entries * ENTRY_BITS) // SEGMENTS // 64 * 64))
-
-    def run(batches):
-        slot = np.full(SEGMENTS, -1)
-        bits = np.zeros((0, segment), bool)
-        for batch in batches:
-            keys, top = batch.column("key").to_numpy().view(np.uint64), batch.column("level").to_numpy()
-            where = (keys % np.uint64(SEGMENTS)).astype(np.int64)
-            new = np.unique(where[slot[where] < 0])
-            slot[new] = len(bits) + np.arange(len(new))
-            bits = np.vstack([bits, np.zeros((len(new), segment), bool)]) if len(new) else bits
-            flat = bits.reshape(-1)
-            for q in range(1, int(top.max(initial=0)) + 1):
-                keys, where, top = keys[top >= q], where[top >= q], top[top >= q]
-                first, second = _hashes(keys, q)
-                with np.errstate(over="ignore"):
-                    for i in range(PROBES):
-                        flat[slot[where] * segment + ((first + np.uint64(i) * second) % np.uint64(segment)).astype(np.int64)] = True
-        ours = np.flatnonzero(slot >= 0)
-        yield pa.record_batch([pa.array(ours, pa.int32()), pa.array([np.packbits(bits[slot[s]], bitorder="little").tobytes() for s in ours], pa.binary())], names=["segment", "bits"])
-
-    out = np.zeros(segment * SEGMENTS // 8, np.uint8)
-    # SEGMENTS is a power of two, so the remainder of the unsigned key is its low bits.
-    dealt = rows.withColumn("segment", F.col("key").bitwiseAND(F.lit(SEGMENTS - 1)).cast("int"))
-    tasks = max(1, min(SEGMENTS, -(-entries // TASK_ENTRIES)))
-    for row in dealt.repartition(tasks, "segment").select("key", "level").mapInArrow(run, "segment int, bits binary").toLocalIterator():
-        at = row["segment"] * segment // 8
-        out[at : at + segment // 8] = np.frombuffer(bytes(row["bits"]), np.uint8)
-    return Filter(out, segment)

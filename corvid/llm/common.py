@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -95,9 +97,14 @@ worker_caches: list = []
 
 
 def trim_worker() -> None:
-    """Ask the worker's caches to shrink: called by tasks that need much memory themselves."""
+    """Make room: ask the worker's caches to shrink and give what is free back to the system. Called by tasks that need much memory
+    themselves, as a worker that is used again keeps what earlier tasks took."""
     for shrink in worker_caches:
         shrink()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def input_bytes(df: DataFrame, column: str) -> int:
@@ -154,5 +161,26 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as the first one and the gaps after it, in as few bytes each as the widest gap needs, byte plane by byte plane:
+    the higher planes are mostly small numbers and take little room compressed."""
+    if not len(keys):
+        return b""
+    gaps = np.diff(keys)
+    wide = -(-int(gaps.max(initial=np.uint64(0))).bit_length() // 8)
+    return bytes([wide]) + int(keys[0]).to_bytes(8, "little") + gaps.astype("<u8").view("u1").reshape(-1, 8)[:, :wide].T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    wide = data[0]
+    out = np.zeros(((len(data) - 9) // wide if wide else 0) + 1, "<u8")
+    out[0] = int.from_bytes(data[1:9], "little")
+    if wide:
+        out[1:].view("u1").reshape(-1, 8)[:, :wide] = np.frombuffer(data, "u1", offset=9).reshape(wide, -1).T
+    return np.cumsum(out, dtype=np.uint64)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

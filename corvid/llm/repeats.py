@@ -4,7 +4,7 @@ A text's words are rewritten round by round: first runs of one word, then pairs
 and one in the right half of an alphabet that a hash divides anew in each round. A pair's new name is a hash of the two, so all
 tasks name alike, and what becomes of a stretch of words depends on them and a known context only: equal substrings have the
 same symbols inside. A symbol of the last round that occurs once in the whole corpus rules out every window that contains its
-context; the windows that are left are gathered under a symbol they contain, their anchor. Stretches of windows of one anchor
+context: all names are counted by hash range, and each unit of texts gets back a bit for each of its own. The windows that are left are gathered under a symbol they contain, their anchor. Stretches of windows of one anchor
 that are the same as a whole are counted first; only where an anchor has several stretches are windows counted one by one. All
 counting is by partial aggregates, so a passage that every document has is never gathered in one place.
 """
@@ -12,14 +12,15 @@ counting is by partial aggregates, so a passage that every document has is never
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm import bloom
-from corvid.llm.common import input_bytes, mix, release, saved, slices, starts_of, utf8, word_arrays
+from corvid.llm.common import input_bytes, mix, packed, release, saved, slices, starts_of, unpacked, utf8, word_arrays
 
 #: Words in a window; pair rounds; words in the context of a symbol that is used (an anchor serves WINDOW - CONTEXT + 1 = 16 windows).
 WINDOW, ROUNDS, CONTEXT = 35, 5, 20
@@ -68,47 +69,69 @@ def symbols(words: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndar
     return name[good], lo[good]
 
 
-def _laid(texts: list[bytes]):
-    words, counts = word_arrays(texts)
+def _placed(words: np.ndarray, counts: np.ndarray):
+    """Words with their documents, and each document's first word and end."""
     first = starts_of(counts)
     return words, np.repeat(np.arange(len(counts)), counts), first, first + counts
 
 
+def _laid(texts: list[bytes]):
+    return _placed(*word_arrays(texts))
+
+
 def _buckets(docs: DataFrame) -> int:
     return 1 << max(3, (input_bytes(docs, "text") // 6 >> 20).bit_length() + 1)
 
 
-def repeated_symbols(docs: DataFrame, buckets: int, window: int, rounds: int) -> DataFrame:
-    """(key, level) of every symbol that occurs twice or more, over all documents.
+UNITS = "unit bigint, bucket int, names binary, twice binary, keys array<bigint>, prints array<bigint>, texts array<string>"
 
-    Tasks pass each name on once for each piece of text, with whether it was there twice, packed by hash range.
+
+def asked(docs: DataFrame, buckets: int, window: int, rounds: int) -> DataFrame:
+    """Texts by units of about PIECE_BYTES, and their symbols' names by hash range.
+
+    A row without a bucket is a unit itself: its texts with their keys and prints. The other rows are its distinct names, sorted,
+    with whether each is there twice. Texts without a whole window have no part in this.
     """
     context = window - REACH + 1
+    shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def run(batches):
+        unit = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch, "text", PIECE_BYTES):
-                names, _ = symbols(*_laid(utf8(part.column("text"))), rounds, context)
-                found, counts = np.unique(names, return_counts=True)
+            for whole in slices(batch, "text", PIECE_BYTES):
+                words, counts = word_arrays(utf8(whole.column("text")))
+                long = counts >= window
+                if not long.any():
+                    continue
+                part = whole.filter(pa.array(long, pa.bool_()))
+                unit += 1
+                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(c)) for c in ("key", "print", "text")]
+                yield pa.record_batch([pa.array([unit]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *lists], names=names_)
+                found, counts = np.unique(symbols(*_placed(words[np.repeat(long, counts)], counts[long]), rounds, context)[0], return_counts=True)
                 if not len(found):
                     continue
-                where = (found >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int64)
+                where = (found >> shift).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(where, prepend=-1))
-                ends = [*cuts[1:], len(found)]
-                yield pa.record_batch([pa.array(where[cuts], pa.int32()), pa.array([found[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()), pa.array([np.packbits(counts[a:b] > 1).tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())], names=["bucket", "names", "twice"])
+                parts = list(zip(cuts, [*cuts[1:], len(found)], strict=True))
+                m = len(parts)
+                yield pa.record_batch([pa.array(np.full(m, unit)), pa.array(where[cuts], pa.int32()), pa.array([packed(found[a:b]) for a, b in parts], pa.binary()), pa.array([np.packbits(counts[a:b] > 1).tobytes() for a, b in parts], pa.binary()), *(pa.nulls(m, x.type) for x in lists)], names=names_)
 
-    def count(group: pa.Table) -> pa.Table:
-        names = [np.frombuffer(x, np.uint64) for x in group.column("names").to_pylist()]
+    names_ = [c.split()[0] for c in UNITS.split(", ")]
+    return docs.select("key", "print", F.col("text").cast("string").alias("text")).mapInArrow(run, UNITS)
+
+
+def answered(rows: DataFrame) -> DataFrame:
+    """(unit, bucket, known): for each row of names a bit for each, whether it occurs twice or more over all texts."""
+
+    def run(group: pa.Table) -> pa.Table:
+        names = [unpacked(x) for x in group.column("names").to_pylist()]
         twice = [np.unpackbits(np.frombuffer(t, np.uint8), count=len(x)) for x, t in zip(names, group.column("twice").to_pylist(), strict=True)]
-        names, weight = np.concatenate(names), np.concatenate(twice).astype(np.int64) + 1
-        order = np.argsort(names, kind="stable")
-        names, weight = names[order], weight[order]
-        starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-        twice = names[starts][np.add.reduceat(weight, starts) > 1].view(np.int64)
-        return pa.table({"key": pa.array(twice), "level": pa.array(np.ones(len(twice), np.int32))})
+        found, which = np.unique(np.concatenate(names), return_inverse=True)
+        known = np.bincount(which, np.concatenate(twice) + 1.0, len(found))[which] > 1
+        ends = np.cumsum([len(x) for x in names])[:-1]
+        return group.select(["unit", "bucket"]).append_column("known", pa.array([np.packbits(x).tobytes() for x in np.split(known, ends)], pa.binary()))
 
-    packed = docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket int, names binary, twice binary")
-    return packed.groupBy("bucket").applyInArrow(count, "key bigint, level int")
+    return rows.filter("bucket IS NOT NULL").select("unit", "bucket", "names", "twice").groupBy("bucket").applyInArrow(run, "unit bigint, bucket int, known binary")
 
 
 def _slide(a: np.ndarray, reach: int) -> np.ndarray:
@@ -131,12 +154,12 @@ def _hashed(words: np.ndarray, at: np.ndarray, window: int, multiplier: int) ->
     return mix(out, 72)
 
 
-def candidates(texts: list[bytes], known: bloom.Filter, window: int, rounds: int):
+def candidates(texts: list[bytes], known: Callable[[np.ndarray], np.ndarray], window: int, rounds: int):
     """Stretches of windows that may repeat: (anchor, document, first window in it, hashes of the windows, windows in each stretch).
 
-    A stretch's windows follow one another and have one anchor, the symbol of least hash in reach (the first of equal ones); a
-    window without a symbol in reach is a stretch of its own, under a second hash of its words. So two windows count as equal
-    only if two independent 64-bit values are.
+    ``known`` says of symbols' names which occur twice or more. A stretch's windows follow one another and have one anchor, the
+    symbol of least hash in reach (the first of equal ones); a window without a symbol in reach is a stretch of its own, under a
+    second hash of its words. So two windows count as equal only if two independent 64-bit values are.
     """
     words, doc, first, last = _laid(texts)
     n = len(words)
@@ -145,7 +168,7 @@ def candidates(texts: list[bytes], known: bloom.Filter, window: int, rounds: int
         return empty
     names, at = symbols(words, doc, first, last, rounds, window - REACH + 1)
     alone = np.zeros(n + REACH + 1, np.int64)
-    alone[1 + at[~known.has(names)]] = 1
+    alone[1 + at[~known(names)]] = 1
     alone = np.cumsum(alone)
     order = np.lexsort((at, mix(names, 71)))
     place = np.empty(len(order), np.int64)
@@ -176,50 +199,56 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
     """(key, print, start, mask): windows that start elsewhere too; bit b of the mask is the window at ``start + b``. ``docs`` has
     key, print and text."""
     buckets = _buckets(docs)
-    found_twice = saved(repeated_symbols(docs, buckets, window, rounds), "repeated-symbols")
-    known = docs.sparkSession.sparkContext.broadcast(bloom.build(found_twice))
-    release(found_twice)
+    units = saved(asked(docs, buckets, window, rounds), "units")
+    answers = saved(answered(units), "answers")
+    shift = np.uint64(64 - (buckets.bit_length() - 1))
     schema = pa.schema([pa.field(n, {"bigint": pa.int64(), "int": pa.int32(), "array<bigint>": pa.list_(pa.int64())}[t]) for n, t in (f.split() for f in RECORDS.split(", "))])
 
-    def run(batches):
-        found = known.value
-        for batch in batches:
-            for part in slices(batch, "text", PIECE_BYTES):
-                anchor, doc, start, hashes, sizes = candidates(utf8(part.column("text")), found, window, rounds)
-                if not len(anchor):
-                    continue
-                key, print_ = (part.column(c).to_numpy()[doc] for c in ("key", "print"))
-                begin = starts_of(sizes)
-                inside = np.arange(len(hashes)) - np.repeat(begin, sizes)
-                with np.errstate(over="ignore"):
-                    content = mix(anchor, 81) + np.add.reduceat(mix(hashes ^ mix(inside.astype(np.uint64), 82), 83), begin)
-                _, where, which, times = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
-                # A stretch that is here twice is settled here; one copy goes on, so that others learn of it.
-                twice = times[which] > 1
-                full = (1 << sizes) - 1
-                settled = np.flatnonzero(twice)
-                m = len(settled)
-                yield pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(key[settled]), pa.array(print_[settled]), pa.array(start[settled], pa.int32()), pa.array(full[settled], pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, schema.field("hashes").type)], schema=schema)
-                where = np.sort(where)
-                m = len(where)
-                take = np.repeat(np.isin(np.arange(len(sizes)), where, assume_unique=True), sizes)
-                body = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[where])]), pa.int32()), pa.array(hashes[take].view(np.int64)))
-                yield pa.record_batch([pa.array(anchor[where].view(np.int64)), pa.array(content[where].view(np.int64)), pa.array(key[where]), pa.array(print_[where]), pa.array(start[where], pa.int32()), pa.array(full[where], pa.int32()), pa.array(twice[where].astype(np.int32)), body], schema=schema)
-
-    records = saved(docs.select("key", "print", F.col("text").cast("string")).mapInArrow(run, RECORDS), "records", "lz4")
-    known.destroy()
+    def run(unit: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, prints, texts = (unit.column(c).combine_chunks().flatten() for c in ("keys", "prints", "texts"))
+        bits = dict(zip(answers.column("bucket").to_pylist(), answers.column("known").to_pylist(), strict=True))
+
+        def known(names: np.ndarray) -> np.ndarray:
+            found, which = np.unique(names, return_inverse=True)
+            where, sizes = np.unique((found >> shift).astype(np.int64), return_counts=True)
+            flags = [np.unpackbits(np.frombuffer(bits[w], np.uint8), count=n) for w, n in zip(where.tolist(), sizes.tolist(), strict=True)]
+            return np.concatenate([*flags, np.zeros(0, np.uint8)]).astype(bool)[which]
+
+        anchor, doc, start, hashes, sizes = candidates(utf8(texts), known, window, rounds)
+        if not len(anchor):
+            return schema.empty_table()
+        key, print_ = keys.to_numpy()[doc], prints.to_numpy()[doc]
+        begin = starts_of(sizes)
+        inside = np.arange(len(hashes)) - np.repeat(begin, sizes)
+        with np.errstate(over="ignore"):
+            content = mix(anchor, 81) + np.add.reduceat(mix(hashes ^ mix(inside.astype(np.uint64), 82), 83), begin)
+        _, where, which, times = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
+        # A stretch that is here twice is settled here; one copy goes on, so that others learn of it.
+        twice = times[which] > 1
+        full = (1 << sizes) - 1
+        at = np.flatnonzero(twice)
+        m = len(at)
+        done = pa.table([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(key[at]), pa.array(print_[at]), pa.array(start[at], pa.int32()), pa.array(full[at], pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, schema.field("hashes").type)], schema=schema)
+        where = np.sort(where)
+        take = np.repeat(np.isin(np.arange(len(sizes)), where, assume_unique=True), sizes)
+        body = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[where])]), pa.int32()), pa.array(hashes[take].view(np.int64)))
+        return pa.concat_tables([done, pa.table([pa.array(anchor[where].view(np.int64)), pa.array(content[where].view(np.int64)), pa.array(key[where]), pa.array(print_[where]), pa.array(start[where], pa.int32()), pa.array(full[where], pa.int32()), pa.array(twice[where].astype(np.int32)), body], schema=schema)])
+
+    left = units.filter("bucket IS NULL").select("unit", "keys", "prints", "texts").groupBy("unit")
+    records = saved(left.cogroup(answers.groupBy("unit")).applyInArrow(run, RECORDS), "records", "lz4")
+    release(units, answers)
     settled = records.filter("anchor IS NULL").select("key", "print", "start", "mask")
-    asked = records.filter("anchor IS NOT NULL")
+    open_ = records.filter("anchor IS NOT NULL")
     # Stretches that are the same as a whole become one row with its number.
-    whole = saved(asked.groupBy("anchor", "content", "mask", "hashes").agg((F.count(F.lit(1)) + F.sum("twice")).alias("weight")), "stretches", "lz4")
+    whole = saved(open_.groupBy("anchor", "content", "mask", "hashes").agg((F.count(F.lit(1)) + F.sum("twice")).alias("weight")), "stretches", "lz4")
     # Equal windows have one anchor, so windows are counted only under anchors that have several stretches.
     several = whole.groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).filter("lo <> hi").select("anchor")
     windows = saved(whole.join(several, "anchor", "left_semi").select("anchor", "content", "weight", F.posexplode("hashes").alias("at", "hash")), "windows", "lz4")
     again = windows.groupBy("anchor", "hash").agg(F.sum("weight").alias("n")).filter("n > 1").select("anchor", "hash")
     some = windows.filter("weight = 1").join(again, ["anchor", "hash"]).groupBy("anchor", "content").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("at"))).alias("mask"))
     masks = saved(whole.filter("weight > 1").select("anchor", "content", "mask").unionByName(some), "masks", "lz4")
-    open_ = asked.filter("twice = 0").select("anchor", "content", "key", "print", "start")
-    places = saved(settled.unionByName(open_.join(masks, ["anchor", "content"]).select("key", "print", "start", "mask")).distinct(), "repeated-windows")
+    left = open_.filter("twice = 0").select("anchor", "content", "key", "print", "start")
+    places = saved(settled.unionByName(left.join(masks, ["anchor", "content"]).select("key", "print", "start", "mask")).distinct(), "repeated-windows")
     release(records, whole, windows, masks)
     return places
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm import bloom
-from corvid.llm.common import input_bytes, mix, release, saved, slices, starts_of, utf8, word_arrays
+from corvid.llm.common import input_bytes, mix, packed, release, saved, slices, starts_of, unpacked, utf8, word_arrays
 
 FOLDS, HELD_OUT = 5, 1
 #: Quantisation of the counts of words and of bigrams: each level begins this many times higher than the one before, and one
@@ -76,27 +76,6 @@ def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, before, sizes
 
 
-def _packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as the first one and the gaps after it, in as few bytes each as the widest gap needs, byte plane by byte plane:
-    the higher planes are mostly small numbers and take little room compressed."""
-    if not len(keys):
-        return b""
-    gaps = np.diff(keys)
-    wide = -(-int(gaps.max(initial=np.uint64(0))).bit_length() // 8)
-    return bytes([wide]) + int(keys[0]).to_bytes(8, "little") + gaps.astype("<u8").view("u1").reshape(-1, 8)[:, :wide].T.tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    if not data:
-        return np.zeros(0, np.uint64)
-    wide = data[0]
-    out = np.zeros(((len(data) - 9) // wide if wide else 0) + 1, "<u8")
-    out[0] = int.from_bytes(data[1:9], "little")
-    if wide:
-        out[1:].view("u1").reshape(-1, 8)[:, :wide] = np.frombuffer(data, "u1", offset=9).reshape(wide, -1).T
-    return np.cumsum(out, dtype=np.uint64)
-
-
 def _planes(codes: np.ndarray) -> bytes:
     """Numbers as all their lowest bytes, then all the next, ...: the high ones are mostly 0 and take little room compressed."""
     return codes.astype("<u4").view("u1").reshape(-1, 4).T.tobytes()
@@ -127,7 +106,7 @@ def asked(docs: DataFrame, buckets: int) -> DataFrame:
             words, codes = np.unique(keys, return_inverse=True)
             none = pa.nulls(1, pa.binary())
             whole = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            yield pa.record_batch([pa.array([unit]), pa.array([0], pa.int32()), pa.nulls(1, pa.int32()), pa.array([_packed(words)], pa.binary()), pa.array([_planes(codes)], pa.binary()), pa.array([sizes.astype("<u4").tobytes()], pa.binary()), whole], names=names)
+            yield pa.record_batch([pa.array([unit]), pa.array([0], pa.int32()), pa.nulls(1, pa.int32()), pa.array([packed(words)], pa.binary()), pa.array([_planes(codes)], pa.binary()), pa.array([sizes.astype("<u4").tobytes()], pa.binary()), whole], names=names)
             learned = np.repeat(learn, sizes)
             for kind in (1, 2):
                 found, places = (words, codes) if kind == 1 else np.unique(_pair(before, keys), return_inverse=True)
@@ -136,9 +115,9 @@ def asked(docs: DataFrame, buckets: int) -> DataFrame:
                 where = (found >> shift).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(where, prepend=-1))
                 parts = list(zip(cuts, [*cuts[1:], len(found)], strict=True))
-                packed = [(_packed(found[a:b]), np.minimum(counts[a:b], 255).astype("u1").tobytes(), counts[a:b][counts[a:b] >= 255].astype("<u4").tobytes()) for a, b in parts]
+                cut = [(packed(found[a:b]), np.minimum(counts[a:b], 255).astype("u1").tobytes(), counts[a:b][counts[a:b] >= 255].astype("<u4").tobytes()) for a, b in parts]
                 m = len(parts)
-                yield pa.record_batch([pa.array(np.full(m, unit)), pa.array([kind] * m, pa.int32()), pa.array(where[cuts], pa.int32()), *(pa.array([p[i] for p in packed], pa.binary()) for i in range(3)), pa.nulls(m, whole.type)], names=names)
+                yield pa.record_batch([pa.array(np.full(m, unit)), pa.array([kind] * m, pa.int32()), pa.array(where[cuts], pa.int32()), *(pa.array([p[i] for p in cut], pa.binary()) for i in range(3)), pa.nulls(m, whole.type)], names=names)
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -168,7 +147,7 @@ def answered(rows: DataFrame) -> DataFrame:
         kind, bucket = group.column("kind")[0].as_py(), group.column("bucket")[0].as_py()
         keys, counts = [], []
         for k, c, large in zip(*(group.column(x).to_pylist() for x in ("keys", "counts", "large")), strict=True):
-            keys.append(_unpacked(k))
+            keys.append(unpacked(k))
             n = np.frombuffer(c, "u1").astype(np.int64)
             n[n == 255] = np.frombuffer(large, "<u4")
             counts.append(n)
@@ -261,7 +240,7 @@ def scored(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
 
     def run(units: pa.Table, answers: pa.Table) -> pa.Table:
         known_keys, known_counts = table.value
-        keys, sizes = _unpacked(units.column("keys")[0].as_py()), np.frombuffer(units.column("large")[0].as_py(), "<u4")
+        keys, sizes = unpacked(units.column("keys")[0].as_py()), np.frombuffer(units.column("large")[0].as_py(), "<u4")
         codes = _unplanes(units.column("counts")[0].as_py())
         ids, row = units.column("ids").combine_chunks().flatten(), units.column("unit")[0].as_py()
         sizes, n = sizes.astype(np.int64), len(sizes)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvid.llm import archive, html_extract, media, mixing, packing, quality, scoring, tokens
+from corvid.llm import archive, common, html_extract, media, mixing, packing, quality, scoring, tokens
 from corvid.llm.pages_made import labelled_pages
 
 from .conftest import texts_of
@@ -372,8 +372,8 @@ def test_filter_levels():
 def test_keys_are_packed_losslessly():
     rng = np.random.default_rng(0)
     for keys in (np.zeros(0, np.uint64), np.array([7], np.uint64), np.array([0, (1 << 64) - 1], np.uint64), np.arange(300, dtype=np.uint64), np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64))):
-        assert (scoring._unpacked(scoring._packed(keys)) == keys).all()
-    assert len(scoring._packed(np.arange(1000, dtype=np.uint64))) < 1010
+        assert (common.unpacked(common.packed(keys)) == keys).all()
+    assert len(common.packed(np.arange(1000, dtype=np.uint64))) < 1010
 
 
 def test_levels_stand_for_counts_in_them():
@@ -517,11 +517,8 @@ def test_media_of_a_long_text(spark):
     assert long["payload_sha256"] == hashlib.sha256(full).hexdigest() and long["n_keyframes"] == -(-len(full) // 64 // 16)
 
 
-def test_scores_without_a_cap(spark, monkeypatch):
+def test_scores_without_a_cap(spark):
     """A filter that needs more than a fixed size keeps its bits for an entry: unseen words and bigrams stay unseen."""
-    from corvid.llm import bloom
-
-    monkeypatch.setattr(bloom, "MOST_BYTES", 1 << 20)
     ids = [i for i in range(500) if zlib.crc32(str(i).encode()) % 5 != 1][:300]
     new = [i for i in range(500) if zlib.crc32(str(i).encode()) % 5 == 1][:5]
     rows = [(d, " ".join(f"w{d}x{i}" for i in range(8000))) for d in ids] + [(d, " ".join(f"n{d}x{i}" for i in range(2000))) for d in new]

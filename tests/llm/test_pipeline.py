@@ -9,23 +9,15 @@ import pytest
 ROOT = Path(__file__).resolve().parents[2]
 
 
-def test_stages(spark, data):
+def test_run(spark, data):
+    """On the given tables; ``test_queries`` holds every stage against brute force."""
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline as P
-    from corvid.llm.common import saved, table
-
-    docs = table(spark, data, "documents")
-    columns, n = docs.columns, docs.count()
-    for i, (name, stage) in enumerate(P.STAGES):
-        before = {r["doc_id"] for r in docs.select("doc_id").collect()}
-        docs = saved(stage(spark, docs, data), "stage")
-        after = {r["doc_id"] for r in docs.select("doc_id").collect()}
-        assert after <= before and after, name
-        if i < 4:
-            assert docs.columns == columns
-            assert docs.count() == len(after) <= n
-    assert after == before
-    assert {r["doc_id"] for r in P.run(spark, data).collect()} == after
+    from corvid.llm.common import table
+
+    ids = {r["doc_id"] for r in table(spark, data, "documents").select("doc_id").collect()}
+    got = [r["doc_id"] for r in P.run(spark, data).collect()]
+    assert got and set(got) <= ids and [name for name, _ in P.STAGES] == ["quality classifier", "exact dedup", "n-gram Jaccard join", "mixing", "packing"]
 
 
 def test_the_entry_does_without(tmp_path):

@@ -259,6 +259,7 @@ def _picked(docs: DataFrame, pairs: DataFrame, words: int, column: str, form) ->
     texts = by_ids(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), ids, "doc_id", "left_semi")
 
     def run(batches):
+        trim_worker()
         for batch in batches:
             for part in slices(batch, "text"):
                 found = shingle_sets(utf8(part.column("text")), words)
@@ -303,6 +304,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int
         forms = _picked(docs, pairs, words, column, form)
 
         def run(batches):
+            trim_worker()
             for batch in batches:
                 keep = [test(x, y, percent) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm import topics as T
-from corvid.llm.common import by_ids, hash_words, release, saved, slices, starts_of, utf8
+from corvid.llm.common import by_ids, hash_words, release, saved, slices, starts_of, trim_worker, utf8
 
 TOPICS = 8
 #: The table of cells is raked on the driver up to this many cells, by DataFrame steps beyond, which do the same sweeps.
@@ -49,6 +49,7 @@ def measured(docs: DataFrame, topics: int = TOPICS) -> DataFrame:
     """
 
     def run(batches):
+        trim_worker()
         for batch in batches:
             for part in slices(batch, "text"):
                 words, counts, n = [], [], []

@@ -24,16 +24,21 @@ def directions(words: np.ndarray) -> np.ndarray:
     return bits.astype(np.float32) * 2 - 1
 
 
+#: Distinct words whose directions are in memory at a time, about.
+BLOCK_WORDS = 50_000
+
+
 def vectors(words: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
     """A row for each document, from its distinct words' hashes and how often each occurs; 0 for one without words."""
     out = np.zeros((len(words), DIMS), np.float32)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     full = np.flatnonzero(sizes)
-    if len(full):
-        weighted = directions(np.concatenate(words)) * (1 + np.log(np.concatenate(counts)))[:, None]
-        starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-        out[full] = np.add.reduceat(weighted, starts, axis=0)
-        out[full] /= np.linalg.norm(out[full], axis=1, keepdims=True) + 1e-12
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes[full]) // BLOCK_WORDS, prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], len(full)], strict=True):
+        own = full[a:b]
+        weighted = directions(np.concatenate([words[i] for i in own])) * (1 + np.log(np.concatenate([counts[i] for i in own]))).astype(np.float32)[:, None]
+        out[own] = np.add.reduceat(weighted, np.concatenate([[0], np.cumsum(sizes[own])[:-1]]), axis=0)
+        out[own] /= np.linalg.norm(out[own], axis=1, keepdims=True) + 1e-12
     return out
 
 

@@ -20,13 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import input_bytes, mix, packed, release, saved, slices, starts_of, unpacked, utf8, word_arrays
+from corvid.llm.common import input_bytes, mix, packed, release, saved, slices, starts_of, trim_worker, unpacked, utf8, word_arrays, workspace
 
 #: Words in a window; pair rounds; words in the context of a symbol that is used (an anchor serves WINDOW - CONTEXT + 1 = 16 windows).
 WINDOW, ROUNDS, CONTEXT = 35, 5, 20
 REACH = WINDOW - CONTEXT + 1
 #: Text that is worked on at a time.
-PIECE_BYTES = 6 << 20
+PIECE_BYTES = 4 << 20
 #: Odd multipliers of the polynomial hashes of windows.
 MULTIPLIERS = (0xD6E8FEB86659FD93, 0xA24BAED4963EE407)
 
@@ -96,6 +96,7 @@ def asked(docs: DataFrame, buckets: int, window: int, rounds: int) -> DataFrame:
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def run(batches):
+        trim_worker()
         unit = TaskContext.get().partitionId() << 40
         for batch in batches:
             for whole in slices(batch, "text", PIECE_BYTES):
@@ -205,6 +206,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
     schema = pa.schema([pa.field(n, {"bigint": pa.int64(), "int": pa.int32(), "array<bigint>": pa.list_(pa.int64())}[t]) for n, t in (f.split() for f in RECORDS.split(", "))])
 
     def run(unit: pa.Table, answers: pa.Table) -> pa.Table:
+        trim_worker()
         keys, prints, texts = (unit.column(c).combine_chunks().flatten() for c in ("keys", "prints", "texts"))
         bits = dict(zip(answers.column("bucket").to_pylist(), answers.column("known").to_pylist(), strict=True))
 
@@ -263,9 +265,9 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, with_te
     """
     text = F.col("text").cast("string")
     keyed = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("key"), F.xxhash64(F.lit(1), text).alias("print"))
-    marks = repeated_windows(keyed.select("key", "print", "text"), window, rounds)
-    places = saved(marks.groupBy("key", "print").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks")), "places")
-    release(marks)
+    with workspace():
+        marks = repeated_windows(keyed.select("key", "print", "text"), window, rounds)
+        places = saved(marks.groupBy("key", "print").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks")), "places", keep=True)
     both = keyed.join(places, ["key", "print"], "left").select("doc_id", "text", "starts", "masks")
 
     def run(batches):

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import SLICE_BYTES, fresh_dir, release, saved, slices, utf8
+from corvid.llm.common import SLICE_BYTES, fresh_dir, release, saved, slices, utf8, workspace
 
 #: Payloads from this size on are written once; bytes of an archive file; bytes between two ranges that are read all the same,
 #: and most bytes of one read.
@@ -82,11 +82,10 @@ INDEX = "page_id bigint, url string, digest string, record_type string, refers_t
 def refers(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """(page_id, digest, n, refers_to) of the payloads that a larger page_id has too; only digests and sizes move."""
     body = F.coalesce("html", F.lit(""))
-    light = saved(pages.select("page_id", F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("n")).filter(F.col("n") >= least), "digests")
-    last = saved(light.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies"), "repeated")
-    out = saved(light.join(last, ["digest", "n"]).filter("page_id < refers_to").select("page_id", "digest", "n", "refers_to").distinct(), "refers")
-    release(light, last)
-    return out
+    with workspace():
+        light = saved(pages.select("page_id", F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("n")).filter(F.col("n") >= least), "digests")
+        last = saved(light.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies"), "repeated")
+        return saved(light.join(last, ["digest", "n"]).filter("page_id < refers_to").select("page_id", "digest", "n", "refers_to").distinct(), "refers", keep=True)
 
 
 def write(pages: DataFrame, least: int = REVISIT_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:

@@ -45,7 +45,7 @@ _workspaces: list[list[DataFrame]] = []
 @contextlib.contextmanager
 def workspace():
     """Own the intermediate tables that are written inside: all that are left are deleted at the end, so the results that are
-    wanted must be written by then (``saved`` with ``keep``)."""
+    wanted must be written by then (``saved`` with ``keep``; they belong to the workspace around this one, if there is one)."""
     _workspaces.append([])
     try:
         yield
@@ -73,8 +73,9 @@ def saved(df: DataFrame, name: str, codec: str = "zstd", batch_rows: int = BATCH
         spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
-    if _workspaces and not keep:
-        _workspaces[-1].append(out)
+    owners = _workspaces[:-1] if keep else _workspaces
+    if owners:
+        owners[-1].append(out)
     return out
 
 

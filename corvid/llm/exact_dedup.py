@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid.llm.common import by_ids, release, saved
+from corvid.llm.common import by_ids, release, saved, workspace
 
 #: Deleted before texts are compared: the class [\x20\x09-\x0D].
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -87,7 +87,8 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     Rows go by doc_id (null ones too) and a hash of their text, so of rows that share a doc_id only those whose text has another
     keeper go. Of rows that are the same in both one can't be told from the other: all of them stay, or none.
     """
-    gone = exact_groups(docs, **options).filter(~F.col("kept"))
-    gone = saved(gone.select(F.col("doc_id").alias("_gone_id"), F.xxhash64("text_sha256").alias("_gone_text")).distinct(), "dropped")
+    with workspace():
+        gone = exact_groups(docs, **options).filter(~F.col("kept"))
+        gone = saved(gone.select(F.col("doc_id").alias("_gone_id"), F.xxhash64("text_sha256").alias("_gone_text")).distinct(), "dropped", keep=True)
     same = docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(F.sha2(normalised(docs["text"]), 256)) == gone["_gone_text"])
     return by_ids(docs, gone, same, "left_anti").select(docs.columns)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import by_ids, input_bytes, mix, release, saved, slices, starts_of, trim_worker, utf8, word_arrays
+from corvid.llm.common import by_ids, input_bytes, mix, release, saved, slices, starts_of, trim_worker, utf8, word_arrays, workspace
 from corvid.llm.components import components
 
 #: Words in a shingle; a link needs 100 * intersection >= PERCENT * union.
@@ -397,5 +397,6 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most_sma
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows whose doc_id is their component's, with all columns: one document of each group stays."""
-    dropped = saved(joined(docs, words, percent).filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    with workspace():
+        dropped = saved(joined(docs, words, percent).filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies", keep=True)
     return by_ids(docs, dropped, "doc_id", "left_anti").select(docs.columns)

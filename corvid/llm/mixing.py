@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm import topics as T
-from corvid.llm.common import by_ids, hash_words, release, saved, slices, starts_of, trim_worker, utf8
+from corvid.llm.common import by_ids, hash_words, release, saved, slices, starts_of, trim_worker, utf8, workspace
 
 TOPICS = 8
 #: The table of cells is raked on the driver up to this many cells, by DataFrame steps beyond, which do the same sweeps.
@@ -205,6 +205,8 @@ def achieved(rows: DataFrame, targets: Targets | None = None) -> DataFrame:
 
 def sampled(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
     """The rows of ``docs`` that are sampled, once for each copy, with all their columns; rows that share a doc_id share its draw."""
-    chosen = saved(mixed(docs, targets).filter("copies > 0").select(F.col("doc_id").alias("_sampled_id"), F.col("copies").alias("_sampled_copies")).groupBy("_sampled_id").agg(F.max("_sampled_copies").alias("_sampled_copies")), "sampled")
+    with workspace():
+        drawn = mixed(docs, targets).filter("copies > 0").groupBy(F.col("doc_id").alias("_sampled_id")).agg(F.max("copies").alias("_sampled_copies"))
+        chosen = saved(drawn, "sampled", keep=True)
     rows = by_ids(docs, chosen, docs["doc_id"].eqNullSafe(chosen["_sampled_id"]), "inner")
     return rows.withColumn("_sampled_copy", F.explode(F.sequence(F.lit(1), "_sampled_copies"))).select(*docs.columns)

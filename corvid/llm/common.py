@@ -20,6 +20,8 @@ SLICE_BYTES = 2 << 20
 BROADCAST_IDS = 2_000_000
 #: Rows of an Arrow batch while a table is written.
 BATCH_ROWS = 2000
+#: Bytes that a task gathers before it writes a row group: two tasks' row groups stay small within an executor's heap.
+ROW_GROUP_BYTES = 16 << 20
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -68,7 +70,7 @@ def saved(df: DataFrame, name: str, codec: str = "zstd", batch_rows: int = BATCH
     before = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
     try:
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", codec).option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     finally:
         spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -97,17 +99,21 @@ def by_ids(docs: DataFrame, ids: DataFrame, condition, how: str) -> DataFrame:
 worker_caches: list = []
 
 
-def trim_worker() -> None:
-    """Make room: ask the worker's caches to shrink and give what is free back to the system. Called by tasks that need much memory
-    themselves, as a worker that is used again keeps what earlier tasks took."""
-    for shrink in worker_caches:
-        shrink()
+def free_worker() -> None:
+    """Give back to the system what earlier tasks of this worker took and no longer need."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def trim_worker() -> None:
+    """Make room: ask the worker's caches to shrink, too. Called by tasks that need much memory themselves."""
+    for shrink in worker_caches:
+        shrink()
+    free_worker()
+
+
 def input_bytes(df: DataFrame, column: str) -> int:
     """Bytes of UTF-8 in one text column, over all rows."""
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]

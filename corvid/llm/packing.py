@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm import tokens
-from corvid.llm.common import mix, saved, slices, utf8
+from corvid.llm.common import free_worker, mix, saved, slices, utf8
 
 LENGTH, END_ID = 4096, 2
 #: Buckets of the hashed document vector, dimensions it is projected to, bits of each on the curve.
@@ -65,6 +65,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens with the end id, the ids' bytes, and the projected document vector."""
 
     def run(batches):
+        free_worker()
         encoder = tokens.word_tokenizer(path)
         end = np.array([END_ID], encoder.dtype).tobytes()
         bucket = (mix(np.arange(1 << 16, dtype=np.uint64), 1) % np.uint64(BUCKETS)).astype(np.int64)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvid.operators import evaluate, lexical, runs, validation
 from corvid.plans.common import bm25_sql, table, tokens_sql
-from corvid.plans.vectors import cosine_topk
 
 def _events(spark, d):
     return table(spark, d, "events")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from corvid.functions import vectors as V
 from corvid.operators import fusion, vector
-from corvid.operators.lexical import ranked
 from corvid.plans.common import dated, table
 
 DIMS, K = 64, 20

@@ -20,8 +20,8 @@ SLICE_BYTES = 2 << 20
 BROADCAST_IDS = 2_000_000
 #: Rows of an Arrow batch while a table is written.
 BATCH_ROWS = 2000
-#: Bytes that a task gathers before it writes a row group: two tasks' row groups stay small within an executor's heap.
-ROW_GROUP_BYTES = 16 << 20
+#: Bytes that a task gathers before it writes a row group, for tables of large values: two tasks' groups stay small within a heap.
+SMALL_GROUP = 16 << 20
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -59,9 +59,9 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corvid-{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str, codec: str = "zstd", batch_rows: int = BATCH_ROWS, keep: bool = False) -> DataFrame:
+def saved(df: DataFrame, name: str, codec: str = "zstd", batch_rows: int = BATCH_ROWS, keep: bool = False, row_group: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there, and a lost executor costs nothing. With
-    ``keep`` the table outlives the ``workspace`` it is written in.
+    ``keep`` the table outlives the ``workspace`` it is written in. ``row_group``: bytes of a row group, if not the usual number.
 
     While it is written, Arrow batches have at most ``batch_rows`` rows, which bounds what Python workers hold.
     """
@@ -70,7 +70,8 @@ def saved(df: DataFrame, name: str, codec: str = "zstd", batch_rows: int = BATCH
     before = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
     try:
-        df.write.option("compression", codec).option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+        writer = df.write.option("compression", codec)
+        (writer.option("parquet.block.size", row_group) if row_group else writer).parquet(path)
     finally:
         spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import input_bytes, mix, packed, release, saved, slices, starts_of, trim_worker, unpacked, utf8, word_arrays, workspace
+from corvid.llm.common import SMALL_GROUP, input_bytes, mix, packed, release, saved, slices, starts_of, trim_worker, unpacked, utf8, word_arrays, workspace
 
 #: Words in a window; pair rounds; words in the context of a symbol that is used (an anchor serves WINDOW - CONTEXT + 1 = 16 windows).
 WINDOW, ROUNDS, CONTEXT = 35, 5, 20
@@ -200,7 +200,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
     """(key, print, start, mask): windows that start elsewhere too; bit b of the mask is the window at ``start + b``. ``docs`` has
     key, print and text."""
     buckets = _buckets(docs)
-    units = saved(asked(docs, buckets, window, rounds), "units")
+    units = saved(asked(docs, buckets, window, rounds), "units", row_group=SMALL_GROUP)
     answers = saved(answered(units), "answers")
     shift = np.uint64(64 - (buckets.bit_length() - 1))
     schema = pa.schema([pa.field(n, {"bigint": pa.int64(), "int": pa.int32(), "array<bigint>": pa.list_(pa.int64())}[t]) for n, t in (f.split() for f in RECORDS.split(", "))])
@@ -237,15 +237,15 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
         return pa.concat_tables([done, pa.table([pa.array(anchor[where].view(np.int64)), pa.array(content[where].view(np.int64)), pa.array(key[where]), pa.array(print_[where]), pa.array(start[where], pa.int32()), pa.array(full[where], pa.int32()), pa.array(twice[where].astype(np.int32)), body], schema=schema)])
 
     left = units.filter("bucket IS NULL").select("unit", "keys", "prints", "texts").groupBy("unit")
-    records = saved(left.cogroup(answers.groupBy("unit")).applyInArrow(run, RECORDS), "records", "lz4")
+    records = saved(left.cogroup(answers.groupBy("unit")).applyInArrow(run, RECORDS), "records", "lz4", row_group=SMALL_GROUP)
     release(units, answers)
     settled = records.filter("anchor IS NULL").select("key", "print", "start", "mask")
     open_ = records.filter("anchor IS NOT NULL")
     # Stretches that are the same as a whole become one row with its number.
-    whole = saved(open_.groupBy("anchor", "content", "mask", "hashes").agg((F.count(F.lit(1)) + F.sum("twice")).alias("weight")), "stretches", "lz4")
+    whole = saved(open_.groupBy("anchor", "content", "mask", "hashes").agg((F.count(F.lit(1)) + F.sum("twice")).alias("weight")), "stretches", "lz4", row_group=SMALL_GROUP)
     # Equal windows have one anchor, so windows are counted only under anchors that have several stretches.
     several = whole.groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).filter("lo <> hi").select("anchor")
-    windows = saved(whole.join(several, "anchor", "left_semi").select("anchor", "content", "weight", F.posexplode("hashes").alias("at", "hash")), "windows", "lz4")
+    windows = saved(whole.join(several, "anchor", "left_semi").select("anchor", "content", "weight", F.posexplode("hashes").alias("at", "hash")), "windows", "lz4", row_group=SMALL_GROUP)
     again = windows.groupBy("anchor", "hash").agg(F.sum("weight").alias("n")).filter("n > 1").select("anchor", "hash")
     some = windows.filter("weight = 1").join(again, ["anchor", "hash"]).groupBy("anchor", "content").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("at"))).alias("mask"))
     masks = saved(whole.filter("weight > 1").select("anchor", "content", "mask").unionByName(some), "masks", "lz4")

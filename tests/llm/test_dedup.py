@@ -286,10 +286,13 @@ def test_exact_long_texts(spark):
     assert sorted((r["doc_id"], r["keep_id"]) for r in exact_dedup.exact_groups(df).collect()) == [(1, 3), (2, 2), (3, 3)]
 
 
-def test_components_of_a_long_path_and_a_hub(spark):
+@pytest.mark.parametrize("plain", [0, 1_000_000])
+def test_components_of_a_long_path_and_a_hub(spark, plain):
     edges = spark.createDataFrame([(i * 7 % 307, (i + 1) * 7 % 307) for i in range(306)] + [(1000, 1000 + i) for i in range(1, 400)], "a long, b long")
-    got = {r["node"]: r["component"] for r in components(edges).collect()}
+    got = {r["node"]: r["component"] for r in components(edges, plain).collect()}
     assert got == {i: 0 for i in range(307)} | {i: 1000 for i in range(1000, 1400)}
+    assert components(edges.limit(0), plain).count() == 0
+
 
 
 def test_repeats_of_a_passage_in_every_slice(spark, monkeypatch):

@@ -33,6 +33,8 @@ def vectors(words: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(words), DIMS), np.float32)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     full = np.flatnonzero(sizes)
+    if not len(full):
+        return out
     cuts = np.flatnonzero(np.diff(np.cumsum(sizes[full]) // BLOCK_WORDS, prepend=-1))
     for a, b in zip(cuts, [*cuts[1:], len(full)], strict=True):
         own = full[a:b]

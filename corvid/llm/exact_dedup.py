@@ -3,7 +3,7 @@
 A text, with all white space deleted, is cut into chunks whose ends its own characters decide. A chunk's fingerprint becomes
 a verified identifier once all chunks of that fingerprint, compared by their full text, are the same; where they are not, a
 variant number tells them apart. A document then is an ordered list of identifiers (its recipe), and documents are equal
-exactly when their recipes are. Chunk texts move once, to be verified; after that only recipes move.
+exactly when their recipes are. Texts are cut once; chunk texts move once, to be verified; after that only recipes move.
 """
 
 from __future__ import annotations
@@ -46,10 +46,9 @@ def recipes(docs: DataFrame, fingerprint=fingerprint, shortest: int = MIN_CHUNK,
     Variants are all 0 unless the check of the full chunk texts finds two chunks of one fingerprint.
     """
     text = docs.select(F.col("doc_id"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_code_points"), normalised(F.col("text")).alias("norm"))
-    chunked = text.select("doc_id", "n_code_points", F.sha2("norm", 256).alias("text_sha256"), chunks_of(F.col("norm"), shortest, longest).alias("chunks"))
-    # Cut twice, once for the recipes and once for the chunks to be verified: writing the chunks for both costs more than it saves.
-    cut = saved(chunked.select("doc_id", "n_code_points", "text_sha256", F.transform("chunks", fingerprint).alias("prints")), "recipes")
-    pieces = chunked.select("text_sha256", F.posexplode("chunks").alias("pos", "chunk")).withColumn("print", fingerprint(F.col("chunk")))
+    cut = text.select("doc_id", "n_code_points", F.sha2("norm", 256).alias("text_sha256"), chunks_of(F.col("norm"), shortest, longest).alias("chunks"))
+    cut = saved(cut.withColumn("prints", F.transform("chunks", fingerprint)), "chunks", "lz4")
+    pieces = cut.select("text_sha256", F.posexplode(F.arrays_zip("prints", "chunks")).alias("pos", "piece")).select("text_sha256", "pos", F.col("piece.prints").alias("print"), F.col("piece.chunks").alias("chunk"))
     distinct = pieces.groupBy("print", "chunk").agg(F.lit(1).alias("one"))
     clashing = saved(distinct.groupBy("print").count().filter("count > 1").select("print"), "clashing-prints")
     if clashing.isEmpty():
@@ -60,7 +59,7 @@ def recipes(docs: DataFrame, fingerprint=fingerprint, shortest: int = MIN_CHUNK,
     # A text is told by its digest here, so texts that share a doc_id keep recipes of their own.
     named = saved(pieces.join(variants, ["print", "chunk"], "left").select("text_sha256", "pos", "print", F.coalesce("variant", F.lit(0)).alias("variant")).distinct(), "named-chunks")
     lists = named.groupBy("text_sha256").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "print", "variant"))), lambda x: F.struct(x["print"].alias("print"), x["variant"].alias("variant"))).alias("recipe"))
-    out = cut.join(lists, "text_sha256", "left")
+    out = cut.drop("chunks").join(lists, "text_sha256", "left")
     return out.select("doc_id", "n_code_points", "text_sha256", F.coalesce("recipe", F.array().cast("array<struct<print:bigint,variant:int>>")).alias("recipe"))
 
 

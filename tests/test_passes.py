@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from corvid.operators import lexical, passes
 from tests.test_search import WORDS, bm25, corpus
@@ -55,3 +56,39 @@ def test_rounding_is_sparks(spark):
     values = [0.0000005, 1.0000015, 2.5000025, 1.23456749999, 123.4565435, 0.1 + 0.2, 7.0000005, 1e-9]
     want = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 6)).collect()]
     assert passes.rounded(np.array(values)).tolist() == want
+
+
+def test_phrases_move_no_text(spark, tmp_path):
+    spark.createDataFrame(corpus(2), "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    phrases = spark.createDataFrame([(0, ["agua", "ley"]), (1, ["agua", "ley"]), (2, ["plan"])], "q long, words array<string>")
+    hits = lexical.phrase_hits(docs, phrases, "q")
+    rows = hits.collect()
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert rows and "SortMergeJoin" not in plan and "hashpartitioning(gram" not in plan
+    assert sorted(r["doc_id"] for r in rows if r["q"] == 0) == sorted(r["doc_id"] for r in rows if r["q"] == 1)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_phrases_are_followed_word_by_word(seed):
+    r = random.Random(seed)
+    texts = [[r.choice("abc") for _ in range(r.randint(0, 30))] for _ in range(40)]
+    phrases = [[r.choice("abcx") for _ in range(r.randint(1, 6))] for _ in range(60)] + [["a"], ["a"], ["b", "c"]]
+    trie = passes.Trie(pa.array(phrases, pa.list_(pa.string())))
+    assert all((trie.phrase[i] == trie.phrase[j]) == (phrases[i] == phrases[j]) for i in range(63) for j in range(63))
+    batch = pa.record_batch([pa.array(range(40)), pa.array(texts, pa.list_(pa.string()))], names=["id", "tokens"])
+    got = {(x["id"], x["n"]): x["hits"] for x in pa.Table.from_batches(list(passes.phrases(trie, ("n", "id"))(iter([batch.slice(0, 15), batch.slice(15)])))).to_pylist()}
+    want = {}
+    for d, t in enumerate(texts):
+        for i, p in enumerate(phrases):
+            if n := sum(t[k : k + len(p)] == p for k in range(len(t) - len(p) + 1)):
+                want[d, int(trie.phrase[i])] = n
+    assert got == want
+
+
+def test_more_phrases_than_are_taken_along(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t in corpus(4)], "doc_id long, text string")
+    phrases = spark.createDataFrame([(0, ["agua", "ley"]), (1, ["agua"]), (2, ["plan", "obra", "pago"])], "q long, words array<string>")
+    want = [sorted(map(tuple, f(docs, phrases, "q").collect())) for f in (lexical.phrase_hits, lexical.phrase_bm25)]
+    monkeypatch.setattr(lexical, "PHRASE_WORDS", 2)
+    assert want == [sorted(map(tuple, f(docs, phrases, "q").collect())) for f in (lexical.phrase_hits, lexical.phrase_bm25)]

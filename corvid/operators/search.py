@@ -15,6 +15,7 @@ from corvid.functions.text import fold, is_fragment_title, query_tokens, tokens
 from corvid.operators import fusion, lexical
 from corvid.operators import index as index_of
 from corvid.operators.lexical import ranked
+from corvid.sources.store import drop, held
 
 #: Acronyms and the words they stand for, and what marks a norm's identifier.
 ALIASES = {"inegi": ["instituto", "nacional", "estadistica", "geografia"], "inpc": ["indice", "nacional", "precios", "consumidor"], "uma": ["unidad", "medida", "actualizacion"]}
@@ -144,6 +145,9 @@ def documents(docs: DataFrame, queries: DataFrame, meta: DataFrame, filters: Fil
     any condition, documents without metadata stay. Lexical candidates are BM25's, then documents that hold an identifier of the
     query, those whose title names an instrument that the query names, and those with a heading of its dated plan; the last two
     get ``NAMED_BONUS``.
+
+    Each step's rows, a few for each query, are written under ``spark.checkpoint.dir`` before the next one reads them, as a plan of
+    all steps would repeat each of them many times. The tables that the result still reads stay: queries, named, fused.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
@@ -157,7 +161,7 @@ def documents(docs: DataFrame, queries: DataFrame, meta: DataFrame, filters: Fil
     def kept(rows: DataFrame) -> DataFrame:
         return rows.join(keep, "doc_id", "left_semi") if keep is not None else rows
 
-    queries = queries.select("query_id", "text")
+    queries, _ = held(queries.select("query_id", "text"), "queries")
     if titles is None:
         titles = docs.sparkSession.createDataFrame([], "doc_id bigint, title string")
     if index is not None:
@@ -171,6 +175,7 @@ def documents(docs: DataFrame, queries: DataFrame, meta: DataFrame, filters: Fil
     asked = asked.withColumn("phrase", F.xxhash64("words", "source"))
     said = kept(lexical.phrase_bm25(docs, asked.select("phrase", "words").distinct(), "phrase"))
     said = ranked(said, ["phrase"], [F.desc("score"), F.col("doc_id")]).join(asked, "phrase").filter(F.col("rank") <= F.when(F.col("source") == 1, depth).otherwise(MOST_NAMED))
+    said, said_at = held(said, "said")
     entitled = title_candidates(titles, queries)
     named = said.filter("source = 2").join(entitled, ["query_id", "doc_id", "words"], "left_semi").groupBy("query_id", "doc_id").agg(F.max("score").alias("score"), F.lit(2).alias("source"))
     extra = said.filter("source = 1").groupBy("query_id", "doc_id").agg(F.max("score").alias("score"), F.lit(1).alias("source")).unionByName(named)
@@ -179,11 +184,14 @@ def documents(docs: DataFrame, queries: DataFrame, meta: DataFrame, filters: Fil
         by_heading = kept(heading_candidates(headings, queries))
         named = named.unionByName(by_heading.select("query_id", "doc_id", F.lit(True).alias("named"))).distinct()
         extra = extra.unionByName(by_heading.select("query_id", "doc_id", F.lit(0.0).alias("score"), F.lit(3).alias("source")))
+    named, _ = held(named, "named")
     # A document that several sources give counts for the first of them.
     rows = left.unionByName(extra.withColumn("rank", F.lit(0))).groupBy("query_id", "doc_id").agg(F.min_by(F.struct("score", "source", "rank"), F.struct("source", "rank")).alias("x")).select("query_id", "doc_id", "x.*")
     left = ranked(rows.withColumnRenamed("rank", "was"), ["query_id"], [F.col("source"), F.col("was"), F.col("doc_id")]).select("query_id", "doc_id", "score", "rank")
+    left, left_at = held(left, "left")
     nothing = F.lit(None).cast("double")
     right = kept(vector_hits.select("query_id", "doc_id", "score", "rank")) if vector_hits is not None and strategy != "lexical" else None
+    right, right_at = held(right, "right") if right is not None else (None, None)
     if right is None:
         fused = left.select("query_id", "doc_id", F.col("score").alias("fused"), "rank", F.col("score").alias("bm25_score"), nothing.alias("vector_score"))
     elif strategy == "vector":
@@ -195,6 +203,8 @@ def documents(docs: DataFrame, queries: DataFrame, meta: DataFrame, filters: Fil
         alone = left.join(some, "query_id", "left_anti").select("query_id", "doc_id", F.col("score").alias("fused"), "rank")
         fused = both.select("query_id", "doc_id", "fused", "rank").unionByName(alone)
         fused = fused.join(left.select("query_id", "doc_id", F.col("score").alias("bm25_score")), ["query_id", "doc_id"], "left").join(right.select("query_id", "doc_id", F.col("score").alias("vector_score")), ["query_id", "doc_id"], "left")
+    fused, _ = held(fused, "fused")
+    drop(docs.sparkSession, *filter(None, (said_at, left_at, right_at)))
     rows = fused.join(meta.select("doc_id", "publication_date"), "doc_id", "left").join(queries.withColumnRenamed("text", "query"), "query_id")
     rows = rows.join(titles.select("doc_id", "title"), "doc_id", "left").join(named, ["query_id", "doc_id"], "left")
     rows = rows.withColumn("title_boost", title_boost(F.col("query"), F.col("title")) + F.when(F.col("named"), NAMED_BONUS).otherwise(0.0))

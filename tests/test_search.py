@@ -61,3 +61,14 @@ def test_document_search_boosts_titles_and_filters(spark):
     assert {r["doc_id"] for r in late} == {1}
     recent = search.documents(docs, queries, meta, prefer_recent=True).orderBy("rank").collect()
     assert any(r["recency_boost"] > 0 for r in recent)
+
+
+def test_document_search_plans_each_step_once(spark):
+    docs = spark.createDataFrame([(i, f"la NOM-00{i}-SSA-2010 agua {i}") for i in range(5)], "doc_id long, text string")
+    meta = docs.selectExpr("doc_id", "DATE '2020-01-01' AS publication_date", "'MAT' AS section")
+    queries = spark.createDataFrame([(0, "requisitos de la NOM-001-SSA-2010 agua")], "query_id long, text string")
+    hits = spark.createDataFrame([(0, 3, 0.9, 1), (0, 4, 0.8, 2)], "query_id long, doc_id long, score double, rank int")
+    got = search.documents(docs, queries, meta, vector_hits=hits, titles=docs.selectExpr("doc_id", "text AS title"), prefer_recent=True)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" not in plan
+    assert got.orderBy("rank").first()["doc_id"] == 1

@@ -1,12 +1,14 @@
 """Rankings and phrases found where the documents are read, against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from corvid.operators import lexical, passes
+from corvid.plans import measures
 from tests.test_search import WORDS, bm25, corpus
 
 
@@ -92,3 +94,31 @@ def test_more_phrases_than_are_taken_along(spark, monkeypatch):
     want = [sorted(map(tuple, f(docs, phrases, "q").collect())) for f in (lexical.phrase_hits, lexical.phrase_bm25)]
     monkeypatch.setattr(lexical, "PHRASE_WORDS", 2)
     assert want == [sorted(map(tuple, f(docs, phrases, "q").collect())) for f in (lexical.phrase_hits, lexical.phrase_bm25)]
+
+
+def few_lines(spark, folder):
+    """Documents of several lines, one of which is a passage; passages as queries."""
+    passages = [(q, " ".join(random.Random(q).choices(WORDS, k=9))) for q in range(12)]
+    docs = [(i, f"{t}\n{passages[i % 12][1]}\n{t}") for i, t in corpus(5)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(passages, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return docs, passages
+
+
+def moved(df):
+    """What the plan's exchanges are dealt by, once it has run."""
+    return re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", re.sub(r"#\d+L?", "", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_evidence_recall_moves_no_words(spark, tmp_path):
+    docs, passages = few_lines(spark, tmp_path)
+    got = measures.evidence_recall(spark, str(tmp_path))
+    row = got.first()
+    lines = [(d * 100000 + i, line) for d, t in docs for i, line in enumerate(t.split("\n"))]
+    shares = []
+    for _, text in passages:
+        gold = {c for c, line in lines if line == text}
+        best = bm25(lines, text, 30)
+        shares.append([len(gold & set(best[:k])) / len(gold) for k in (5, 10, 20)])
+    assert row["n"] == 12 and [row[f"evidence_{k}"] for k in (5, 10, 20)] == pytest.approx(np.mean(shares, axis=0), abs=2e-6)
+    assert moved(got) and not [x for x in moved(got) if re.search("term|gram|tokens|words", x)]

@@ -122,3 +122,19 @@ def test_evidence_recall_moves_no_words(spark, tmp_path):
         shares.append([len(gold & set(best[:k])) / len(gold) for k in (5, 10, 20)])
     assert row["n"] == 12 and [row[f"evidence_{k}"] for k in (5, 10, 20)] == pytest.approx(np.mean(shares, axis=0), abs=2e-6)
     assert moved(got) and not [x for x in moved(got) if re.search("term|gram|tokens|words", x)]
+
+
+def test_full_depth_mrr_moves_no_words(spark, tmp_path):
+    docs, passages = few_lines(spark, tmp_path)
+    got = measures.full_depth_mrr(spark, str(tmp_path))
+    rows = {r["category"]: r for r in got.collect()}
+    lines = [(d * 100000 + i, line) for d, t in docs for i, line in enumerate(t.split("\n"))]
+    first = {}
+    for q, text in passages:
+        ranks = [i for i, c in enumerate(bm25(lines, text, 200), 1) if dict(lines)[c] == text]
+        first[q] = 1 / ranks[0] if ranks else 0.0
+    for category in (None, "c0", "c1", "c2"):
+        of = [v for q, v in first.items() if category in (None, f"c{q % 3}")]
+        r = rows[category]
+        assert (r["n"], r["mrr"], r["found"]) == (len(of), pytest.approx(np.mean(of), abs=2e-6), pytest.approx(np.mean([v > 0 for v in of]), abs=2e-6))
+    assert len(rows) == 4 and moved(got) and not [x for x in moved(got) if re.search("term|gram|tokens|words", x)]

@@ -1,5 +1,6 @@
 """Rankings and phrases found where the documents are read, against brute force."""
 
+import math
 import random
 import re
 
@@ -138,3 +139,18 @@ def test_full_depth_mrr_moves_no_words(spark, tmp_path):
         r = rows[category]
         assert (r["n"], r["mrr"], r["found"]) == (len(of), pytest.approx(np.mean(of), abs=2e-6), pytest.approx(np.mean([v > 0 for v in of]), abs=2e-6))
     assert len(rows) == 4 and moved(got) and not [x for x in moved(got) if re.search("term|gram|tokens|words", x)]
+
+
+def test_shared_phrases_are_told_apart_where_documents_are_read(spark, tmp_path):
+    docs = [(i, f"ley agua norma {t}" if i % 2 else t) for i, t in corpus(6)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    asked = [(q, "ley agua norma".split()) for q in range(30)] + [(30, ["plan", "obra"]), (31, ["nada"]), (32, [])]
+    got = lexical.phrase_bm25(spark.read.parquet(f"{tmp_path}/docs"), spark.createDataFrame(asked, "q long, words array<string>"), "q")
+    rows = {(r["q"], r["doc_id"]): (r["hits"], r["score"]) for r in got.collect()}
+    avg, want = sum(len(t.split()) for _, t in docs) / len(docs), {}
+    for q, words in asked:
+        hits = {d: n for d, t in docs if words and (n := sum(t.split()[k : k + len(words)] == words for k in range(len(t.split()))))}
+        idf = math.log((len(docs) - len(hits) + 0.5) / (len(hits) + 0.5))
+        for d, n in hits.items():
+            want[q, d] = (n, pytest.approx((idf if idf > 0 else 1e-6) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(dict(docs)[d].split()) / avg)), abs=1e-6))
+    assert rows == want and len(rows) >= 600 and not moved(got)

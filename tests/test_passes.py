@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from corvid.operators import lexical, passes
@@ -154,3 +155,27 @@ def test_shared_phrases_are_told_apart_where_documents_are_read(spark, tmp_path)
         for d, n in hits.items():
             want[q, d] = (n, pytest.approx((idf if idf > 0 else 1e-6) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(dict(docs)[d].split()) / avg)), abs=1e-6))
     assert rows == want and len(rows) >= 600 and not moved(got)
+
+
+def one_file(spark, folder):
+    """The tables of ``few_lines`` with the documents in a single file that has a row group for every core, and a name that URIs escape."""
+    few_lines(spark, folder)
+    docs = pq.read_table(f"{folder}/documents.parquet")
+    (folder / "a b").mkdir()
+    (folder / "a b/documents.parquet").mkdir()
+    pq.write_table(docs, folder / "a b/documents.parquet/one%20file.parquet", row_group_size=5)
+    (folder / "benchmark.parquet").rename(folder / "a b/benchmark.parquet")
+    return str(folder / "a b")
+
+
+def test_evidence_recall_leaves_row_groups_where_they_are(spark, tmp_path):
+    got = measures.evidence_recall(spark, one_file(spark, tmp_path))
+    assert got.first()["n"] == 12 and "RoundRobin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_file_of_one_row_group_is_still_dealt_out(spark, tmp_path):
+    pq.write_table(pa.table({"doc_id": [1, 2], "text": ["a", "b"]}), tmp_path / "docs.parquet")
+    (tmp_path / "docs.json").write_text('{"doc_id": 1, "text": "a"}\n')
+    for docs in (spark.read.parquet(f"{tmp_path}/docs.parquet"), spark.read.json(f"{tmp_path}/docs.json")):
+        assert lexical.readable_parts(docs) == 1
+        assert "RoundRobin" in lexical.spread(docs)._jdf.queryExecution().executedPlan().toString()

@@ -179,3 +179,8 @@ def test_a_file_of_one_row_group_is_still_dealt_out(spark, tmp_path):
     for docs in (spark.read.parquet(f"{tmp_path}/docs.parquet"), spark.read.json(f"{tmp_path}/docs.json")):
         assert lexical.readable_parts(docs) == 1
         assert "RoundRobin" in lexical.spread(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_full_depth_mrr_leaves_row_groups_where_they_are(spark, tmp_path):
+    got = measures.full_depth_mrr(spark, one_file(spark, tmp_path))
+    assert {r["category"]: r["n"] for r in got.collect()}[None] == 12 and "RoundRobin" not in got._jdf.queryExecution().executedPlan().toString()

@@ -176,7 +176,8 @@ def mixed(docs: DataFrame, targets: Targets | None = None, topics: int = TOPICS,
     if len(head) <= driver_cells:
         head = head.sort_values(list(MARGINS), ignore_index=True)
         head["probability"] = rake(head, targets)
-        raked = docs.sparkSession.createDataFrame(head[[*MARGINS, "probability"]], "source string, lang string, topic string, probability double")
+        # By Arrow, which the driver reads itself: rows of pandas would start a Python daemon and workers of their own on executors.
+        raked = docs.sparkSession.createDataFrame(pa.table({c: pa.array(head[c], t) for c, t in (*((m, pa.string()) for m in MARGINS), ("probability", pa.float64()))}))
     else:
         raked = _raked_by_steps(cells, targets).select(*MARGINS, F.col("p").alias("probability"))
     release(cells)

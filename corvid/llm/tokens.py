@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from corvid.llm.common import worker_caches
+from corvid.llm.common import lean_worker, worker_caches
 
 #: Distinct words whose ids one Python worker remembers.
 CACHED_WORDS = 600_000
@@ -124,8 +124,9 @@ _tokenizers: dict[str, WordTokenizer] = {}
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
-    """One tokenizer for each Python worker."""
+    """One tokenizer for each Python worker, whose other memory is kept small."""
     if path not in _tokenizers:
+        lean_worker()
         _tokenizers[path] = WordTokenizer(path)
         worker_caches.append(_tokenizers[path].shrink)
     return _tokenizers[path]

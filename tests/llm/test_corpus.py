@@ -4,6 +4,8 @@ import base64
 import hashlib
 import math
 import struct
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -32,6 +34,23 @@ def test_word_tokenizer(rows, token_path):
         assert np.frombuffer(own.encode([text.encode()])[0], own.dtype).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_a_tokenizing_worker_keeps_no_large_free_blocks(token_path):
+    code = f"""
+import re, numpy as np, pyarrow as pa
+from corvid.llm import tokens
+tokens.word_tokenizer({token_path!r})
+held = lambda: int(re.search(r"Rss:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+for size in (31, 2):  # what is freed once would be kept from then on
+    blocks = [np.ones(size << 17) for _ in range(20)]
+    small = [bytes(100_000) for _ in range(5)]
+    before = held()
+    del blocks
+    print(before - held(), pa.default_memory_pool().backend_name)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120).stdout.split()
+    assert int(out[2]) >= 35 and out[1] == out[3] == "system"
+
+
 def test_packing(docs, rows, none, token_path):
     from tokenizers import Tokenizer
 
@@ -119,6 +138,16 @@ def test_mixing(spark, docs, rows, none):
     assert mixing.mixed(none).count() == 0
 
 
+def test_mixing_starts_no_workers_but_those_of_arrow(spark, docs):
+    key = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        assert "ExistingRDD" not in mixing.mixed(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_raking_by_steps_is_the_same(spark):
     """The DataFrame steps against the driver's sweeps, on a few cells and few sweeps, and on none."""
     import pandas as pd

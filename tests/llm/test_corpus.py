@@ -34,6 +34,58 @@ def test_word_tokenizer(rows, token_path):
         assert np.frombuffer(own.encode([text.encode()])[0], own.dtype).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_where_punctuation_is_cut_off(token_path):
+    """A last letter that lower case or normal form ends with a mark keeps its punctuation; long words are not remembered."""
+    from tokenizers import Tokenizer
+
+    whole, own = Tokenizer.from_file(token_path), tokens.WordTokenizer(token_path, cached=200)
+    odd = ["İ. Aİ*** İstanbul.", "\u0958. ש\ufb1d!", "ÖL. öl, straße. STRASSE.", "12. x1; ², 漢字. 😀.", "... a.. .a a.b.", "<|endoftext|>. a|<|endoftext|>|", "\xa0. a\xa0.", "K. Å!", f"{'ab' * 40}. {'ö' * 33}, {'x' * 64} {'x' * 65}", ""]
+    rng = np.random.default_rng(5)
+    signs = np.array(list("abzABÖéßİ漢1\u0338\u0301'.,;!*#|<> \n\xa0😀"))
+    odd += ["".join(rng.choice(signs, n)) for n in rng.integers(1, 60, 1500)]
+    for _ in range(2):
+        for i in range(0, len(odd), 40):
+            for text, got in zip(odd[i : i + 40], own.encode([t.encode() for t in odd[i : i + 40]]), strict=True):
+                assert np.frombuffer(got, own.dtype).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+            assert own.known.size <= 200
+
+
+def test_words_whose_hashes_clash(token_path, monkeypatch):
+    monkeypatch.setattr(tokens, "mix", lambda x, salt=0: x & np.uint64(1))
+    known = tokens.Known(np.dtype("<u2"))
+    words = [b"a", b"b", b"ab", b"abcdefgh", b"abcdefghi", b"abcdefghj"]
+    text, sizes = np.frombuffer(b"".join(words) + bytes(8), np.uint8), np.array(list(map(len, words)))
+    starts = np.cumsum(sizes) - sizes
+    for k in range(len(words)):
+        hashes, rows = known.find(text, starts[k : k + 1], sizes[k : k + 1])
+        assert rows[0] == -1  # another word of this hash is not this word
+        known.add(hashes, words[k : k + 1], [bytes([k, 0])])
+    rows = known.find(text, starts, sizes)[1]
+    assert set(rows) - {-1} and all(r in (-1, k) for k, r in enumerate(rows))
+
+
+def test_few_words_take_the_whole_way_through_the_tokenizer(token_path):
+    """What costs CPU time: words of plain letters, with punctuation after them or not, meet no regular expression."""
+    own = tokens.WordTokenizer(token_path)
+    real, whole = own.tokenizer, []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+        def __setattr__(self, name, value):
+            setattr(real, name, value)
+
+        def encode_batch_fast(self, texts, **how):
+            whole.extend(texts if real.normalizer is not None else [])
+            return real.encode_batch_fast(texts, **how)
+
+    own.tokenizer = Counted()
+    words = [a + b + c for a in ("ab", "straß", "the", "né") for b in ("er", "über", "ing") for c in ("o", "Ü", "ly")]
+    own.encode([" ".join(w + t for w in words for t in ("", ".", ",", "***", "&&&")).encode()])
+    assert sum(map(len, whole)) < 20
+
+
 def test_a_tokenizing_worker_keeps_no_large_free_blocks(token_path):
     code = f"""
 import re, numpy as np, pyarrow as pa
